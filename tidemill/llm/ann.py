@@ -163,9 +163,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     window = F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1))
     queries = rows.where(F.col("vec_id") % every == 0).select("curve", window.alias("block"), "vec_id", "code").join(salts, ["curve", "block"])
     queries = queries.select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "vec_id", "code")
-    keys = ["curve", "block", "salt"]
-    # The queries of one block are dealt in batches, so a block that most queries meet is still shared out.
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(lambda q, r: _nearest(q, r, PER_BLOCK), "query_id long, vec_id long, near double")
+    queries = queries.toDF("q_curve", "q_block", "q_salt", "vec_id", "code")
+    found = queries.groupBy("q_curve", "q_block", "q_salt").cogroup(candidates.groupBy("curve", "block", "salt")).applyInPandas(lambda q, r: _nearest(q, r, PER_BLOCK), "query_id long, vec_id long, near double")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("near"))
     best = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("near", "vec_id"))), 1, RERANK).alias("best"))
     pairs = best.select("query_id", F.explode("best").alias("b")).select("query_id", F.col("b.vec_id").alias("vec_id"))
