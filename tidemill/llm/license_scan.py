@@ -46,8 +46,8 @@ TEMPLATES = {
 MIN_COVER, SLACK = 0.75, 3
 
 
-def template_positions(spark: SparkSession) -> DataFrame:
-    """(tid, label, base, n_grams, tpos, w0, w1, h): a few hundred rows, fixed by this module."""
+def template_rows() -> list[tuple]:
+    """(tid, label, base, n_grams, tpos, first word, second word): a few hundred, fixed by this module."""
     rows, tid = [], 0
     for base, library in ((True, {k: [v] for k, v in BASE.items()}), (False, TEMPLATES)):
         for label, texts in library.items():
@@ -55,7 +55,11 @@ def template_positions(spark: SparkSession) -> DataFrame:
                 words = re.findall(WORD, text)
                 rows += [(tid, label, base, len(words) - K + 1, i, words[i], words[i + 1]) for i in range(len(words) - K + 1)]
                 tid += 1
-    t = spark.createDataFrame(rows, "tid int, label string, base boolean, n_grams int, tpos int, t0 string, t1 string")
+    return rows
+
+
+def template_positions(spark: SparkSession) -> DataFrame:
+    t = spark.createDataFrame(template_rows(), "tid int, label string, base boolean, n_grams int, tpos int, t0 string, t1 string")
     return t.withColumn("h", F.xxhash64("t0", "t1"))
 
 

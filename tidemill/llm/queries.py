@@ -41,7 +41,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+    return jaccard_join.join(read_table(spark, sf_dir, "documents")).drop("class_id", "n_links")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +69,31 @@ def queries() -> dict:
     return {f.__name__: f for f in ops}
 
 
+def _license_sql() -> str:
+    rows = [f"({tid}, '{label}', {base}, {n}, {tpos}, '{a}', '{b}')" for tid, label, base, n, tpos, a, b in license_scan.template_rows()]
+    return f"""WITH t(tid, label, base, n_grams, tpos, t0, t1) AS (VALUES {", ".join(rows)}),
+    w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+    g AS (SELECT rid, unnest(words[1:len(words) - 1]) AS w0, unnest(words[2:]) AS w1, unnest(generate_series(0, len(words) - 2)) AS pos FROM w WHERE len(words) > 1),
+    v AS (SELECT rid, tid, label, base, n_grams, pos - tpos AS diagonal, list_distinct(list(tpos)) AS held, min(pos) AS lo, max(pos) AS hi FROM g JOIN t ON w0 = t0 AND w1 = t1 GROUP BY ALL),
+    k AS (SELECT * FROM v WHERE (base AND len(held) = n_grams) OR (NOT base AND len(held) >= least(2, n_grams))),
+    m AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {license_scan.SLACK}, true) OR coalesce(lo > lag(hi) OVER o + {license_scan.SLACK + license_scan.K}, true) THEN 1 ELSE 0 END AS apart FROM k WINDOW o AS (PARTITION BY rid, tid ORDER BY diagonal)),
+    s AS (SELECT *, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS span FROM m),
+    z AS (SELECT rid, tid, label, base, n_grams, span, len(list_distinct(flatten(list(held)))) / n_grams AS cover, min(lo) AS lo, max(hi) AS hi FROM s GROUP BY ALL),
+    f AS (SELECT * FROM z WHERE base OR (cover >= {license_scan.MIN_COVER} AND hi - lo + 1 <= 2 * n_grams + {license_scan.SLACK})),
+    e AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(lo) FILTER (WHERE base) AS first_word, max(lo) FILTER (WHERE base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM f GROUP BY rid)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM w LEFT JOIN e USING (rid)"""
+
+
+def _jaccard_sql() -> str:
+    return """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 4], ' ') END AS x FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM w WHERE len(words) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
+    SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT id, min(seen) AS c FROM r GROUP BY 1) m ON m.id = documents.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": _license_sql(), "op7_jaccard_join": _jaccard_sql()}
