@@ -123,7 +123,7 @@ def tokenised(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = F
     return docs.select("doc_id", "text").mapInPandas(pieces, shape)
 
 
-def fill(left: list[int], lengths: list[int], limit: int) -> list[int]:
+def fill(left: list[int], lengths: list[int], limit: int, two_fit: bool = True) -> list[int]:
     """One bin from the counts ``left`` by length; ``lengths`` are those with any left, ascending."""
     held: list[int] = []
     used: dict[int, int] = {}
@@ -142,7 +142,7 @@ def fill(left: list[int], lengths: list[int], limit: int) -> list[int]:
         used[x] = used.get(x, 0) + n
         gap -= n * x
         top = i + 1
-    if gap and len(held) > 1:
+    if two_fit and gap and len(held) > 1:
         small = held[-1]
         wide, best, pair = gap + small, small, None
         lo, hi = 0, bisect.bisect_right(lengths, wide - 1) - 1
@@ -164,7 +164,16 @@ def fill(left: list[int], lengths: list[int], limit: int) -> list[int]:
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, from rank, to rank, first sequence, per sequence, offset) rows that place every piece."""
+    """(length, from rank, to rank, first sequence, per sequence, offset) rows that place every piece.
+
+    Replacing can cost a sequence when few pieces are left to choose from, so the
+    greedy fill alone is planned too and taken where it needs fewer.
+    """
+    (rows, n), (plain, m) = (_plan(histogram, limit, two_fit) for two_fit in (True, False))
+    return rows if n <= m else plain
+
+
+def _plan(histogram: dict[int, int], limit: int, two_fit: bool) -> tuple[list, int]:
     left = [0] * (limit + 1)
     for x, n in histogram.items():
         left[x] = n
@@ -172,7 +181,7 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int,
     taken = [0] * (limit + 1)
     rows, sequence = [], 0
     while lengths:
-        held = fill(left, lengths, limit)
+        held = fill(left, lengths, limit, two_fit)
         need: dict[int, int] = {}
         for x in held:
             need[x] = need.get(x, 0) + 1
@@ -186,7 +195,7 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int,
             if not left[x]:
                 lengths.remove(x)
         sequence += times
-    return rows
+    return rows, sequence
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:

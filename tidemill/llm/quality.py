@@ -105,6 +105,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def accuracies(patterns: Counter) -> tuple[float, dict]:
     """(log prior odds, {(rule, vote): log odds of good}) by expectation-maximisation over vote patterns."""
+    if not patterns:
+        return 0.0, {}
     rules = range(len(RULES))
     start = lambda v: 1 / (1 + math.exp(-(1.2 * sum(v) + math.log(PRIOR / (1 - PRIOR)))))
     good = {v: start(v) for v in patterns}

@@ -145,18 +145,37 @@ class Restorer:
         return token
 
     def spaced(self, run: str) -> str:
-        """Letters set apart, joined if the joined reading is likelier than the letters on their own."""
+        """Letters set apart, joined where that is likelier than letters on their own; an outer one may stay alone."""
         letters = [c for c in run if c.isalnum()]
-        joined, score = self.best("".join(letters))
-        alone = sum(self.best(c)[1] for c in letters)
-        return joined if score > alone else ""
+        alone = [self.best(c)[1] for c in letters]
+        found = ("", sum(alone))
+        for i in (0, 1):
+            for j in (len(letters), len(letters) - 1):
+                if j - i > 2:
+                    joined, score = self.best("".join(letters[i:j]))
+                    score += sum(alone[:i]) + sum(alone[j:])
+                    if score > found[1]:
+                        found = (joined, score)
+        return found[0]
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text, lower-cased; longer letter runs are read as well."""
         text = text.lower()
-        out = {self.token(t) for c in set(text.split()) if (t := _BARE.sub("", c))}
-        out |= {w for m in _SPACED.finditer(text) if (w := self.spaced(m.group()))}
-        return {p for w in out for p in re.split(r"[\W_]+", w) if p}
+        out: set[str] = set()
+        for c in set(text.split()):
+            out.update(self.chunk(c))
+        for m in _SPACED.finditer(text):
+            out.update(parts(self.spaced(m.group())))
+        return out
+
+    def chunk(self, chunk: str) -> list[str]:
+        """The words of one run of characters without blanks."""
+        bare = _BARE.sub("", chunk)
+        return parts(self.token(bare)) if bare else []
+
+
+def parts(text: str) -> list[str]:
+    return [p for p in re.split(r"[\W_]+", text) if p]
 
 
 def features(word: str) -> list[int]:
@@ -177,14 +196,18 @@ def summary(weights: list[float]) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+    """Weights on ``x`` whose first column is 1; columns are centred, so the ridge leaves the base rate alone."""
+    mean = np.r_[0.0, x[:, 1:].mean(0)]
+    x = x - mean
+    w, hold = np.zeros(x.shape[1]), ridge * np.r_[1e-6, np.ones(x.shape[1] - 1)]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(hold)
+        step = np.linalg.solve(h, x.T @ (y - p) - hold * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    w[0] -= mean @ w
     return w
 
 
@@ -195,9 +218,7 @@ class Scorer:
         self.cache: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def chunk(self, chunk: str) -> tuple[tuple[str, float], ...]:
-        t = _BARE.sub("", chunk)
-        words = [p for p in re.split(r"[\W_]+", self.restorer.token(t)) if p] if t else []
-        return tuple((w, self.word(w)) for w in words)
+        return tuple((w, self.word(w)) for w in self.restorer.chunk(chunk))
 
     def word(self, word: str) -> float:
         return float(max(self.table[i] for i in features(word)))
