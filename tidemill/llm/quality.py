@@ -25,7 +25,7 @@ from .common import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT = 50, 50
 RULES = ("length", "symbols", "word_size", "lines", "repeats", "stop_words", "capitals", "sentences")
-ROUNDS, PRIOR = 100, 0.85
+ROUNDS = 100
 #: frequent function words of four languages (fixed values)
 STOP_WORDS = "the of and to in is that it for with as was on be by die der das und ist von den mit nicht ein le la les de des et un une est pour que en el los las y del se por con no su".split()
 
@@ -93,7 +93,7 @@ def measured(docs: DataFrame) -> DataFrame:
         vote((size < 2.5) | (size > 11), (size >= 3) & (size <= 9)),
         vote(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, (F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 2)),
         vote(share("n_repeat_words") > 0.3, share("n_repeat_words") < 0.1),
-        vote(F.col("n_common") < 2, F.col("n_common") >= 5),
+        vote(F.col("n_common") < 2, (F.col("n_common") >= 5) | (F.col("n_common") * 20 >= F.col("n_words"))),
         vote(F.col("n_capitals") > 0.4 * F.col("word_chars"), F.col("n_capitals") < 0.15 * F.col("word_chars")),
         vote((share("n_shouts") > 0.2) | (F.col("n_stops") == 0), (share("n_stops") > 0.01) & (share("n_stops") < 0.4)),
     ]
@@ -108,7 +108,8 @@ def accuracies(patterns: Counter) -> tuple[float, dict]:
     if not patterns:
         return 0.0, {}
     rules = range(len(RULES))
-    start = lambda v: 1 / (1 + math.exp(-(1.2 * sum(v) + math.log(PRIOR / (1 - PRIOR)))))
+    # A document starts as good if nearly all rules say so; a bad vote is rare and starts heavy.
+    start = lambda v: 1 / (1 + math.exp(-(v.count(1) - (len(RULES) - 1.5) - 3 * v.count(-1))))
     good = {v: start(v) for v in patterns}
     prior, odds = 0.0, {}
     for _ in range(ROUNDS):
