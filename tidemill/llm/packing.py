@@ -109,18 +109,18 @@ def tokenised(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = F
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 data = encode(text, path)
                 for k, at in enumerate(range(0, len(data), 4 * limit)):
                     part = data[at : at + 4 * limit]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int64) if with_ids else None))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if with_ids else out.drop(columns="ids")
 
-    shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(pieces, shape)
+    shape = "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    # As text, for pandas would turn ids beside a null one into floats.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(pieces, shape)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def fill(left: list[int], lengths: list[int], limit: int, two_fit: bool = True) -> list[int]:

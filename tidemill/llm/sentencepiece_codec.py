@@ -171,8 +171,10 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                 out["ids"] = [x.astype(np.int32) for x in ids]
             yield out
 
-    shape = "doc_id long, n_ids long, ids_crc32 long, score double, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(rows, shape)
+    shape = "doc_id string, n_ids long, ids_crc32 long, score double, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    # As text, for pandas would turn ids beside a null one into floats.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, shape)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
