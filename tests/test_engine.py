@@ -378,3 +378,19 @@ def test_gbt_forecast_registry_and_bounds(spark):
     assert row["version"] == 2 and len(loaded.stages) == len(model.stages)
     registry.assign_alias(spark, where, "m", 1, "champion", T0 + 9 * HOUR)
     assert registry.champion_row(spark, where, "m")["version"] == 1
+
+
+def test_daily_monitor_names_its_tables(spark):
+    from tidemill.plans.daily import daily_monitor
+
+    rng = np.random.default_rng(6)
+    values = [100 + 10 * math.sin(i / 24 * 2 * math.pi) + rng.normal() for i in range(24 * 24)]
+    spec = SeriesSpec(lags=(24,), season_lags=(24, 48), temperature_lag=24, short_window=24, long_window=48, season=24, min_history=72, stride=12)
+    p = panel.build_panel(series(spark, values)).cache()
+    log = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/log"
+    out = daily_monitor(p, spec, WindowSpec(7, 7), Thresholds(min_samples=50), run_log=log, rounds=2, depth=3)
+    assert {"panel", "counts", "scored", "history", "forward", "errors", "sections", "timeline", "verdict"} <= set(out)
+    v = out["verdict"].first()
+    assert v.measurable and v.is_real and v.rule.startswith("R")
+    assert out["forward"].count() == 24 and out["sections"].count() == 4
+    assert {r.step for r in spark.read.parquet(log).collect()} == {"features", "score", "forecast", "monitor", "drift"}

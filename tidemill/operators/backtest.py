@@ -92,6 +92,11 @@ def fold_report(rows: DataFrame) -> DataFrame:
     return out.withColumn("warning", F.when(F.col("skipped") > 0, text))
 
 
+def first_warnings(report: DataFrame, n: int = 20) -> DataFrame:
+    """The first warnings by series."""
+    return report.where("warning is not null").orderBy("series_key").select("series_key", "warning").limit(n)
+
+
 def require_folds(rows: DataFrame) -> DataFrame:
     """``rows``, or an error where there is no fold or none that can be scored."""
     n = rows.agg(F.count("*").alias("n"), F.count_if("fold_ok").alias("ok")).first()
