@@ -152,5 +152,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
     inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__doc"), "text")
     m = measured(inner)
-    kept = m.where(~F.col("base_failed") & (posterior(m.drop("__doc")) >= 0.5))
+    # A filter is pushed below a projection by copying what it reads; the row number keeps it above the measures.
+    rows = m.withColumn("__row", F.monotonically_increasing_id())
+    kept = rows.where((F.col("__row") >= 0) & ~F.col("base_failed") & (posterior(m.drop("__doc")) >= 0.5))
     return kept.select("__doc.*")
