@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -170,7 +171,9 @@ class Restorer:
 
     def chunk(self, chunk: str) -> list[str]:
         """The words of one run of characters without blanks."""
-        bare = _BARE.sub("", chunk)
+        bare = chunk if chunk.isalpha() else _BARE.sub("", chunk)
+        if bare.isalpha() and not _REPEAT.search(bare):
+            return [bare]
         return parts(self.token(bare)) if bare else []
 
 
@@ -214,14 +217,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 class Scorer:
     def __init__(self, model, bad, seen, base, weights) -> None:
         self.restorer, self.base, self.weights = Restorer(model), base, weights
-        self.table = evidence(bad, seen, base) if base else None
+        self.table = evidence(bad, seen, base).tolist() if base else None
         self.cache: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def chunk(self, chunk: str) -> tuple[tuple[str, float], ...]:
         return tuple((w, self.word(w)) for w in self.restorer.chunk(chunk))
 
     def word(self, word: str) -> float:
-        return float(max(self.table[i] for i in features(word)))
+        return max(map(self.table.__getitem__, features(word)))
 
     def score(self, text: str | None) -> float:
         if self.table is None:
@@ -297,10 +300,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         for batch in batches:
             out = []
             for text, label in zip(batch["text"], batch["label"]):
-                weights = []
-                for w in read.words(text or ""):
-                    at = features(w)
-                    weights.append(float(evidence(bad[at] - (label > 0), seen[at] - 1, base).max()))
+                held = [features(w) for w in read.words(text or "")]
+                if held:
+                    at = np.fromiter(chain.from_iterable(held), np.int64)
+                    each = evidence(bad[at] - (label > 0), seen[at] - 1, base)
+                    weights = np.maximum.reduceat(each, np.cumsum([0] + [len(x) for x in held[:-1]])).tolist()
+                else:
+                    weights = []
                 out.append(summary(weights).tolist())
             yield pd.DataFrame({"x": out, "label": batch["label"]})
 
