@@ -21,7 +21,7 @@
    counts first spares most of the shuffling of sets).
 
 The rarity order needs only be the same everywhere, so it comes from a table of
-fixed size (2**22 counters of shingle hashes, counted over all documents).
+fixed size (2**23 counters of shingle hashes, counted over all documents).
 
 ``doc_id`` is taken as unique. Defined results. Null or word-free text: an empty set, linked with nothing. Fewer
 than five words: the sequence as one shingle. Rows that repeat a ``doc_id`` are
@@ -41,10 +41,13 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise
 
 SHINGLE, NUM, DEN = 5, 80, 100
-TABLE_BITS, TABLE_PARTS = 22, 64
+TABLE_BITS, TABLE_PARTS = 23, 64
 SKETCH = 128
 BITMAP = 1 << 23
-PIVOT_ROUNDS = 3
+HEAD = 8
+BROADCAST_IDS = 500_000
+ROWS = 1000
+PIVOT_ROUNDS = 2
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -130,29 +133,31 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
     size, part = 1 << TABLE_BITS, (1 << TABLE_BITS) // TABLE_PARTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(size, np.int64)
+        held = np.zeros(size, np.int32)
         for batch in batches:
             for text in batch["text"]:
                 s = shingle_set(text)
-                np.add.at(held, (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 1)
+                at = (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)  # sorted, as the set is
+                new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
+                held[at[new]] += np.diff(np.concatenate((new, [len(at)]))).astype(np.int32)
         if held.any():
-            salt = int(held.sum() % 61)
+            salt = int(held.sum(dtype=np.int64) % 61)
             pack = zstandard.ZstdCompressor(level=1)
             for i in range(TABLE_PARTS):
-                yield pd.DataFrame({"part": [i], "salt": [salt], "held": [pack.compress(held[i * part : (i + 1) * part].tobytes())]})
+                yield pd.DataFrame({"part": [i], "salt": [salt], "wide": [False], "held": [pack.compress(held[i * part : (i + 1) * part].tobytes())]})
 
     def added(keep: bool):
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(part, np.int64)
             unpack = zstandard.ZstdDecompressor()
-            for x in pdf["held"]:
-                total += np.frombuffer(unpack.decompress(x), np.int64)
+            for x, wide in zip(pdf["held"], pdf["wide"]):
+                total += np.frombuffer(unpack.decompress(x), np.int64 if wide else np.int32)
             data = total.tobytes() if keep else np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()
-            return pd.DataFrame({"part": pdf["part"][:1], "salt": pdf["salt"][:1], "held": [zstandard.compress(data, 1)]})
+            return pd.DataFrame({"part": pdf["part"][:1], "salt": pdf["salt"][:1], "wide": [True], "held": [zstandard.compress(data, 1)]})
 
         return add
 
-    shape = "part int, salt int, held binary"
+    shape = "part int, salt int, wide boolean, held binary"
     # Two levels of adding keep every group small however many tasks there were.
     counts = docs.select("text").mapInPandas(count, shape).groupBy("part", "salt").applyInPandas(added(True), shape)
     rows = counts.groupBy("part").applyInPandas(added(False), shape).collect()
@@ -162,12 +167,18 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
     return table
 
 
+def _slices(batches) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch[at : at + ROWS]
+
+
 def shingled(docs: DataFrame, table) -> DataFrame:
     """doc_id, n, fp (of the whole set), anchors (first pivots)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rare = table.value
-        for batch in batches:
+        for batch in _slices(batches):
             n, fp, anchors = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text)
@@ -183,14 +194,16 @@ def shingled(docs: DataFrame, table) -> DataFrame:
                 anchors.append(s[order[: prefix_length(len(s))]].astype(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "fp": fp, "anchors": anchors})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, fp long, anchors array<long>")
+    # Ids as text, for pandas would turn ids beside a null one into floats.
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return named.mapInPandas(rows, "doc_id string, n long, fp long, anchors array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, members, sketch) of the documents listed in ``ids`` (id).
+    """(id, members, sketch) of the documents listed in ``ids`` (id), and of a few more.
 
-    A bitmap of fixed size picks the texts to hash, so texts are never shuffled;
-    what it lets through too much goes in the exact join on slim rows.
+    A bitmap of fixed size picks the texts to hash, so neither texts nor sets are
+    shuffled; what it lets through too much meets no pair.
     """
     bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
     held = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(id), {BITMAP}) & 63))").alias("bit"))
@@ -204,12 +217,12 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch["bit"].to_numpy(np.int64)
             hit = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch[hit == 1]
-            sets = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["doc_id"], "members": [s.tobytes() for s in sets], "sketch": [sketch(s).tobytes() for s in sets]})
+            for part in _slices([batch[hit == 1]]):
+                sets = [shingle_set(t) for t in part["text"]]
+                yield pd.DataFrame({"id": part["doc_id"], "members": [s.tobytes() for s in sets], "sketch": [sketch(s).tobytes() for s in sets]})
 
     chosen = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("bit"))
-    return chosen.mapInPandas(rows, "id long, members binary, sketch binary").join(ids.select("id").distinct(), "id", "left_semi")
+    return chosen.mapInPandas(rows, "id long, members binary, sketch binary")
 
 
 def _apart_at_least(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -227,6 +240,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # |x sym y| > (1-t)/(1+t) (|x|+|y|) rules a link out.
     light = light.withColumn("gap", apart("sa", "sb")).select("a", "b", "na", "nb", (F.col("gap") * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))).alias("open"))
     light = materialise(light, "pairs")
+    ends = light.where("open")
+    ids = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct()
+    # Only sets that a pair asks for are shuffled; a short list of them is sent to the tasks, a long one joined.
+    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     whole = light.where("open").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
     whole = whole.withColumn("inter", common("ma", "mb")).select("a", "b", "na", "nb", "inter")
     done = whole.unionByName(light.where("not open").select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter")))
@@ -247,16 +264,18 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # One row of each class carries the anchors: the class's smallest doc_id is the one kept.
     heads = classes.withColumnRenamed("id", "doc_id")
     anchors = rows.where("n > 0").join(heads, ["doc_id", "n", "fp"], "left_semi").select(F.col("doc_id").alias("id"), "n", "anchors")
-    regions = anchors.select(F.explode("anchors").alias("region"), "id", "n")
-    size = regions.groupBy("region").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    regions = materialise(regions.join(size, "region").select("region", "id", "n").distinct(), "regions")
-    sets = materialise(full_sets(docs, regions.select("id").distinct()).dropDuplicates(["id"]), "sets")
-    labels = classes.select("id", F.col("id").alias("component"))
-    tested = links = None
-    pivots = None
+    regions = anchors.select(F.explode("anchors").alias("region"), "id")
+    size = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1").select("region")
+    regions = materialise(regions.join(size, "region"), "regions")
+    ids = regions.select("id").distinct()
+    sets = materialise(full_sets(docs, ids), "sets")
+    facts = anchors.select("id", "n", F.slice("anchors", 1, HEAD).alias("head")).join(ids, "id", "left_semi")
+    facts = materialise(facts.dropDuplicates(["id"]), "facts")
+    labels = facts.select("id", F.col("id").alias("component"))
+    tested = links = pivots = None
     live = regions
     for turn in range(PIVOT_ROUNDS):
-        named = live.join(labels, "id")
+        named = live.join(labels, "id").join(facts.select("id", "n"), "id")
         order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("n"), F.col("component"))
         heads = named.groupBy("region").agg(F.min(order).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         heads = heads.where("lo <> hi").select("region", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("pc"))
@@ -266,38 +285,52 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         found = verified(pairs, sets)
         tested = found if tested is None else tested.unionByName(found)
-        links = tested.where("linked").select("a", "b")
-        labels = materialise(connected_components(classes.select("id"), links), "labels")
+        labels = _merged(labels, found)
         pivots = named.select("region", "a").distinct()
         # The pivot's links inside its region are now settled; the others go on.
-        live = named.where("id <> a").select("region", "id", "n")
-        if not live.limit(1).count():
-            break
-    else:
-        found = verified(_window_pairs(live, pivots, tested, labels), sets)
-        links = links.unionByName(found.where("linked").select("a", "b"))
-        labels = connected_components(classes.select("id"), links)
-    labels = materialise(labels, "labels")
+        live = named.where("id <> a").select("region", "id")
+    found = verified(_window_pairs(live, pivots, tested, labels, facts), sets)
+    labels = _merged(labels, found)
+    links = tested.unionByName(found).where("linked").select("a", "b")
+    labels = classes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return rows.select("doc_id", "n", "fp").join(classes, ["n", "fp"], "left"), labels, links
 
 
-def _window_pairs(live: DataFrame, pivots: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` once the new links have joined components; only components that a link touches are worked on."""
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    edges = found.where("linked").select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+    edges = materialise(edges, "joins")
+    if not edges.limit(1).count():
+        return labels
+    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    new = connected_components(ends, edges).withColumnRenamed("component", "joined").withColumnRenamed("id", "component")
+    return materialise(labels.join(new, "component", "left").select("id", F.coalesce("joined", "component").alias("component")), "labels")
+
+
+def _window_pairs(live: DataFrame, pivots: DataFrame, tested: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs across components that the sizes and the triangle inequality about the region's last pivot leave open."""
     far = tested.where("inter is not null").select(F.col("a").alias("p"), "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
     far = far.unionByName(far.select(F.col("b").alias("p"), F.col("p").alias("b"), "d")).dropDuplicates(["p", "b"])
     named = live.join(labels, "id").join(pivots.withColumnRenamed("a", "p"), "region", "left")
-    named = named.join(far.withColumnRenamed("b", "id"), ["p", "id"], "left").select("region", "id", "n", "component", "d")
+    named = named.join(far.withColumnRenamed("b", "id"), ["p", "id"], "left").select("region", "id", "component", "d")
     # Only regions that still hold several components; each pair has a member outside the region's main one.
     main = named.groupBy("region", "component").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
-    named = materialise(named.join(main.where("parts > 1").select("region", F.col("m.component").alias("main")), "region"), "open")
+    named = named.join(main.where("parts > 1").select("region", F.col("m.component").alias("main")), "region").join(facts, "id")
+    named = materialise(named, "open")
     width = (DEN - NUM) / DEN
-    # An unknown distance (not measured, or refuted by the sketch) meets every window.
-    window = F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(int(1 / width)))).otherwise(F.array(F.floor(F.col("d") / width).cast("int")))
-    spread = F.when(F.col("d").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("d") / width).cast("int") + i))
-    probe = named.where("component <> main").select("region", "id", "n", "component", "d", "main", F.explode(F.array_union(spread, F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(int(1 / width)))).otherwise(F.array()))).alias("w"))
-    other = named.select("region", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("d").alias("d2"), F.explode(window).alias("w"))
-    pairs = probe.join(other, ["region", "w"]).where("component <> c2").where(_near_sizes("n", "n2"))
+    # Windows are numbered from 0; ALL holds every member, UNKNOWN those whose distance isn't known (they meet all).
+    everyone, unknown = -9, -8
+    w = F.floor(F.col("d") / width).cast("int")
+    held = F.when(F.col("d").isNull(), F.array(F.lit(everyone), F.lit(unknown))).otherwise(F.array(F.lit(everyone), w))
+    asks = F.when(F.col("d").isNull(), F.array(F.lit(everyone))).otherwise(F.array(w - 1, w, w + 1, F.lit(unknown)))
+    probe = named.where("component <> main").withColumn("w", F.explode(asks))
+    other = named.select("region", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("d").alias("d2"), F.col("head").alias("head2"), F.explode(held).alias("w"))
+    # Two sets that share one of both's first pivots meet in that region; only the first such region lists them.
+    shared = F.array_min(F.array_intersect("head", "head2"))
+    pairs = probe.join(other, ["region", "w"]).where("component <> c2 and (c2 = main or id < id2)").where(_near_sizes("n", "n2"))
     pairs = pairs.where((F.abs(F.col("d") - F.col("d2")) <= width + 1e-9) | F.col("d").isNull() | F.col("d2").isNull())
+    pairs = pairs.where(shared.isNull() | (shared == F.col("region")))
     swap = F.col("id") < F.col("id2")
     pairs = pairs.select(
         F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(swap, F.col("n2")).otherwise(F.col("n")).alias("nb")
@@ -326,9 +359,9 @@ def join(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one of each component kept (its smallest doc_id); all columns as they came.
 
-    Of rows that share that doc_id one is kept when their texts agree; rows
-    without an id, and texts without words, all stay.
+    Of rows that share that doc_id one is kept; rows without an id all stay, and
+    so does each document without words.
     """
     out = join(docs).where("component_id is null or doc_id = component_id or n_shingles = 0").select("doc_id").distinct()
     kept = docs.join(out.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
