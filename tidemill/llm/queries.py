@@ -78,7 +78,7 @@ def _license_sql() -> str:
     k AS (SELECT * FROM v WHERE (base AND len(held) = n_grams) OR (NOT base AND len(held) >= least(2, n_grams))),
     m AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {license_scan.SLACK}, true) OR coalesce(lo > lag(hi) OVER o + {license_scan.SLACK + license_scan.K}, true) THEN 1 ELSE 0 END AS apart FROM k WINDOW o AS (PARTITION BY rid, tid ORDER BY diagonal)),
     s AS (SELECT *, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS span FROM m),
-    z AS (SELECT rid, tid, label, base, n_grams, span, len(list_distinct(flatten(list(held)))) / n_grams AS cover, min(lo) AS lo, max(hi) AS hi FROM s GROUP BY ALL),
+    z AS (SELECT rid, tid, label, base, n_grams, span, len(list_distinct(flatten(list(held)))) / n_grams AS cover, min(lo) AS lo, max(hi) AS hi FROM s GROUP BY rid, tid, label, base, n_grams, span),
     f AS (SELECT * FROM z WHERE base OR (cover >= {license_scan.MIN_COVER} AND hi - lo + 1 <= 2 * n_grams + {license_scan.SLACK})),
     e AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(lo) FILTER (WHERE base) AS first_word, max(lo) FILTER (WHERE base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM f GROUP BY rid)
     SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM w LEFT JOIN e USING (rid)"""
