@@ -340,6 +340,28 @@ def test_nearest_neighbours(spark):
     assert ann.search(empty).count() == 0
 
 
+def test_nearest_neighbours_in_groups_of_near_copies(spark):
+    """Above the size of one block, with near copies that no code tells apart and one vector far out."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = x[0] + 0.008 * rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[5999] *= 1000
+    x = x.astype(np.float32)
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=200).collect()
+    x = x.astype(np.float64)
+    recall = []
+    for q in range(0, 6000, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, 11))
+        assert all(math.isclose(r.score, d[r.vec_id], rel_tol=1e-12) for r in mine)
+        recall.append(len({r.vec_id for r in mine} & set(np.argsort(d)[:10].tolist())) / 10)
+    print("recall@10: near copies", np.mean(recall[:10]), "others", np.mean(recall[10:]))
+    assert np.mean(recall[:10]) >= 0.9 and np.mean(recall[10:]) >= 0.9
+
+
 def test_hilbert_neighbours_are_adjacent():
     cells = np.array(list(itertools.product(range(8), repeat=2)))
     order = cells[np.argsort(ann.hilbert_keys(cells, 3))]

@@ -3,39 +3,44 @@
 Vectors are projected to ten dimensions by several random rotations, shifted, and
 ordered along a Hilbert curve each time. A curve's keys are range-partitioned into
 blocks of near equal size; a query meets the candidates of its own and of both
-neighbouring blocks on every curve. There, candidates are compared on one-byte
-codes, the best of each block are merged, and the best of the merged list are
-ranked again on the original vectors in double precision.
+neighbouring blocks on every curve. All of them are ranked on the original vectors
+in double precision, so the answer is the exact one among the rows that share or
+adjoin a block with the query; nothing is left out on codes or by a count.
 
-The index (rotations, block borders, code scale) is fitted on a bounded sample of
+Vectors are not copied to each curve: a vector is dealt once, by hash and with its
+blocks on all curves, to a chunk of about ``GROUP_ROWS`` rows, and each query
+visits all chunks (at ``BLOCKS`` a query has candidates in nearly every one). No
+chunk grows with a common vector or a group of near copies.
+
+The index (rotations, block borders, cell size) is fitted on a bounded sample of
 ``SAMPLE_ROWS`` vectors; every vector is indexed. Blocks number ``BLOCKS`` to a
 curve at any size, for on data without structure recall at a fixed share of the
 input is what a curve can promise; fewer, larger blocks raise recall, more blocks
-cut work. Blocks of more than ``GROUP_ROWS`` rows (a vector that is very common)
-are salted, so no task holds a whole one.
+cut work.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite parts
 take no part; nor do those of another width than the sample's most common one.
 A null id takes no part. Equal ids count once for each distinct vector. Ties go to
-the smaller id. Fewer candidates than asked for: all of them, by an exact search
-when the table is smaller than ``SMALL``.
+the smaller id. Fewer candidates than asked for: all of them. A table of at most
+``SMALL`` rows is one block on one curve, which makes its search exact.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 CURVES, DIMS, BITS, BLOCKS = 32, 10, 6, 96
 SAMPLE_ROWS, GROUP_ROWS, SMALL = 20_000, 4096, 4096
-PER_BLOCK, RERANK = 20, 80
+TAIL = 0.02  #: share of the sample at either end that doesn't count for the cell size
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -66,16 +71,18 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Index:
-    """Rotations, shifts, block borders and code scale; its size doesn't depend on the input."""
+    """Rotations, shifts, block borders and cell size; its size doesn't depend on the input."""
 
     def __init__(self, sample: np.ndarray, rows: int, seed: int = 7, curves: int = CURVES, blocks: int = BLOCKS) -> None:
         rng = np.random.default_rng(seed)
         self.width = sample.shape[1]
         dims = min(DIMS, self.width)
-        self.mean = sample.mean(0)
-        self.scale = max(1e-30, float(np.abs(sample - self.mean).max())) / 127
+        self.mean = np.median(sample, 0)
         self.turns = [np.linalg.qr(rng.normal(size=(self.width, self.width)))[0][:, :dims] for _ in range(curves)]
-        spread = max(1e-30, float((sample - self.mean).std()))
+        # From quantiles, so that a few vectors far out don't push all others into one cell.
+        lo, hi = np.quantile((sample - self.mean) @ self.turns[0], (TAIL, 1 - TAIL), axis=0)
+        spread = float(np.sqrt(np.square(hi - lo).mean())) / (2 * NormalDist().inv_cdf(1 - TAIL))
+        spread = max(1e-30, spread or float((sample - self.mean).std()))
         self.unit = 10 * spread / (1 << BITS)
         self.shift = rng.uniform(-0.5, 0.5, (curves, dims)) * 2 * spread
         blocks = max(1, min(blocks, rows // 64))
@@ -91,9 +98,6 @@ class Index:
     def blocks(self, x: np.ndarray, c: int) -> np.ndarray:
         return np.searchsorted(self.borders[c], self.keys(x, c), side="right")
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint((x - self.mean) / self.scale), -127, 127).astype(np.int8)
-
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part."""
@@ -102,30 +106,34 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v")).where(sound)
 
 
-def _nearest(query: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of ``rows`` for each query on codes, ties to the smaller id."""
-    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
+def _nearest(query: pd.DataFrame, rows: pd.DataFrame, k: int, kind: str) -> pd.DataFrame:
+    """The k best of ``rows`` by exact distance for each query, among those in its own or a neighbouring block of any curve; ties to the smaller id."""
+    none = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("vec_id", "int64"), ("score", "float64"))})
     if not len(query) or not len(rows):
         return none
-    rows = rows.sort_values("vec_id")
-    ids = rows["vec_id"].to_numpy(np.int64)
-    y = np.frombuffer(b"".join(rows["code"]), np.int8).reshape(len(rows), -1).astype(np.float32)
-    x = np.frombuffer(b"".join(query["code"]), np.int8).reshape(len(query), -1).astype(np.float32)
-    qs, out = query["vec_id"].to_numpy(np.int64), []
-    norm = (y * y).sum(1)
-    for at in range(0, len(qs), 256):
-        part = x[at : at + 256]
-        d = (part * part).sum(1)[:, None] + norm[None] - 2 * part @ y.T
-        for i, q in enumerate(qs[at : at + 256]):
-            row = np.where(ids == q, np.inf, d[i])
-            if len(row) > k:
-                # Rows are in id order, so a stable choice among ties takes the smaller ids.
-                cut = np.partition(row, k - 1)[k - 1]
-                best = np.concatenate((np.flatnonzero(row < cut), np.flatnonzero(row == cut)))[:k]
-            else:
-                best = np.arange(len(row))
-            best = best[np.isfinite(row[best])]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "near": row[best].astype(np.float64)}))
+    table = lambda pdf, c, t: np.frombuffer(b"".join(pdf[c]), t).reshape(len(pdf), -1)
+    ids, qs = rows["vec_id"].to_numpy(np.int64), query["vec_id"].to_numpy(np.int64)
+    y, x = table(rows, "vec", kind).astype(np.float64), table(query, "vec", kind).astype(np.float64)
+    y_blocks, x_blocks = np.ascontiguousarray(table(rows, "blocks", np.int16).T), table(query, "blocks", np.int16)
+    out = [none]
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = (y * y).sum(1)
+        # What rounding may add to or take from a squared distance by the product below.
+        slip = 4 * (y.shape[1] + 4) * np.finfo(np.float64).eps
+        for at in range(0, len(qs), 256):
+            part = x[at : at + 256]
+            both = (part * part).sum(1)[:, None] + norm[None]
+            d = both - 2 * part @ y.T
+            for i in range(len(part)):
+                met = (np.abs(y_blocks - x_blocks[at + i][:, None]) <= 1).any(0)
+                near = np.flatnonzero(met & (ids != qs[at + i]))
+                if len(near) > k:
+                    row, err = d[i, near], slip * both[i, near]
+                    # What is beyond the range of doubles (nan) stays as well.
+                    near = near[~(row - err > np.partition(row + err, k - 1)[k - 1])]
+                score = np.sqrt(np.square(y[near] - part[i]).sum(1))
+                best = np.lexsort((ids[near], score))[:k]
+                out.append(pd.DataFrame({"query_id": qs[at + i], "vec_id": ids[near[best]], "score": score[best]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -143,6 +151,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     sample = np.array([v for v in sample if len(v) == width], dtype=np.float64)
     small = n <= SMALL
     index = spark.sparkContext.broadcast(Index(sample, n, curves=1 if small else CURVES, blocks=1 if small else BLOCKS))
+    # Floats travel as they came, all else as doubles.
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
@@ -150,31 +160,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             if not len(batch):
                 continue
             x = np.array(batch["v"].tolist(), dtype=np.float64)
-            codes = [c.tobytes() for c in ix.codes(x)]
-            for c in range(len(ix.turns)):
-                yield pd.DataFrame({"curve": c, "block": ix.blocks(x, c), "vec_id": batch["vec_id"].to_numpy(), "code": codes})
-
-    rows = data.mapInPandas(keyed, "curve int, block int, vec_id long, code binary")
-    rows = materialise(rows, "curves")
-    # CURVES * BLOCKS counts at most.
-    salts = rows.groupBy("curve", "block").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts")).toPandas()
-    salts = F.broadcast(spark.createDataFrame([tuple(map(int, r)) for r in salts.itertuples(index=False)], "curve int, block int, salts int"))
-    candidates = rows.join(salts, ["curve", "block"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts")
-    window = F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1))
-    queries = rows.where(F.col("vec_id") % every == 0).select("curve", window.alias("block"), "vec_id", "code").join(salts, ["curve", "block"])
-    queries = queries.select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "vec_id", "code")
-    queries = queries.toDF("q_curve", "q_block", "q_salt", "vec_id", "code")
-    found = queries.groupBy("q_curve", "q_block", "q_salt").cogroup(candidates.groupBy("curve", "block", "salt")).applyInPandas(lambda q, r: _nearest(q, r, PER_BLOCK), "query_id long, vec_id long, near double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("near"))
-    best = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("near", "vec_id"))), 1, RERANK).alias("best"))
-    pairs = best.select("query_id", F.explode("best").alias("b")).select("query_id", F.col("b.vec_id").alias("vec_id"))
-    pairs = pairs.join(data, "vec_id").join(data.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.sqrt(np.square(np.asarray(x, np.float64) - np.asarray(y, np.float64)).sum())) for x, y in zip(a, b)], dtype="float64")
-
-    ranked = pairs.select("query_id", "vec_id", distance("v", "q").alias("score"))
-    # At most RERANK candidates to a query, so these groups are small.
-    top = ranked.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
+            blocks = np.stack([ix.blocks(x, c) for c in range(len(ix.turns))], 1).astype(np.int16)
+            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "vec": [v.astype(kind).tobytes() for v in x], "blocks": [b.tobytes() for b in blocks]})
+
+    rows = materialise(data.mapInPandas(keyed, "vec_id long, vec binary, blocks binary"), "curves")
+    chunks = -(-n // GROUP_ROWS)
+    candidates = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(chunks)).cast("int"))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("q_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    shape_found = "query_id long, vec_id long, score double"
+    found = queries.groupBy("q_chunk").cogroup(candidates.groupBy("chunk")).applyInPandas(lambda q, r: _nearest(q, r, k, kind), shape_found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
