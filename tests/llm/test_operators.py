@@ -291,6 +291,25 @@ def test_jaccard_components_match_brute_force(spark):
     assert kept.columns == docs(spark, texts, order).columns
 
 
+def test_jaccard_links_within_a_component_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    rng = random.Random(21)
+    base = prose(rng, 300, 10_000).split()
+    texts = [" ".join(base[: 290 + k]) for k in range(10)] + [prose(rng, 80, 10_000)] * 2 + [None]
+    # A chain: neighbours are near, ends are not.
+    chain = prose(rng, 200, 10_000).split()
+    texts += [" ".join(chain[8 * k : 8 * k + 150]) for k in range(6)]
+    words = [t.split() if t else [] for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    first = [sets.index(x) for x in sets]
+    want = {(a, b) for a, b in itertools.combinations(sorted(set(first)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    d = docs(spark, texts)
+    assert {(r.a, r.b) for r in jaccard_join.links(d).collect()} == want
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(d, count_links=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [sum(first[i] in p for p in want) for i in range(len(texts))]
+    assert "n_links" not in jaccard_join.join(d).columns
+
+
 def test_jaccard_odd_rows(spark):
     d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [5, 5, None, 7])
     rows = sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard_join.join(d).collect())

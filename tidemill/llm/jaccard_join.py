@@ -20,6 +20,9 @@
 4. Every candidate pair is verified on whole sets (a lower bound from block
    counts first spares most of the shuffling of sets).
 
+Steps 3 and 4 give exact components. Links themselves are listed (``links``) and
+counted (``join`` with ``count_links``) from all pairs that meet in a region.
+
 The rarity order needs only be the same everywhere, so it comes from a table of
 fixed size (2**23 counters of shingle hashes, counted over all documents).
 
@@ -48,6 +51,7 @@ HEAD = 8
 BROADCAST_IDS = 500_000
 ROWS = 1000
 PIVOT_ROUNDS = 2
+PART = 1000
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -254,8 +258,8 @@ def _near_sizes(x: str, y: str):
     return (F.col(x) * DEN >= F.col(y) * NUM) & (F.col(y) * DEN >= F.col(x) * NUM)
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with n and class, classes with component, verified pairs of classes)."""
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with n and class, classes, regions of more than one class, sets of their classes, facts on these)."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(rarity_table(docs))
     rows = materialise(shingled(docs, table), "shingled")
@@ -271,8 +275,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = materialise(full_sets(docs, ids), "sets")
     facts = anchors.select("id", "n", F.slice("anchors", 1, HEAD).alias("head")).join(ids, "id", "left_semi")
     facts = materialise(facts.dropDuplicates(["id"]), "facts")
+    return rows.select("doc_id", "n", "fp").join(classes, ["n", "fp"], "left"), classes, regions, sets, facts
+
+
+def components(classes: DataFrame, regions: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, component) of every class; pairs within one component are not tested, so this lists no links."""
     labels = facts.select("id", F.col("id").alias("component"))
-    tested = links = pivots = None
+    tested = pivots = None
     live = regions
     for turn in range(PIVOT_ROUNDS):
         named = live.join(labels, "id").join(facts.select("id", "n"), "id")
@@ -291,9 +300,24 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         live = named.where("id <> a").select("region", "id")
     found = verified(_window_pairs(live, pivots, tested, labels, facts), sets)
     labels = _merged(labels, found)
-    links = tested.unionByName(found).where("linked").select("a", "b")
-    labels = classes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return rows.select("doc_id", "n", "fp").join(classes, ["n", "fp"], "left"), labels, links
+    return classes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def all_links(regions: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of linked classes, those of one component as well.
+
+    As many rows as there are links, so a group of near copies costs its square; its
+    regions are dealt in parts of about ``PART`` members, and each task meets two parts.
+    """
+    parts = regions.groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    named = regions.join(parts, "region").join(facts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = named.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"), F.col("part").alias("pa"), every.alias("pb"))
+    right = named.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"), F.col("part").alias("pb"), every.alias("pa"))
+    # Sets that share some of their first pivots meet in the least such region only.
+    shared = F.array_min(F.array_intersect("ha", "hb"))
+    pairs = left.join(right, ["region", "pa", "pb"]).where("a < b").where(_near_sizes("na", "nb")).where(shared.isNull() | (shared == F.col("region")))
+    return verified(pairs.select("a", "b", "na", "nb").distinct(), sets).where("linked").select("a", "b").distinct()
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -339,20 +363,33 @@ def _window_pairs(live: DataFrame, pivots: DataFrame, tested: DataFrame, labels:
     return pairs.join(old, ["a", "b"], "left_anti")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, n_links of the class with other classes."""
-    rows, labels, links = link(docs)
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).groupBy("id").agg(F.count_distinct("other").alias("n_links"))
-    known = labels.join(ends, "id", "left").select("id", "component", "n_links")
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of classes within the distance, each class named by its smallest doc_id."""
+    _, _, regions, sets, facts = prepared(docs)
+    return all_links(regions, sets, facts)
+
+
+def join(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id; with ``count_links`` also n_links of the class with other classes.
+
+    Components don't need the pairs within them; counting links lists and verifies them all.
+    """
+    rows, classes, regions, sets, facts = prepared(docs)
+    known = components(classes, regions, sets, facts)
+    if count_links:
+        pairs = all_links(regions, sets, facts)
+        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+        known = known.join(ends, "id", "left")
     out = rows.join(known, "id", "left")
     # Without an id no class can be named; without words the document stands alone.
     own = F.col("doc_id").isNull() | (F.col("n") == 0)
+    n_links = [F.when(own, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(own, F.col("doc_id")).otherwise(F.col("id")).alias("class_id"),
         F.when(own, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.when(own, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+        *n_links,
     )
 
 
