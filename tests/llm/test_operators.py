@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 import re
@@ -442,6 +443,41 @@ def test_chat_links_calls_to_results(spark):
     assert none[0].message == '{"content":"","role":"user"}'
 
 
+def test_chat_checks_types_and_sorts_arguments(spark):
+    kit = {
+        "tools": [
+            {"name": "f", "required": ["a"], "properties": {"a": "int", "s": {"type": "string"}, "o": {"type": ["object", "null"]}, "l": "list", "n": "number", "w": "date"}},
+            {"name": "free"},
+        ]
+    }
+    cases = [
+        ("f", {"a": 1}, '{"a":1}', True),
+        ("f", {"a": "text"}, '{"a":"text"}', False),
+        ("f", {"a": 1.5}, '{"a":1.5}', False),
+        ("f", {"s": "x", "a": 2}, '{"a":2,"s":"x"}', True),
+        ("f", {"s": 3, "a": 2}, '{"a":2,"s":3}', False),
+        ("f", {"o": {"z": [{"y": None, "b": True}], "c": "é"}, "a": 2}, '{"a":2,"o":{"c":"é","z":[{"b":true,"y":null}]}}', True),
+        ("f", {"o": None, "a": 2, "w": "2020", "n": 1, "l": []}, '{"a":2,"l":[],"n":1,"o":null,"w":"2020"}', True),
+        ("f", {"a": 2, "l": {}}, '{"a":2,"l":{}}', False),
+        ("f", '{ "s": "q",  "a": 7 }', '{"a":7,"s":"q"}', True),
+        ("f", 'say "a"', '"say \\"a\\""', False),
+        ("f", '{"a":1} x', '"{\\"a\\":1} x"', False),
+        ("f", '{"a":1}] x [1', '"{\\"a\\":1}] x [1"', False),
+        ("f", '{"a":1},{"a":2}', '"{\\"a\\":1},{\\"a\\":2}"', False),
+        ("f", "", '""', False),
+        ("f", [1, 2], "[1,2]", False),
+        ("f", None, "null", False),
+        ("free", {"b": 1, "a": "x"}, '{"a":"x","b":1}', True),
+    ]
+    calls = [{"id": str(i), "name": n, "arguments": a} for i, (n, a, _, _) in enumerate(cases)]
+    rows = [(1, 0, "system", json.dumps(kit)), (1, 1, "assistant", json.dumps({"tool_calls": calls}))]
+    got = {r.call_id: r for r in chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for i, (name, args, want, valid) in enumerate(cases):
+        r = got[str(i)]
+        assert r.message == f'{{"content":"","role":"assistant","tool_calls":[{{"arguments":{want},"id":"{i}","name":"{name}"}}]}}', args
+        assert json.loads(r.message) and r.valid is valid, args
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op4_quality_rules", "op9_sharding", "op10_chat_formatting"])
 def test_native_queries_have_no_python(spark, name):
     from tidemill.llm.queries import queries

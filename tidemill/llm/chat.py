@@ -5,12 +5,21 @@ tool turn JSON with ``tool_call_id``, a system turn JSON with ``tools`` ([{name,
 required, properties}]). Calls and results are hash-joined by conversation and
 call id; calls' arguments are checked against the conversation's schemas; turns
 are put in topological order (a result after its call) and each message is
-serialised as canonical JSON: keys in alphabetical order, no spaces.
+serialised as canonical JSON, arguments included: keys in alphabetical order at
+every level, no spaces, numbers as a variant writes them.
+
+A call is valid when its arguments are one JSON object, hold what the schema
+requires and nothing it doesn't know, and each has the JSON type that its property
+declares (a type's name, or a JSON schema with ``type``: one name or a list).
+Properties' own inner schemas are not looked into; a type's name that JSON doesn't
+know allows any value.
 
 One row per turn and call keeps conversations of any length distributed: no
 conversation is ever collected. ``order_key`` sorts a conversation's messages.
 
-Defined results. A text that is not such JSON is plain content; null is empty.
+Defined results. Arguments given as a string that holds JSON count as that JSON;
+other text (objects that repeat a key as well) is a JSON string and not valid.
+A text that is not such JSON is plain content; null is empty.
 Null roles count as ``user``. Of calls that repeat an id in one conversation, the
 first turn's (then the first in its list) is linked. A result whose call is
 missing keeps its own place and is counted as unlinked. A null ``conv_id`` is one
@@ -27,11 +36,55 @@ RESULT = "struct<tool_call_id:string,content:string>"
 TOOLS = "struct<tools:array<struct<name:string,required:array<string>,properties:map<string,string>>>>"
 
 
+#: JSON type -> names that schemas use for it
+TYPES = {
+    "string": "string str text",
+    "integer": "integer int long bigint",
+    "number": "number float double decimal numeric",
+    "boolean": "boolean bool",
+    "array": "array list",
+    "object": "object dict map struct",
+    "null": "null none",
+}
+
+
 def _quoted(c):
     """A JSON string literal."""
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
 
 
+def _parsed(c):
+    """``{"x": <c>}`` as a variant, null unless ``c`` is one JSON value.
+
+    The parser stops after a value, so text behind it shows only where two different
+    brackets must close and a list holds one part.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}")))
+    alone = F.size(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).try_cast("array<variant>")) == 1
+    return F.when(alone, boxed)
+
+
+def _canonical(boxed, c):
+    """The value as canonical JSON; text that isn't JSON as a JSON string."""
+    whole = F.to_json(boxed)
+    return F.coalesce(F.substring(whole, F.lit(6), F.length(whole) - 6), _quoted(c))
+
+
+def _declared(schema):
+    """The JSON types that a property's schema names; null for one that JSON doesn't know."""
+    names = F.create_map(*[F.lit(x) for kind, known in TYPES.items() for n in known.split() for x in (n, kind)])
+    name = F.when(F.ltrim(schema).startswith("{"), F.get_json_object(schema, "$.type")).otherwise(schema)
+    return F.transform(F.when(name.startswith("["), F.from_json(name, "array<string>")).otherwise(F.array(name)), lambda n: F.try_element_at(names, F.lower(n)))
+
+
+def _fits(value, types):
+    """Whether a variant is of one of ``types``."""
+    kind = F.schema_of_variant(value)
+    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$") | ((kind == "DOUBLE") & (value.try_cast("double") % 1 == 0))
+    named = F.when(kind == "VOID", "null").when(kind.isin("BOOLEAN", "STRING"), F.lower(kind)).when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
+    return types.isNull() | F.exists(types, lambda t: t.isNull() | (t == named) | ((t == "integer") & whole))
+
+
 def format_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, order_key, call_id, linked, valid, message."""
     text = F.coalesce("text", F.lit(""))
@@ -47,14 +100,17 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     calls = t.where("size(said.tool_calls) > 0").select("conv_id", "turn", F.posexplode("said.tool_calls").alias("at", "call"))
     calls = calls.select("conv_id", "turn", "at", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
     schemas = t.where("size(kit.tools) > 0").select("conv_id", F.explode("kit.tools").alias("tool")).groupBy("conv_id", F.col("tool.name").alias("name")).agg(
-        F.first(F.col("tool.required")).alias("required"), F.first(F.map_keys("tool.properties")).alias("known")
+        F.first(F.col("tool.required")).alias("required"), F.first(F.transform_values("tool.properties", lambda _, v: _declared(v))).alias("known")
     )
     checked = calls.join(schemas.withColumnRenamed("conv_id", "c2").withColumnRenamed("name", "n2"), F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("name") == F.col("n2")), "left")
-    keys = F.json_object_keys("arguments")
+    checked = checked.withColumn("boxed", _parsed(F.col("arguments")))
+    given = F.try_variant_get("boxed", "$.x", "map<string,variant>")
+    keys = F.map_keys(given)
     valid = F.when(F.col("n2").isNull(), F.lit(False)).otherwise(
         keys.isNotNull()
         & (F.size(F.array_except(F.coalesce("required", F.array().cast("array<string>")), keys)) == 0)
-        & (F.col("known").isNull() | (F.size(F.array_except(keys, F.col("known"))) == 0))
+        & (F.col("known").isNull() | (F.size(F.array_except(keys, F.map_keys("known"))) == 0))
+        & (F.col("known").isNull() | F.forall(F.map_entries(given), lambda e: _fits(e["value"], F.try_element_at("known", e["key"]))))
     )
     checked = checked.withColumn("valid", F.coalesce(valid, F.lit(False)))
     first = checked.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at")).alias("p"), F.min_by("valid", F.struct("turn", "at")).alias("call_valid"))
@@ -74,7 +130,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         F.col("call_valid").alias("valid"),
         F.concat(F.lit('{"content":'), _quoted(F.coalesce("got.content", "text")), F.lit(',"role":"tool","tool_call_id":'), _quoted(F.col("call_id")), F.lit("}")).alias("message"),
     )
-    one = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
+    one = F.concat(F.lit('{"arguments":'), F.when(F.col("arguments").isNull(), "null").otherwise(_canonical(F.col("boxed"), F.col("arguments"))), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
     answered = results.where("call_id is not null").select(F.col("conv_id").alias("c1"), F.col("call_id").alias("i1")).distinct()
     asked = checked.join(answered, F.col("conv_id").eqNullSafe(F.col("c1")) & (F.col("call_id") == F.col("i1")), "left")
     asked = asked.select(
