@@ -412,6 +412,24 @@ def test_sharding_is_even_gapless_and_moves_little(spark):
     assert sharding.reshard(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(1500)] + ["same"] * 5 + [None, ""] * 3
+    ids = [None if i % 7 == 0 else i // 3 for i in range(1500)] + [4, 4, 4, None, None] + [None, None, 4, 4, 4, 4]
+    d = docs(spark, texts, ids)
+    placed = sharding.reshard(d)
+    sharding.rewrite(d, placed, f"file://{tmp_path}/out")
+    where = placed.collect()
+    touched = {k for r in where if r.old_shard != r.shard for k in (r.old_shard, r.shard)}
+    want = sorted((r.shard, r.slot, -1 if r.doc_id is None else r.doc_id, r.text_crc32) for r in where if r.shard in touched)
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    assert out.columns == [*d.columns, "slot", "shard"]
+    rows = out.collect()
+    assert sorted((r.shard, r.slot, -1 if r.doc_id is None else r.doc_id, zlib.crc32((r.text or "").encode())) for r in rows) == want
+    if touched == set(range(24)):
+        assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(i), str(t)) for i, t in zip(ids, texts))
+
+
 def test_flow_moves_just_the_surplus():
     moves = sharding.flow([10, 4, 0], [5, 5, 4])
     assert sum(m[2] for m in moves) == 5 and {m[0] for m in moves} == {0}

@@ -72,11 +72,17 @@ def transfers(blocks: list[tuple[int, int, int]], shards: int) -> dict[int, int]
     return owner
 
 
+def _facts() -> dict:
+    """What a row's place hangs on: its size, its text's checksum, and the hash of id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "crc": F.crc32(text), "key": F.xxhash64("doc_id", "text")}
+
+
 def reshard(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot; texts are read once and never shuffled."""
+    """doc_id, size, text_crc32, old_shard, shard, slot, key (hash of id and text); texts are read once and never shuffled."""
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id", "text").alias("key"))
+    facts = _facts()
+    rows = docs.select("doc_id", facts["size"].alias("size"), facts["crc"].alias("text_crc32"), facts["key"].alias("key"))
     rows = materialise(rows, "sizes")
     n = rows.count()
     blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, n // BLOCK_ROWS))
@@ -89,12 +95,26 @@ def reshard(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
         at[owner[r["block"]]] += r["n"]
     table = F.broadcast(spark.createDataFrame(start, "block int, shard int, before long"))
     rank = F.row_number().over(Window.partitionBy("block").orderBy("key", "doc_id", "text_crc32"))
-    return rows.withColumn("rank", rank - 1).join(table, "block").select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
+    return rows.withColumn("rank", rank - 1).join(table, "block").select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"), "key")
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents of every shard that a move touches as ``shard=K`` folders; other shards' files stay."""
+    """Write the documents of every shard that a move touches as ``shard=K`` folders; other shards' files stay.
+
+    ``placed`` is what ``reshard`` gave for ``docs``. Rows that are equal in id (null
+    as a value) and text lie in one block, so they are numbered and any takes any of
+    their slots: each row is written once.
+    """
     touched = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    chosen = placed.join(F.broadcast(touched), "shard", "left_semi").select("doc_id", "shard", "slot")
-    out = docs.join(chosen, "doc_id").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
+    same = ["__id", "__key", "__size", "__crc"]
+    number = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
+    chosen = placed.join(F.broadcast(touched), "shard", "left_semi")
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot")
+    chosen = chosen.withColumn("__at", number("slot")).withColumnsRenamed({c: f"{c}2" for c in [*same, "__at"]})
+    rows = docs.withColumns({"__id": F.col("doc_id"), **{f"__{k}": c for k, c in _facts().items()}}).withColumn("__at", number("__key"))
+    met = F.col("__id").eqNullSafe(F.col("__id2"))
+    for c in [*same[1:], "__at"]:
+        met &= F.col(c) == F.col(f"{c}2")
+    out = rows.join(chosen, met).select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
+    out = out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
