@@ -311,6 +311,15 @@ def test_jaccard_links_within_a_component_are_counted(spark, monkeypatch):
     assert "n_links" not in jaccard_join.join(d).columns
 
 
+def test_jaccard_windows_meet_at_exact_multiples(spark):
+    """Distances of 0.2 and 0.4 to the pivot lie in neighbouring windows."""
+    table = lambda rows, shape: spark.createDataFrame(rows, shape)
+    tested = table([(1, 2, 16, 20, 16), (1, 3, 16, 16, 12)], "a long, b long, na long, nb long, inter long")
+    facts = table([(2, 20, [7]), (3, 16, [7])], "id long, n long, head array<long>")
+    pairs = jaccard_join._window_pairs(table([(7, 2), (7, 3)], "region long, id long"), table([(7, 1)], "region long, a long"), tested, table([(2, 2), (3, 3)], "id long, component long"), facts)
+    assert [tuple(r) for r in pairs.collect()] == [(2, 3, 20, 16)]
+
+
 def test_jaccard_odd_rows(spark):
     d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [5, 5, None, 7])
     rows = sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard_join.join(d).collect())

@@ -334,10 +334,12 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 def _window_pairs(live: DataFrame, pivots: DataFrame, tested: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs across components that the sizes and the triangle inequality about the region's last pivot leave open."""
-    far = tested.where("inter is not null").select(F.col("a").alias("p"), "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-    far = far.unionByName(far.select(F.col("b").alias("p"), F.col("p").alias("b"), "d")).dropDuplicates(["p", "b"])
+    # The window's number in whole numbers: a distance of just 0.2, 0.4, ... must not round down.
+    number = F.expr(f"((na + nb - 2 * inter) * {DEN}) div ((na + nb - inter) * {DEN - NUM})").cast("int")
+    far = tested.where("inter is not null").select(F.col("a").alias("p"), "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"), number.alias("at"))
+    far = far.unionByName(far.select(F.col("b").alias("p"), F.col("p").alias("b"), "d", "at")).dropDuplicates(["p", "b"])
     named = live.join(labels, "id").join(pivots.withColumnRenamed("a", "p"), "region", "left")
-    named = named.join(far.withColumnRenamed("b", "id"), ["p", "id"], "left").select("region", "id", "component", "d")
+    named = named.join(far.withColumnRenamed("b", "id"), ["p", "id"], "left").select("region", "id", "component", "d", "at")
     # Only regions that still hold several components; each pair has a member outside the region's main one.
     main = named.groupBy("region", "component").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
     named = named.join(main.where("parts > 1").select("region", F.col("m.component").alias("main")), "region").join(facts, "id")
@@ -345,7 +347,7 @@ def _window_pairs(live: DataFrame, pivots: DataFrame, tested: DataFrame, labels:
     width = (DEN - NUM) / DEN
     # Windows are numbered from 0; ALL holds every member, UNKNOWN those whose distance isn't known (they meet all).
     everyone, unknown = -9, -8
-    w = F.floor(F.col("d") / width).cast("int")
+    w = F.col("at")
     held = F.when(F.col("d").isNull(), F.array(F.lit(everyone), F.lit(unknown))).otherwise(F.array(F.lit(everyone), w))
     asks = F.when(F.col("d").isNull(), F.array(F.lit(everyone))).otherwise(F.array(w - 1, w, w + 1, F.lit(unknown)))
     probe = named.where("component <> main").withColumn("w", F.explode(asks))
