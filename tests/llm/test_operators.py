@@ -124,6 +124,26 @@ def test_toxicity_learns_and_reads_through_disguise(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_reads_disguised_words_in_long_tokens(spark):
+    texts, marks = toxic_corpus()
+    clean = ",".join(f"w{i}" for i in range(30))
+    extra = [f"{clean},g0rpl4x,z1mbat,{clean}", "g" + "o" * 80 + "rplax w1 w2", f"http://w1.w2/{'w3/' * 30}fl$rgle/g0rpl4x", clean]
+    labels = spark.createDataFrame([(i, 1, m) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs(spark, texts + extra), labels).collect()}
+    assert [got[len(texts) + k] for k in range(4)] == [1, 1, 1, 0]
+
+
+def test_toxicity_viterbi_is_linear():
+    import time
+
+    read, took = toxicity.Restorer(np.zeros(1 << 18, np.float32)), []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        assert read.best("a0" * n)[0] == "a0" * n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
 def test_toxicity_without_labels_scores_nothing(spark):
     d = docs(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -105,8 +105,7 @@ class Restorer:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        slots: list[list[tuple[str, float]]] = []
+    def lattice(self, token: str) -> Iterator[list[tuple[str, float]]]:
         i = 0
         while i < len(token):
             c, j = token[i], i
@@ -114,18 +113,21 @@ class Restorer:
                 j += 1
             run = j - i
             if run >= 3 and _LETTER.match(c):
-                slots.append([(c, COLLAPSE), (c + c, COLLAPSE), (c * min(run, 4), 0.0)])
+                yield [(c, COLLAPSE), (c + c, COLLAPSE), (c * min(run, 4), 0.0)]
             else:
                 for _ in range(run):
-                    slots.append([(c, 0.0)] + [(x, CHANNEL) for x in LEET.get(c, "")])
+                    yield [(c, 0.0)] + [(x, CHANNEL) for x in LEET.get(c, "")]
             i = j
-        return slots
 
     def best(self, token: str) -> tuple[str, float]:
-        """The likeliest reading and its log probability with both borders."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for slot in [*self.lattice(token), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+        """The likeliest reading and its log probability with both borders.
+
+        A state holds (the reading before, its last part), not a growing string, so
+        the work is linear in the token's length.
+        """
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for slot in chain(self.lattice(token), [[(" ", 0.0)]]):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, said) in states.items():
                 for out, cost in slot:
                     x, y, s = a, b, score + cost
@@ -135,14 +137,22 @@ class Restorer:
                         x, y = y, z
                     key = (x, y)
                     if key not in new or s > new[key][0]:
-                        new[key] = (s, said + out)
+                        new[key] = (s, (said, out))
             states = new
-        score, said = max(states.values())
-        return said.strip(), score
+        score = max(s for s, _ in states.values())
+        return max(self.reading(said) for s, said in states.values() if s == score).strip(), score
+
+    @staticmethod
+    def reading(said: tuple | None) -> str:
+        out = []
+        while said:
+            said, last = said
+            out.append(last)
+        return "".join(reversed(out))
 
     def token(self, token: str) -> str:
         if _REPEAT.search(token) or (_SIGN.search(token) and _LETTER.search(token)):
-            return self.best(token)[0] if len(token) <= 64 else token
+            return self.best(token)[0]
         return token
 
     def spaced(self, run: str) -> str:
