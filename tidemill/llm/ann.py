@@ -15,8 +15,9 @@ chunk grows with a common vector or a group of near copies.
 The index (rotations, block borders, cell size) is fitted on a bounded sample of
 ``SAMPLE_ROWS`` vectors; every vector is indexed. Blocks number ``BLOCKS`` to a
 curve at any size, for on data without structure recall at a fixed share of the
-input is what a curve can promise; fewer, larger blocks raise recall, more blocks
-cut work.
+input is what a curve can promise; fewer, larger blocks raise recall. Distances are
+multiplied out against every row of a chunk before the blocks choose, so work is
+queries times rows, as in a full search, and more blocks don't cut it.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite parts
 take no part; nor do those of another width than the sample's most common one.
