@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import ann, chat, html_extract, jaccard_join, license_scan, packing, quality, sentencepiece_codec, sharding, toxicity
 from tidemill.llm.queries import tokenizer_path
@@ -331,13 +332,34 @@ def test_jaccard_links_within_a_component_are_counted(spark, monkeypatch):
     assert "n_links" not in jaccard_join.join(d).columns
 
 
-def test_jaccard_windows_meet_at_exact_multiples(spark):
-    """Distances of 0.2 and 0.4 to the pivot lie in neighbouring windows."""
-    table = lambda rows, shape: spark.createDataFrame(rows, shape)
-    tested = table([(1, 2, 16, 20, 16), (1, 3, 16, 16, 12)], "a long, b long, na long, nb long, inter long")
-    facts = table([(2, 20, [7]), (3, 16, [7])], "id long, n long, head array<long>")
-    pairs = jaccard_join._window_pairs(table([(7, 2), (7, 3)], "region long, id long"), table([(7, 1)], "region long, a long"), tested, table([(2, 2), (3, 3)], "id long, component long"), facts)
-    assert [tuple(r) for r in pairs.collect()] == [(2, 3, 20, 16)]
+def test_jaccard_levels_rings_and_parts_match_brute_force(spark, monkeypatch):
+    """Tiny regions and parts, so that every level, ring and part does work; one common line in all, two large unlike groups."""
+    for name, value in (("REGION", 3), ("PART", 4), ("LEVELS", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(33)
+    line = prose(rng, 12, 10_000)
+    texts = []
+    for _ in range(2):
+        base = prose(rng, 120, 10_000).split()
+        for k in range(25):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 8])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words) + " " + line)
+    texts += [prose(rng, rng.randrange(5, 60), 10_000) + " " + line for _ in range(20)]
+    # Distances of just 0.2 and more about one text, for the rings' borders.
+    words = prose(rng, 104, 10_000).split()
+    texts += [" ".join(words[:k]) for k in (104, 84, 68, 56, 45, 44, 37, 31, 24, 20)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs(spark, texts)).collect()}
+    want, _ = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_jaccard_open_pairs_skip_two_guests_and_small_rests(spark):
+    rows = [(7, 1, 20, 0, 0), (7, 2, 20, 0, 1), (7, 3, 20, 0, 1), (7, 4, 20, 9, 0), (7, 5, 10, 0, 0)]
+    members = spark.createDataFrame(rows, "region long, id long, n long, place int, guest int")
+    pairs = sorted((r.a, r.b) for r in jaccard_join._open_pairs(members, None).collect())
+    assert pairs == [(1, 2), (1, 3)]  # 2 and 3 meet at home, 4 holds too few from there on, 5 is too small
 
 
 def test_jaccard_odd_rows(spark):
@@ -347,14 +369,24 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.join(d.limit(0)).count() == 0
 
 
-def test_sketch_never_exceeds_the_difference():
+def test_parity_bitmaps_never_exceed_the_difference():
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        a, b = (np.unique(rng.integers(0, 500, 200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        gap = int(np.abs(jaccard_join.sketch(a).astype(int) - jaccard_join.sketch(b)).sum())
+    for size in (1, 3, 40, 200, 900):
+        a, b = (np.unique(rng.integers(0, 3 * size, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        b = b[: rng.integers(1, len(b) + 1)]
+        gap = jaccard_join.apart_at_least(jaccard_join.bitmap(a), jaccard_join.bitmap(b))
         assert gap <= len(np.setxor1d(a, b))
 
 
+def test_jaccard_keeps_one_row_of_repeated_ids_whatever_the_order(spark):
+    """Rows of one id with different texts stand for themselves; of rows alike the smallest stays."""
+    rows = [(1, "a b c d e f", "de", "s"), (1, "a b c d e f", "en", "s"), (1, "other words that stand here", "en", "s"), (2, "a b c d e f", "aa", "s"), (3, "", "en", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {(1, "a b c d e f", "de"), (1, "other words that stand here", "en"), (3, "", "en")}
+    for frame in (d, d.orderBy(F.desc("lang")).repartition(3)):
+        assert {(r.doc_id, r.text, r.lang) for r in jaccard_join.keep_one(frame).collect()} == want
+
+
 def test_long_texts_hash_the_same_in_pieces(monkeypatch):
     text = prose(random.Random(2), 5000)
     whole = jaccard_join.shingle_set(text)

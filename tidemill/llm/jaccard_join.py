@@ -1,34 +1,43 @@
 """Exact Jaccard similarity join of documents on word shingles, in metric-space style.
 
 1. Each text becomes its set of distinct five-word shingles (64-bit hashes);
-   equal sets are one class, represented by its smallest ``doc_id``.
+   equal sets are one class.
 2. Pivots. A single shingle {s} is a pivot at distance 1 - 1/|x| from every set x
    that holds it and 1 from all others, so the nearest pivots of x are its own
-   shingles; ties go to the globally rarer shingle, then the smaller hash. The
-   Voronoi region of x is its first pivot's. Whatever lies within distance 0.2
-   of x shares at least 0.8|x| shingles with it, so it shares one of the first
-   |x| - ceil(0.8|x|) + 1 of x's pivots: x is replicated to just these regions
-   and no link is lost. (Document pivots alone can't part texts: unrelated texts
-   are all at distance 1 from them. Inside a region they can, see next.)
-3. Regions join recursively. In each round a region takes one of its documents
-   as pivot p, the exact distances d(x, p) of its other members are computed,
-   and members within 0.2 of p are linked and merge into one component. Regions
-   whose members are all of one component are done. After ``PIVOT_ROUNDS`` the
-   pairs left, across components only, must satisfy the triangle inequality
-   |d(x, p) - d(y, p)| <= 0.2: members are dealt into distance windows around
-   the pivot, boundary members to both sides, and only window mates are checked.
-4. Every candidate pair is verified on whole sets (a lower bound from block
-   counts first spares most of the shuffling of sets).
-
-Steps 3 and 4 give exact components. Links themselves are listed (``links``) and
-counted (``join`` with ``count_links``) from all pairs that meet in a region.
-
-The rarity order needs only be the same everywhere, so it comes from a table of
-fixed size (2**23 counters of shingle hashes, counted over all documents).
-
-``doc_id`` is taken as unique. Defined results. Null or word-free text: an empty set, linked with nothing. Fewer
-than five words: the sequence as one shingle. Rows that repeat a ``doc_id`` are
-one vertex; if their texts differ, it holds the links of one of them. A null ``doc_id`` is kept, links with nothing and has its own null component.
+   shingles; ties go to the rarer shingle. Whatever lies within distance 0.2 of x
+   holds 0.8|x| of its shingles, hence one of the first |x| - ceil(0.8|x|) + 1
+   pivots of x: x is replicated to just these pivots' Voronoi regions and no link
+   is lost. A set at place i of its own order holds |x| - i shingles from there
+   on, so two sets that first meet in a region share no more than the smaller rest
+   allows: this window on the places leaves few pairs. (Document pivots alone can't
+   part texts: unrelated texts are all at distance 1 from them.)
+3. Rarity is counted, over all documents, by a grouped aggregation. First for a
+   hash share ``SHARE`` of all shingles: each set holds those of the share (and
+   more, if these are fewer than its pivots). A shingle of one document makes no
+   region, so documents mostly of such shingles leave here. Then for all shingles
+   of the sets that stay, which gives them their final order.
+4. Regions join recursively. A region of more than ``REGION`` members takes one of
+   them as document pivot p; the exact distance of every member to p is computed,
+   members within 0.2 are linked and become one component, and the members are
+   dealt into rings of width 0.2 around p. By the triangle inequality linked sets
+   lie in the same or in adjoining rings, so each member is replicated to the next
+   ring too, and the rings are the next level's regions. Regions of one component
+   are done; ``LEVELS`` levels at most, for unlike texts are all at one distance.
+5. What is left meets in its regions, large ones dealt into parts, only across
+   components, and within the windows of sizes and places. Pairs are verified on
+   whole sets; a bitmap of parities first refutes most that are unlike.
+
+Components are exact that way. Links themselves are listed (``links``) and counted
+(``join`` with ``count_links``) from all pairs that meet in a first-level region.
+Exact means up to equal 64-bit hashes of different shingles or sets.
+
+Defined results. Null or word-free text: an empty set, linked with nothing. Fewer
+than five words: the sequence as one shingle. Very long texts are hashed in
+pieces, to the same set. Rows that repeat are of one class; rows that share a
+``doc_id`` but not a text are joined each on its own text. A null ``doc_id`` is
+kept, links with nothing and has its own null component. Ties in rarity go by
+hash. An empty table gives no rows. Other columns are ignored, whatever their
+names (``keep_one`` carries them).
 """
 
 from __future__ import annotations
@@ -37,21 +46,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, release
 
 SHINGLE, NUM, DEN = 5, 80, 100
-TABLE_BITS, TABLE_PARTS = 23, 64
-SKETCH = 128
-BITMAP = 1 << 23
-HEAD = 8
-BROADCAST_IDS = 500_000
+SHARE = 0.25
+REGION, LEVELS, PART = 64, 2, 512
+BITMAP = (1 << 20, 1 << 27)
 ROWS = 1000
-PIVOT_ROUNDS = 2
-PART = 1000
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -127,48 +131,27 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Counts of the set in SKETCH hash blocks; |a - b| summed never exceeds the symmetric difference."""
-    return np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).clip(max=65535).astype(np.uint16)
+_CUT = np.uint64(int(SHARE * 2**64))
 
 
-def rarity_table(docs: DataFrame) -> np.ndarray:
-    """log2 class of the count of every shingle bucket, over all documents: 2**TABLE_BITS bytes at any input size."""
-    size, part = 1 << TABLE_BITS, (1 << TABLE_BITS) // TABLE_PARTS
+def bitmap(s: np.ndarray) -> bytes:
+    """Parities of the set's counts in hash blocks, two to four blocks a shingle.
+
+    Differing bits of two bitmaps never exceed the symmetric difference.
+    """
+    blocks = 1 << max(6, (2 * len(s) - 1).bit_length())
+    at = (s & np.uint64(blocks - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=blocks).astype(np.uint8) & 1, bitorder="little").tobytes()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(size, np.int32)
-        for batch in batches:
-            for text in batch["text"]:
-                s = shingle_set(text)
-                at = (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)  # sorted, as the set is
-                new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-                held[at[new]] += np.diff(np.concatenate((new, [len(at)]))).astype(np.int32)
-        if held.any():
-            salt = int(held.sum(dtype=np.int64) % 61)
-            pack = zstandard.ZstdCompressor(level=1)
-            for i in range(TABLE_PARTS):
-                yield pd.DataFrame({"part": [i], "salt": [salt], "wide": [False], "held": [pack.compress(held[i * part : (i + 1) * part].tobytes())]})
-
-    def added(keep: bool):
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(part, np.int64)
-            unpack = zstandard.ZstdDecompressor()
-            for x, wide in zip(pdf["held"], pdf["wide"]):
-                total += np.frombuffer(unpack.decompress(x), np.int64 if wide else np.int32)
-            data = total.tobytes() if keep else np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()
-            return pd.DataFrame({"part": pdf["part"][:1], "salt": pdf["salt"][:1], "wide": [True], "held": [zstandard.compress(data, 1)]})
-
-        return add
-
-    shape = "part int, salt int, wide boolean, held binary"
-    # Two levels of adding keep every group small however many tasks there were.
-    counts = docs.select("text").mapInPandas(count, shape).groupBy("part", "salt").applyInPandas(added(True), shape)
-    rows = counts.groupBy("part").applyInPandas(added(False), shape).collect()
-    table = np.zeros(size, np.uint8)
-    for r in rows:
-        table[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(zstandard.decompress(r["held"]), np.uint8)
-    return table
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference from two bitmaps; the longer is folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _slices(batches) -> Iterator[pd.DataFrame]:
@@ -177,44 +160,73 @@ def _slices(batches) -> Iterator[pd.DataFrame]:
             yield batch[at : at + ROWS]
 
 
-def shingled(docs: DataFrame, table) -> DataFrame:
-    """doc_id, n, fp (of the whole set), anchors (first pivots)."""
+def _fingerprint(s: np.ndarray) -> int:
+    at = np.arange(len(s), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        return int(_mix(_mix(s * at).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).astype(np.int64)[0])
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """doc_id, same (hash of the text), n, id (of the whole set), held.
+
+    ``held`` are the set's first shingles by hash: those of the share, or as many as it has pivots if these are more.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rare = table.value
         for batch in _slices(batches):
-            n, fp, anchors = [], [], []
+            n, ids, held = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text)
                 n.append(len(s))
-                if not len(s):
-                    fp.append(0)
-                    anchors.append([])
-                    continue
-                at = np.arange(len(s), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                with np.errstate(over="ignore"):
-                    fp.append(int(_mix(s * at).sum(dtype=np.uint64).astype(np.int64)))
-                order = np.argsort(rare[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)], kind="stable")
-                anchors.append(s[order[: prefix_length(len(s))]].astype(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "fp": fp, "anchors": anchors})
+                ids.append(_fingerprint(s) if len(s) else 0)
+                held.append(s[: max(int(np.searchsorted(s, _CUT)), prefix_length(len(s)))].astype(np.int64) if len(s) else [])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "same": batch["same"], "n": n, "id": ids, "held": held})
 
     # Ids as text, for pandas would turn ids beside a null one into floats.
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return named.mapInPandas(rows, "doc_id string, n long, fp long, anchors array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
+    return named.mapInPandas(rows, "doc_id string, same long, n long, id long, held array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, members, sketch) of the documents listed in ``ids`` (id), and of a few more.
+def anchored(heads: DataFrame, cut: int | None) -> DataFrame:
+    """(region, id, n, place, members): each class in the regions of its first pivots, where these have several members.
 
-    A bitmap of fixed size picks the texts to hash, so neither texts nor sets are
-    shuffled; what it lets through too much meets no pair.
+    ``heads`` has id, n and ``held``: the set's first shingles by hash, which are all below ``cut`` (all at all
+    if None) and as many as it has pivots at least. Below ``cut`` counts are exact, so order goes by them.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    held = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(id), {BITMAP}) & 63))").alias("bit"))
-    words = held.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # BITMAP / 64 rows at most
-    bitmap = np.zeros(BITMAP // 64, np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    each = heads.select("id", F.posexplode("held").alias("k", "token"))
+    # Partial sums before the shuffle make a common shingle cost no more than a rare one.
+    counts = materialise(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    counted = F.lit(True) if cut is None else (F.col("token") >= 0) & (F.col("token") < F.lit(cut))
+    low = F.size("held") if cut is None else F.size(F.filter("held", lambda x: (x >= 0) & (x < cut)))
+    rows = each.join(counts, "token").withColumn("counted", counted).join(heads.select("id", "n", low.alias("low")), "id")
+    # Shingles of one document come first; the others below the cut follow by count, those beyond it by hash.
+    own = Window.partitionBy("id")
+    order = own.orderBy(F.desc("counted"), F.when(F.col("counted"), F.col("df")), "token")
+    single = F.col("low") - F.sum(F.col("counted").cast("int")).over(own)
+    place = F.when(F.col("counted"), single + F.row_number().over(order) - 1).otherwise(F.col("k")).cast("int")
+    pivots = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    first = rows.select(F.col("token").alias("region"), "id", "n", place.alias("place")).where(F.col("place") < pivots)
+    first = materialise(first, "anchors")
+    size = first.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
+    regions = materialise(first.join(size, "region"), "regions")
+    release(counts, first)
+    return regions
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, held, bits) of the classes in ``ids`` (id, doc_id), and of a few more; ``held`` is the whole set.
+
+    A bitmap of document ids picks the texts to hash, so texts aren't shuffled; it has
+    16 bits an id, within the two bounds of ``BITMAP``: past the larger one (16 MB),
+    more texts are hashed than need be, which changes no result.
+    """
+    size = min(BITMAP[1], max(BITMAP[0], 1 << (16 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    held = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {size}) & 63))").alias("bit"))
+    words = held.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # size / 64 rows at most
+    table = np.zeros(size // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared.value.view(np.uint64)
@@ -222,153 +234,184 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = batch["bit"].to_numpy(np.int64)
             hit = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             for part in _slices([batch[hit == 1]]):
-                sets = [shingle_set(t) for t in part["text"]]
-                yield pd.DataFrame({"id": part["doc_id"], "members": [s.tobytes() for s in sets], "sketch": [sketch(s).tobytes() for s in sets]})
+                sets = [s for s in map(shingle_set, part["text"]) if len(s)]
+                yield pd.DataFrame({"id": [_fingerprint(s) for s in sets], "n": [len(s) for s in sets], "held": [s.view(np.int64) for s in sets], "bits": [bitmap(s) for s in sets]})
 
-    chosen = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("bit"))
-    return chosen.mapInPandas(rows, "id long, members binary, sketch binary")
+    chosen = docs.where("doc_id is not null").select("text", bit.alias("bit"))
+    return chosen.mapInPandas(rows, "id long, n long, held array<long>, bits binary")
 
 
-def _apart_at_least(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([int(np.abs(np.frombuffer(x, np.uint16).astype(np.int64) - np.frombuffer(y, np.uint16)).sum()) for x, y in zip(a, b)], dtype="int64")
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([apart_at_least(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
+    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+    """``pairs`` (a, b, ...) with the column ``what`` of both ends, as x and y; only rows that a pair asks for are shuffled."""
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    rows = sets.select("id", what).join(asked, "id", "left_semi")
+    side = lambda c, to: rows.select(F.col("id").alias(c), F.col(what).alias(to))
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(a, b, na, nb) with the size of the intersection and whether the two are linked."""
+    rows = _beside(pairs, sets, "held").withColumn("inter", F.pandas_udf(_common, "long")("x", "y")).drop("x", "y")
+    return materialise(rows.withColumn("linked", F.col("inter") * DEN >= NUM * (F.col("na") + F.col("nb") - F.col("inter"))), name)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb) -> (a, b, inter, linked), on whole sets; inter is null where the sketch bound already refutes."""
-    apart, common = F.pandas_udf(_apart_at_least, "long"), F.pandas_udf(_common, "long")
-    light = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    """The linked ones of (a, b, na, nb), as (a, b)."""
+    pairs = materialise(pairs, "pairs")
     # |x sym y| > (1-t)/(1+t) (|x|+|y|) rules a link out.
-    light = light.withColumn("gap", apart("sa", "sb")).select("a", "b", "na", "nb", (F.col("gap") * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))).alias("open"))
-    light = materialise(light, "pairs")
-    ends = light.where("open")
-    ids = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct()
-    # Only sets that a pair asks for are shuffled; a short list of them is sent to the tasks, a long one joined.
-    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    whole = light.where("open").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
-    whole = whole.withColumn("inter", common("ma", "mb")).select("a", "b", "na", "nb", "inter")
-    done = whole.unionByName(light.where("not open").select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter")))
-    return materialise(done.withColumn("linked", F.coalesce(F.col("inter") * DEN >= NUM * (F.col("na") + F.col("nb") - F.col("inter")), F.lit(False))), "verified")
-
-
-def _near_sizes(x: str, y: str):
+    fits = F.col("gap") * (DEN + NUM) <= (DEN - NUM) * (F.col("na") + F.col("nb"))
+    light = materialise(_beside(pairs, sets, "bits").withColumn("gap", F.pandas_udf(_apart, "long")("x", "y")).drop("x", "y").where(fits).drop("gap"), "pairs")
+    found = measured(light, sets, "verified")
+    release(pairs, light)
+    return found.where("linked").select("a", "b")
+
+
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with n and id, regions, sets of the classes in them)."""
+    whole = materialise(shingled(docs), "shingled")
+    rows = materialise(whole.select("doc_id", "same", "n", "id"), "rows")
+    # Equal sets are dropped before the shuffle too, so a large group of copies sends one row a task.
+    heads = materialise(whole.where("n > 0 and doc_id is not null").select("id", "n", "held").dropDuplicates(["id"]), "heads")
+    release(whole)
+    near = anchored(heads, int(_CUT))
+    inside = near.select("id").distinct()
+    named = rows.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(inside, "id", "left_semi")
+    named = materialise(named, "named")
+    release(heads, near)
+    sets = materialise(whole_sets(docs, named).join(named.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    release(named)
+    return rows, anchored(sets, None), sets
+
+
+def _with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("component", F.col("id"))
+    return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``labels`` (id, component) of all classes that a link has touched, once ``links`` (a, b) have joined components."""
+    edges = links.select("a", "b")
+    if labels is not None:
+        side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        edges = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    edges = materialise(edges.where("a <> b").distinct(), "joins")
+    if not edges.limit(1).count():
+        return labels
+    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    new = materialise(connected_components(ends, edges), "joined")
+    if labels is None:
+        return new
+    step = new.select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    old = labels.join(step, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+    return materialise(old.unionByName(new.join(labels, "id", "left_anti")), "labels")
+
+
+def _near_sizes(x: str, y: str) -> Column:
     return (F.col(x) * DEN >= F.col(y) * NUM) & (F.col(y) * DEN >= F.col(x) * NUM)
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents with n and class, classes, regions of more than one class, sets of their classes, facts on these)."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(rarity_table(docs))
-    rows = materialise(shingled(docs, table), "shingled")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("id"))
-    classes = materialise(classes, "classes")
-    # One row of each class carries the anchors: the class's smallest doc_id is the one kept.
-    heads = classes.withColumnRenamed("id", "doc_id")
-    anchors = rows.where("n > 0").join(heads, ["doc_id", "n", "fp"], "left_semi").select(F.col("doc_id").alias("id"), "n", "anchors")
-    regions = anchors.select(F.explode("anchors").alias("region"), "id")
-    size = regions.groupBy("region").agg(F.count("*").alias("members")).where("members > 1").select("region")
-    regions = materialise(regions.join(size, "region"), "regions")
-    ids = regions.select("id").distinct()
-    sets = materialise(full_sets(docs, ids), "sets")
-    facts = anchors.select("id", "n", F.slice("anchors", 1, HEAD).alias("head")).join(ids, "id", "left_semi")
-    facts = materialise(facts.dropDuplicates(["id"]), "facts")
-    return rows.select("doc_id", "n", "fp").join(classes, ["n", "fp"], "left"), classes, regions, sets, facts
-
-
-def components(classes: DataFrame, regions: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
-    """(id, component) of every class; pairs within one component are not tested, so this lists no links."""
-    labels = facts.select("id", F.col("id").alias("component"))
-    tested = pivots = None
-    live = regions
-    for turn in range(PIVOT_ROUNDS):
-        named = live.join(labels, "id").join(facts.select("id", "n"), "id")
-        order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("n"), F.col("component"))
-        heads = named.groupBy("region").agg(F.min(order).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        heads = heads.where("lo <> hi").select("region", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.component").alias("pc"))
-        named = materialise(named.join(heads, "region"), "live")
-        pairs = named.where("id <> a and component <> pc").where(_near_sizes("n", "na")).select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        found = verified(pairs, sets)
-        tested = found if tested is None else tested.unionByName(found)
-        labels = _merged(labels, found)
-        pivots = named.select("region", "a").distinct()
-        # The pivot's links inside its region are now settled; the others go on.
-        live = named.where("id <> a").select("region", "id")
-    found = verified(_window_pairs(live, pivots, tested, labels, facts), sets)
-    labels = _merged(labels, found)
-    return classes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def all_links(regions: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of linked classes, those of one component as well.
-
-    As many rows as there are links, so a group of near copies costs its square; its
-    regions are dealt in parts of about ``PART`` members, and each task meets two parts.
+def components(regions: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(id, component) of the classes that have a link; pairs within one component are not tested, so this lists no links."""
+    regions = regions.withColumn("guest", F.lit(0))
+    labels, left = None, regions.where(F.col("members") <= REGION).drop("members")
+    live = regions.where(F.col("members") > REGION).drop("members")
+    for level in range(LEVELS):
+        # The fewer rarer shingles a set has, the nearer it is to the others of the region.
+        middle = F.min(F.struct(F.col("place") / F.col("n"), F.xxhash64("id"), "id", "n"))
+        heads = _with_component(live, labels).groupBy("region")
+        heads = heads.agg(middle.alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_and("guest").alias("guests"), F.count("*").alias("members"))
+        heads = heads.where("lo <> hi and guests = 0").select("region", F.col("p.id").alias("a"), F.col("p.n").alias("na"), "members")
+        named = materialise(live.join(heads, "region"), "live")
+        left = left.unionByName(named.where(F.col("members") <= REGION).select(*left.columns))
+        # The pivot meets all others now, so it goes no further.
+        live = named.where((F.col("members") > REGION) & (F.col("id") != F.col("a")))
+        if not live.limit(1).count():
+            break
+        far = measured(live.select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb")).distinct(), sets, "distances")
+        labels = _merged(labels, far.where("linked"))
+        # The ring's number in whole numbers: a distance of just 0.2, 0.4, ... must not round down.
+        ring = F.expr(f"((na + nb - 2 * inter) * {DEN}) div ((na + nb - inter) * {DEN - NUM})").cast("int")
+        dealt = live.join(far.select("a", F.col("b").alias("id"), ring.alias("ring")), ["a", "id"])
+        # Two guests of one level meet where both are at home, so a bit for each level tells such pairs.
+        home, next_door = F.struct("ring", "guest"), F.struct((F.col("ring") + 1).alias("ring"), F.col("guest").bitwiseOR(F.lit(1 << level)).alias("guest"))
+        dealt = dealt.select("region", "id", "n", "place", F.inline(F.array(home, next_door)))
+        live = materialise(dealt.select(F.xxhash64("region", F.lit(level), "ring").alias("region"), "id", "n", "place", "guest"), "rings")
+    else:
+        left = left.unionByName(live)
+    return _merged(labels, verified(_open_pairs(left, labels), sets))
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame | None, across: bool = True) -> DataFrame:
+    """(a, b, na, nb), a < b: pairs that meet in a region within the windows of sizes and places, across components only.
+
+    A region's main component isn't met with itself. Large regions are dealt into
+    parts of about ``PART`` members, and a task meets two parts.
     """
-    parts = regions.groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    named = regions.join(parts, "region").join(facts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = named.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"), F.col("part").alias("pa"), every.alias("pb"))
-    right = named.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"), F.col("part").alias("pb"), every.alias("pa"))
-    # Sets that share some of their first pivots meet in the least such region only.
-    shared = F.array_min(F.array_intersect("ha", "hb"))
-    pairs = left.join(right, ["region", "pa", "pb"]).where("a < b").where(_near_sizes("na", "nb")).where(shared.isNull() | (shared == F.col("region")))
-    return verified(pairs.select("a", "b", "na", "nb").distinct(), sets).where("linked").select("a", "b").distinct()
-
-
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """``labels`` once the new links have joined components; only components that a link touches are worked on."""
-    side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    edges = found.where("linked").select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
-    edges = materialise(edges, "joins")
-    if not edges.limit(1).count():
-        return labels
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    new = connected_components(ends, edges).withColumnRenamed("component", "joined").withColumnRenamed("id", "component")
-    return materialise(labels.join(new, "component", "left").select("id", F.coalesce("joined", "component").alias("component")), "labels")
-
-
-def _window_pairs(live: DataFrame, pivots: DataFrame, tested: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs across components that the sizes and the triangle inequality about the region's last pivot leave open."""
-    # The window's number in whole numbers: a distance of just 0.2, 0.4, ... must not round down.
-    number = F.expr(f"((na + nb - 2 * inter) * {DEN}) div ((na + nb - inter) * {DEN - NUM})").cast("int")
-    far = tested.where("inter is not null").select(F.col("a").alias("p"), "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"), number.alias("at"))
-    far = far.unionByName(far.select(F.col("b").alias("p"), F.col("p").alias("b"), "d", "at")).dropDuplicates(["p", "b"])
-    named = live.join(labels, "id").join(pivots.withColumnRenamed("a", "p"), "region", "left")
-    named = named.join(far.withColumnRenamed("b", "id"), ["p", "id"], "left").select("region", "id", "component", "d", "at")
-    # Only regions that still hold several components; each pair has a member outside the region's main one.
-    main = named.groupBy("region", "component").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
-    named = named.join(main.where("parts > 1").select("region", F.col("m.component").alias("main")), "region").join(facts, "id")
-    named = materialise(named, "open")
-    width = (DEN - NUM) / DEN
-    # Windows are numbered from 0; ALL holds every member, UNKNOWN those whose distance isn't known (they meet all).
-    everyone, unknown = -9, -8
-    w = F.col("at")
-    held = F.when(F.col("d").isNull(), F.array(F.lit(everyone), F.lit(unknown))).otherwise(F.array(F.lit(everyone), w))
-    asks = F.when(F.col("d").isNull(), F.array(F.lit(everyone))).otherwise(F.array(w - 1, w, w + 1, F.lit(unknown)))
-    probe = named.where("component <> main").withColumn("w", F.explode(asks))
-    other = named.select("region", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("d").alias("d2"), F.col("head").alias("head2"), F.explode(held).alias("w"))
-    # Two sets that share one of both's first pivots meet in that region; only the first such region lists them.
-    shared = F.array_min(F.array_intersect("head", "head2"))
-    pairs = probe.join(other, ["region", "w"]).where("component <> c2 and (c2 = main or id < id2)").where(_near_sizes("n", "n2"))
-    pairs = pairs.where((F.abs(F.col("d") - F.col("d2")) <= width + 1e-9) | F.col("d").isNull() | F.col("d2").isNull())
-    pairs = pairs.where(shared.isNull() | (shared == F.col("region")))
+    named = _with_component(members, labels)
+    if across:
+        held = named.groupBy("region", "component").agg(F.count("*").alias("k")).groupBy("region")
+        held = held.agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("size"), F.count("*").alias("several")).where("several > 1")
+        outside = F.col("component") != F.col("main")
+        apart = F.expr("component <> component2 and (component2 = main or id < id2) and guest & guest2 = 0")
+    else:
+        held = named.groupBy("region").agg(F.count("*").alias("size"), F.lit(None).cast("long").alias("main"))
+        outside, apart = F.lit(True), F.expr("id < id2")
+    named = materialise(named.join(held.select("region", "main", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "region"), "open")
+    part, every = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = named.where(outside).select("region", "main", "id", "n", "place", "guest", "component", part.alias("p"), every.alias("q"))
+    two = named.select("region", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("guest").alias("guest2"), F.col("component").alias("component2"), part.alias("q"), every.alias("p"))
+    # From the first shared shingle on, the smaller rest bounds what the two share: 0.8 / 1.8 of both sizes for a link.
+    room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (DEN + NUM) >= (F.col("n") + F.col("n2")) * NUM
+    met = one.join(two, ["region", "p", "q"]).where(apart).where(_near_sizes("n", "n2")).where(room)
     swap = F.col("id") < F.col("id2")
-    pairs = pairs.select(
-        F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(swap, F.col("n2")).otherwise(F.col("n")).alias("nb")
-    ).distinct()
-    old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(old, ["a", "b"], "left_anti")
+    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), pick("n", "n2").alias("na"), pick("n2", "n").alias("nb")).distinct()
+
+
+def _links(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """As many rows as there are links, so a group of near copies costs its square here."""
+    return verified(_open_pairs(regions.drop("members").withColumn("guest", F.lit(0)), None, across=False), sets)
 
 
 def links(docs: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair of classes within the distance, each class named by its smallest doc_id."""
-    _, _, regions, sets, facts = prepared(docs)
-    return all_links(regions, sets, facts)
+    rows, regions, sets = prepared(docs)
+    least = rows.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
+    side = lambda c: least.select(F.col("id").alias(c), F.col("least").alias(f"l{c}"))
+    return _links(regions, sets).join(side("a"), "a").join(side("b"), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+
+
+def _joined(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """doc_id, same, n, class_id, component_id (and n_links)."""
+    rows, regions, sets = prepared(docs)
+    labels = components(regions, sets)
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("class_id"))
+    if labels is None:
+        classes = classes.withColumn("component_id", F.col("class_id"))
+    else:
+        touched = materialise(labels.join(classes, "id"), "touched")
+        least = touched.groupBy("component").agg(F.min("class_id").alias("component_id"))
+        classes = classes.join(touched.join(least, "component").select("id", "component_id"), "id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    if count_links:
+        pairs = _links(regions, sets)
+        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+        classes = classes.join(ends, "id", "left")
+    classes = materialise(classes, "classes")
+    release(regions, sets)
+    # Without an id no class can be named; without words the document stands alone.
+    own = F.col("doc_id").isNull() | (F.col("n") == 0)
+    n_links = [F.when(own, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []
+    name = lambda c: F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return rows.join(classes, "id", "left").select("doc_id", "same", "n", name("class_id"), name("component_id"), *n_links)
 
 
 def join(docs: DataFrame, count_links: bool = False) -> DataFrame:
@@ -376,31 +419,20 @@ def join(docs: DataFrame, count_links: bool = False) -> DataFrame:
 
     Components don't need the pairs within them; counting links lists and verifies them all.
     """
-    rows, classes, regions, sets, facts = prepared(docs)
-    known = components(classes, regions, sets, facts)
-    if count_links:
-        pairs = all_links(regions, sets, facts)
-        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-        known = known.join(ends, "id", "left")
-    out = rows.join(known, "id", "left")
-    # Without an id no class can be named; without words the document stands alone.
-    own = F.col("doc_id").isNull() | (F.col("n") == 0)
-    n_links = [F.when(own, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("id")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        *n_links,
-    )
+    return _joined(docs, count_links).drop("same").withColumnRenamed("n", "n_shingles")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one of each component kept (its smallest doc_id); all columns as they came.
 
-    Of rows that share that doc_id one is kept; rows without an id all stay, and
-    so does each document without words.
+    Of rows alike in that doc_id and text the smallest by their other columns is
+    kept; rows without an id all stay, and so does each document without words.
     """
-    out = join(docs).where("component_id is null or doc_id = component_id or n_shingles = 0").select("doc_id").distinct()
-    kept = docs.join(out.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    out = _joined(docs).where("doc_id is not null")
+    chosen = out.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "same")).alias("k")).select("k.doc_id", "k.same")
+    chosen = chosen.unionByName(out.where("n = 0").select("doc_id", "same")).distinct()
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__same"))
+    kept = whole.join(materialise(chosen, "chosen"), ["__id", "__same"], "left_semi")
+    kept = kept.groupBy("__id", "__same").agg(F.min_by("__doc", F.to_json("__doc", {"ignoreNullFields": "false"})).alias("__doc")).select("__doc.*")
+    return kept.unionByName(docs.where("doc_id is null"))
