@@ -272,14 +272,15 @@ def test_a_current_champion_is_not_judged(spark):
 def test_injected_shift_fires_and_the_control_stays_quiet(spark):
     rng = np.random.default_rng(2)
     values = 100 + rng.normal(size=24 * 60)
-    spec = SeriesSpec(lags=(24,), season_lags=(24,), season=24, min_history=48)
+    # One row for each target: origins every 6 hours would count each four times and sharpen the KS test.
+    spec = SeriesSpec(lags=(24,), season_lags=(24,), season=24, min_history=48, stride=24)
 
     def alarm(p):
         d = design.build_design_matrix(p, design.training_origins(p, spec), spec)
         s = drift.split_windows(d, WindowSpec())
         rows = backtest.add_errors(s.where("window <> 'train'").withColumn("prediction", F.lit(100.0)))
         c = drift.distribution_drift(rows, ["demand_lag_24h"])
-        return {r.section: r.severity for r in drift.section_rollup(c).collect()}["target"], drift.drift_timeline(rows, ["demand_lag_24h"]).count()
+        return {r.section: r.severity for r in drift.section_rollup(c).collect()}["target"], drift.drift_timeline(rows, ["demand_lag_24h"], Thresholds(min_samples=150)).count()
 
     p = panel.build_panel(series(spark, values))
     assert alarm(p)[0] == "ok"
@@ -287,6 +288,19 @@ def test_injected_shift_fires_and_the_control_stays_quiet(spark):
     assert fired == "alert" and points > 20
 
 
+def test_windows_hold_their_first_row_and_not_the_next_ones(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [("a", day(n), 1.0) for n in range(10)] + [("a", day(10), None)]
+    design_rows = spark.createDataFrame(rows, "series_key string, target_ts timestamp, y double")
+    got = {r.target_ts: r.window for r in drift.split_windows(design_rows, WindowSpec(3, 4)).collect()}
+    # The end is day 10, though it has no label: current from day 6 on, reference from day 3 on.
+    assert got == {day(n): "train" if n < 3 else "reference" if n < 6 else "current" for n in range(10)}
+    anchored = {r.target_ts: r.window for r in drift.split_windows(design_rows, WindowSpec(3, 4), anchor="2024-01-09").collect()}
+    assert anchored == {day(n): "train" if n < 5 else "reference" if n < 8 else "current" for n in range(10)}
+    later = spark.createDataFrame([("a", day(12))], "series_key string, ts timestamp")
+    assert drift.split_counts(drift.split_windows(design_rows, WindowSpec(3, 4), panel=later)).where("window = 'current'").first().n == 2
+
+
 def test_empty_windows_are_told(spark):
     p = panel.build_panel(series(spark, [1.0] * 24 * 10))
     spec = SeriesSpec(lags=(24,), season_lags=(24,), min_history=24)

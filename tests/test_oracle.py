@@ -27,7 +27,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v + 0.0, 6)
+        return None if math.isnan(v) else v + 0.0
     if isinstance(v, datetime.datetime) and v.time() == datetime.time():
         return str(v.date())
     if isinstance(v, datetime.date):
@@ -35,10 +35,14 @@ def plain(v):
     return v
 
 
-def same(a, b) -> bool:
+#: queries whose doubles are rounded to four places and lie on a tie here and there
+TIES = {"design_matrix", "rolling_before"}
+
+
+def same(a, b, step: float = 0.0) -> bool:
     if isinstance(a, bool) or isinstance(b, bool) or a is None or b is None or isinstance(a, str):
         return a == b
-    return abs(a - b) <= 2e-4 * max(1.0, abs(a)) if isinstance(a, float) or isinstance(b, float) else a == b
+    return abs(a - b) <= step + 1e-9 * max(1.0, abs(a)) if isinstance(a, float) or isinstance(b, float) else a == b
 
 
 def ordered(rows):
@@ -56,5 +60,5 @@ def test_query_matches_sql(spark, duck, name):
     b = ordered([tuple(plain(r[i]) for i in at) for r in rel.fetchall()])
     assert len(a) == len(b)
     assert a, "an empty result proves nothing"
-    bad = [(x, y) for x, y in zip(a, b) if not all(same(u, v) for u, v in zip(x, y))]
+    bad = [(x, y) for x, y in zip(a, b) if not all(same(u, v, 1e-4 if name in TIES else 0.0) for u, v in zip(x, y))]
     assert not bad, bad[:3]

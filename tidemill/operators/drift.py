@@ -17,24 +17,23 @@ from .statistics import binned, compare_columns, long_form
 SECTIONS = ("feature", "target", "prediction", "performance")
 
 
-def split_windows(design: DataFrame, w: WindowSpec = WindowSpec(), anchor: str | Column | None = None, required: bool = False) -> DataFrame:
-    """``window`` by target time, contiguous: train, then the reference days, then the current days.
-
-    Without an anchor the current window is the last days of each series; with one
-    it begins there. With ``required`` an empty window is an error, except the
-    current one of an anchor (nothing to monitor yet).
+def split_windows(design: DataFrame, w: WindowSpec = WindowSpec(), anchor: str | Column | None = None, required: bool = False, panel: DataFrame | None = None) -> DataFrame:
+    """``window`` by target time: train < reference start <= reference < current start <= current.
+
+    Without an anchor the current window begins ``current_days`` before the end of
+    each series, which is its last time in ``panel`` or else its last target; with
+    one (a time, or a column of the design) it begins there. Rows without a label
+    are dropped. With ``required`` an empty window is an error, except the current
+    one of an anchor (nothing to monitor yet).
     """
     held = design.where("y is not null")
     if anchor is None:
-        ends = held.groupBy("series_key").agg((F.max("target_ts") - F.expr(f"INTERVAL {w.current_days} DAYS")).alias("__current"))
-        out = held.join(ends, "series_key")
+        ends = design.groupBy("series_key").agg(F.max("target_ts").alias("__end")) if panel is None else panel.groupBy("series_key").agg(F.max("ts").alias("__end"))
+        out = held.join(ends, "series_key").withColumn("__current", F.col("__end") - F.expr(f"INTERVAL {w.current_days} DAYS")).drop("__end")
     else:
         out = held.withColumn("__current", F.to_timestamp(F.lit(anchor)) if isinstance(anchor, str) else anchor)
     start = F.col("__current") - F.expr(f"INTERVAL {w.reference_days} DAYS")
     label = F.when(F.col("target_ts") >= F.col("__current"), "current").when(F.col("target_ts") >= start, "reference").otherwise("train")
-    # Without an anchor the boundary row itself is the last of the reference, so the window has whole days.
-    if anchor is None:
-        label = F.when(F.col("target_ts") > F.col("__current"), "current").when(F.col("target_ts") > start, "reference").otherwise("train")
     out = out.withColumn("window", label).drop("__current")
     if required:
         have = {r[0] for r in out.select("window").distinct().collect()}
@@ -176,7 +175,6 @@ def drift_timeline(scored: DataFrame, features: list[str], t: Thresholds = Thres
     every = both.select("series_key", "day", "window", *[F.col(c).cast("double").alias(c) for c in wanted]).unpivot(["series_key", "day", "window"], wanted, "column", "value")
     every = every.where("value is not null and not isnan(value)")
     # The reference's rows decide the bins; the same rows are then counted by day.
-    ref = every.where("window = 'reference'")
     everyone = every.withColumn("side", F.col("window")).withColumn("window", F.when(F.col("window") == "reference", "reference").otherwise("current"))
     rows, bins = binned(everyone, ["series_key"], t, exact)
     reference = rows.where("side = 'reference'").groupBy(*group, "bin").agg(F.count("*").alias("n_ref"))
@@ -196,7 +194,6 @@ def drift_timeline(scored: DataFrame, features: list[str], t: Thresholds = Thres
         F.max(F.when(feature, F.col("psi"))).alias("feature_max_psi"),
         F.max_by(F.when(feature, F.col("column")), F.when(feature, F.col("psi"))).alias("feature_max_column"),
     )
-    del ref
     by_day = daily_errors(scored.where("window in ('reference', 'current')")).select("series_key", "day", "window", F.col("n").alias("day_n"), "mae")
     frame = Window.partitionBy("series_key").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
     by_day = by_day.withColumn("n", F.sum("day_n").over(frame)).drop("day_n")
