@@ -182,6 +182,16 @@ def test_quality_measures_match_brute_force(spark):
     assert quality.label_quality(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_quality_counts_repeats_exactly_without_the_hash(spark, monkeypatch):
+    """With positions of three bits or hashes of none every window is compared by its words."""
+    rng = random.Random(6)
+    texts = [prose(rng, n, v) for n in (3, 7, 8, 9, 40, 200) for v in (2, 5, 60)] + ["a b c", "a b c a b c a b", None]
+    for bits in (3, 60):
+        monkeypatch.setattr(quality, "BITS", bits)
+        got = {r.doc_id: r.n_repeat_words for r in quality.label_quality(docs(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == [brute_quality(t)[4] for t in texts]
+
+
 def test_quality_em_parts_good_from_bad():
     from collections import Counter
 
@@ -265,6 +275,32 @@ def test_html_keeps_the_article_and_nothing_else(spark):
     assert (got[2].text, got[3].text, got[None].text, got[4].text) == ("", "", "plain & simple", "a\nb\nc")
 
 
+def test_html_articles_come_back_whatever_the_class_names():
+    """Pages made around known articles: furniture with many class names, hints inside the article, bad declarations."""
+    rng = random.Random(5)
+    sentence = lambda n: prose(rng, n, 3000).capitalize() + "."
+    names = ["sidebar", "site-footer", "ad", "ad-slot-3", "cookie-banner", "newsletter-signup", "related-posts", "share-buttons", "comment-list", "nav-main", "breadcrumbs", "social-links"]
+    inner = ["share-price", "section-header", "related-work", "promo-history", "comment-on-law", "banner-making", "header-files"]
+    for _ in range(60):
+        title, blocks = sentence(5), [sentence(rng.randrange(25, 80)) for _ in range(rng.randrange(3, 8))]
+        body = [f"<h1 class='{rng.choice(inner)}'>{title}</h1>"]
+        for b in blocks:
+            body.append(rng.choice([f"<p>{b}", f"<p>{b}</p>", f"<div class='{rng.choice(inner)}'>{b}</div>", f"<![if !IE]><p class='x'>{b}</p><![endif]>"]))
+            if rng.random() < 0.4:
+                body.append(f"<div class='{rng.choice(names)}'><p>{sentence(rng.randrange(3, 40))}</p></div>")
+        around = lambda: f"<div id='{rng.choice(names)}'><p>{sentence(rng.randrange(3, 30))}</p></div>"
+        page = f"<html><body><nav><a href='/'>Home</a></nav>{around()}<article>{''.join(body)}</article>{around()}<footer>&copy; 2020 us</footer></body></html>"
+        assert html_extract.extract(page) == "\n".join([title, *blocks])
+
+
+def test_html_loses_no_text_and_finds_none_where_none_is():
+    assert html_extract.extract("<p>hello world text</p><![foo[ x ]]><p>after text stays</p>") == "hello world text\nafter text stays"
+    assert html_extract.extract("<nav><a>x</a></nav><div>© 2020 Home About</div>") == ""
+    assert html_extract.extract("<font>" * 20_000 + "a<p>b" * 200).count("a") == 200
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert html_extract.extract(f"<article><p>{long}</p></article>") == long
+
+
 # -- jaccard join
 
 
@@ -452,6 +488,48 @@ def test_hilbert_neighbours_are_adjacent():
 # -- sharding
 
 
+def test_transfers_move_as_few_as_any_level_assignment():
+    """Blocks of one byte: every assignment is tried, and the fewest moved bytes among level ones are met."""
+    rng = random.Random(1)
+    for old, new in ((3, 2), (2, 3), (3, 3), (2, 2), (1, 3)):
+        for _ in range(40):
+            blocks = [(k, rng.randrange(old), 1) for k in range(rng.randrange(1, 8))]
+            owner = sharding.transfers(blocks, new)
+            level = lambda held: max(held.count(i) for i in range(new)) - min(held.count(i) for i in range(new)) <= 1
+            assert level([owner[k] for k, _, _ in blocks])
+            best = min(sum(a != s for a, (_, s, _) in zip(held, blocks)) for held in itertools.product(range(new), repeat=len(blocks)) if level(held))
+            assert sum(owner[k] != s for k, s, _ in blocks) == best
+
+
+def test_transfers_level_around_one_huge_block():
+    rng = random.Random(2)
+    blocks = [(k, k % 16, rng.randrange(80, 120)) for k in range(4096)] + [(4096, 3, 200_000)]
+    owner = sharding.transfers(blocks, 24)
+    held = [0] * 24
+    for k, _, b in blocks:
+        held[owner[k]] += b
+    assert sorted(held)[-1] == 200_000 and sorted(held)[-2] - sorted(held)[0] < 120
+    capacity, alone = sharding.capacities(blocks, 24)
+    before = [0] * 24
+    for k, s, b in blocks:
+        before[alone.get(k, s)] += b
+    least = sum(x[2] for x in sharding.flow(before, capacity))
+    assert sum(b for k, s, b in blocks if owner[k] != s) < 1.03 * least + sum(b for k, s, b in blocks if k in alone and alone[k] != s)
+
+
+def test_rows_alike_are_spread_and_written_once(spark, tmp_path):
+    """A third of the rows are one row, null in id and text; the touched shards hold each row as often as it stands."""
+    d = docs(spark, ["a text", None, "b text " * 9] * 200, [1, None, 3] * 200)
+    placed = sharding.reshard(d)
+    where = placed.collect()
+    sizes = [sum(r.size for r in where if r.shard == i) for i in range(24)]
+    assert max(sizes) - min(sizes) <= 75 and len({r.shard for r in where if r.doc_id is None}) > 12
+    sharding.rewrite(d, placed, f"file://{tmp_path}/out")
+    touched = {k for r in where if r.old_shard != r.shard for k in (r.old_shard, r.shard)}
+    rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((r.shard, r.slot) for r in where if r.shard in touched)
+
+
 def test_sharding_is_even_gapless_and_moves_little(spark):
     rng = random.Random(8)
     texts = [None, "", "é"] + [prose(rng, rng.randrange(1, 60)) for _ in range(3000)] + ["same"] * 500
@@ -522,6 +600,60 @@ def test_chat_links_calls_to_results(spark):
     assert none[0].message == '{"content":"","role":"user"}'
 
 
+def test_chat_links_match_a_brute_force_linker(spark):
+    """Made conversations with repeated ids, lost results, negative turns and tools declared twice."""
+    rng = random.Random(8)
+    rows = []
+    for conv in [None, *range(12)]:
+        for turn in range(-4, 14):
+            kind = rng.choice(["assistant", "tool", "user", "system"])
+            if kind == "assistant":
+                calls = [{"id": f"c{rng.randrange(6)}", "name": rng.choice("fgh"), "arguments": {rng.choice("ab"): rng.choice([1, "x"])}} for _ in range(rng.randrange(1, 4))]
+                text = json.dumps({"tool_calls": calls})
+            elif kind == "tool":
+                text = json.dumps({"tool_call_id": f"c{rng.randrange(8)}", "content": "r"})
+            elif kind == "system":
+                text = json.dumps({"tools": [{"name": rng.choice("fg"), "required": ["a"], "properties": {"a": rng.choice(["int", "string"])}}]})
+            else:
+                text = "hello"
+            rows.append((conv, turn, kind, text))
+    want = []
+    for conv in {r[0] for r in rows}:
+        here = [(t, k, json.loads(x)) for c, t, k, x in rows if c == conv and k != "user"]
+        kits: dict = {}
+        for _, k, x in here:
+            for tool in x["tools"] if k == "system" else []:
+                kits.setdefault(tool["name"], tool)
+        first: dict = {}
+        for t, k, x in here:
+            for at, call in enumerate(x["tool_calls"] if k == "assistant" else []):
+                first.setdefault(call["id"], (t, at))
+        asked = {x["tool_call_id"] for _, k, x in here if k == "tool"}
+        for t, k, x in here:
+            if k == "assistant":
+                for at, call in enumerate(x["tool_calls"]):
+                    kit, args = kits.get(call["name"]), call["arguments"]
+                    kinds = {"int": int, "string": str}
+                    valid = kit is not None and set(args) == {"a"} and isinstance(args["a"], kinds[kit["properties"]["a"]])
+                    want.append((conv, t, "assistant", call["id"], first[call["id"]] == (t, at) and call["id"] in asked, valid))
+            elif k == "tool":
+                want.append((conv, t, "tool", x["tool_call_id"], x["tool_call_id"] in first, None))
+    rng.shuffle(rows)
+    out = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = [(r.conv_id, r.turn, r.role, r.call_id, r.linked, None if r.role == "tool" else r.valid) for r in out if r.call_id]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # A result comes after its call, and all else in the order of turns.
+    for conv in {r.conv_id for r in out}:
+        mine = sorted((r for r in out if r.conv_id == conv), key=lambda r: r.order_key)
+        place = {}
+        for i, r in enumerate(mine):
+            if r.role == "assistant" and r.linked:
+                place[r.call_id] = i
+        assert all(place[r.call_id] < i for i, r in enumerate(mine) if r.role == "tool" and r.linked)
+        plain = [r.turn for r in mine if r.role == "user"]
+        assert plain == sorted(plain)
+
+
 def test_chat_checks_types_and_sorts_arguments(spark):
     kit = {
         "tools": [

@@ -23,7 +23,9 @@ A text that is not such JSON is plain content; null is empty.
 Null roles count as ``user``. Of calls that repeat an id in one conversation, the
 first turn's (then the first in its list) is linked. A result whose call is
 missing keeps its own place and is counted as unlinked. A null ``conv_id`` is one
-conversation. Repeated rows stay repeated.
+conversation. Of tools of one name in a conversation the first declared counts.
+Repeated rows stay repeated. Turns may be negative; a null one sorts first. Texts of
+any length are kept whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,9 +101,12 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     )
     calls = t.where("size(said.tool_calls) > 0").select("conv_id", "turn", F.posexplode("said.tool_calls").alias("at", "call"))
     calls = calls.select("conv_id", "turn", "at", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
-    schemas = t.where("size(kit.tools) > 0").select("conv_id", F.explode("kit.tools").alias("tool")).groupBy("conv_id", F.col("tool.name").alias("name")).agg(
-        F.first(F.col("tool.required")).alias("required"), F.first(F.transform_values("tool.properties", lambda _, v: _declared(v))).alias("known")
-    )
+    # Of a tool declared more than once in a conversation, the first declaration counts.
+    kits = t.where("size(kit.tools) > 0").select("conv_id", "turn", F.posexplode("kit.tools").alias("at", "tool"))
+    known = F.transform_values("tool.properties", lambda _, v: _declared(v))
+    when = F.struct("turn", "at", F.to_json("tool"))
+    schemas = kits.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.min_by(F.struct(F.col("tool.required").alias("required"), known.alias("known")), when).alias("s"))
+    schemas = schemas.select("conv_id", "name", "s.required", "s.known")
     checked = calls.join(schemas.withColumnRenamed("conv_id", "c2").withColumnRenamed("name", "n2"), F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("name") == F.col("n2")), "left")
     checked = checked.withColumn("boxed", _parsed(F.col("arguments")))
     given = F.try_variant_get("boxed", "$.x", "map<string,variant>")
@@ -117,7 +122,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     first = first.select(F.col("conv_id").alias("c1"), F.col("call_id").alias("i1"), F.col("p.turn").alias("call_turn"), F.col("p.at").alias("call_at"), "call_valid")
     results = t.where("role = 'tool'").withColumn("call_id", F.col("got.tool_call_id"))
     linked = results.join(first, F.col("conv_id").eqNullSafe(F.col("c1")) & (F.col("call_id") == F.col("i1")), "left")
-    pad = lambda c: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 20, "0")
+    # Shifted into the positive numbers, so that text sorts as the numbers do; a null turn comes first.
+    pad = lambda c: F.lpad(F.coalesce((F.col(c).cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), F.lit("")), 20, "0")
     nothing = F.lit(None)
     # A result follows its call: it sorts by the call's turn and place, then by its own.
     tools = linked.select(
@@ -131,8 +137,11 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         F.concat(F.lit('{"content":'), _quoted(F.coalesce("got.content", "text")), F.lit(',"role":"tool","tool_call_id":'), _quoted(F.col("call_id")), F.lit("}")).alias("message"),
     )
     one = F.concat(F.lit('{"arguments":'), F.when(F.col("arguments").isNull(), "null").otherwise(_canonical(F.col("boxed"), F.col("arguments"))), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
-    answered = results.where("call_id is not null").select(F.col("conv_id").alias("c1"), F.col("call_id").alias("i1")).distinct()
-    asked = checked.join(answered, F.col("conv_id").eqNullSafe(F.col("c1")) & (F.col("call_id") == F.col("i1")), "left")
+    answered = results.where("call_id is not null").select(F.col("conv_id").alias("c3"), F.col("call_id").alias("i3")).distinct()
+    met = first.join(answered, F.col("c1").eqNullSafe(F.col("c3")) & (F.col("i1") == F.col("i3")), "left_semi").drop("call_valid")
+    # Only the first call of an id is linked.
+    same = F.col("conv_id").eqNullSafe(F.col("c1")) & (F.col("call_id") == F.col("i1")) & F.col("turn").eqNullSafe(F.col("call_turn")) & (F.col("at") == F.col("call_at"))
+    asked = checked.join(met, same, "left")
     asked = asked.select(
         "conv_id",
         "turn",

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TABLE = "name string, part int, held binary"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,10 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests, a laptop) a temporary
+    folder is made and set: executors elsewhere could not see it.
     """
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", held)
         spark.sparkContext.setCheckpointDir(held)
@@ -46,6 +55,35 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_parts(name: str, table: np.ndarray, parts: int = 16) -> pd.DataFrame:
+    """A table of counters (int64) as ``parts`` packed rows of TABLE."""
+    cut = [(i, zstandard.compress(x.astype(np.int64).tobytes(), 1)) for i, x in enumerate(np.array_split(table, parts))]
+    return pd.DataFrame({"name": name, "part": [i for i, _ in cut], "held": [x for _, x in cut]})
+
+
+def added_up(tables: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of the tables of each name, on the driver: one table a name, whatever the number of tasks.
+
+    Rows of one part are added as they stream in, so a task holds one array for each
+    part it is dealt, however many tasks have counted.
+    """
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for batch in batches:
+            for name, part, held in zip(batch["name"], batch["part"], batch["held"]):
+                x = np.frombuffer(zstandard.decompress(held), np.int64)
+                total[name, part] = total[name, part] + x if (name, part) in total else x
+        if total:
+            rows = [(n, i, zstandard.compress(x.tobytes(), 1)) for (n, i), x in total.items()]
+            yield pd.DataFrame(rows, columns=["name", "part", "held"])
+
+    out: dict = {}
+    for r in sorted(tables.repartition("name", "part").mapInPandas(add, TABLE).collect(), key=lambda r: (r["name"], r["part"])):
+        out.setdefault(r["name"], []).append(np.frombuffer(zstandard.decompress(r["held"]), np.int64))
+    return {n: np.concatenate(x) for n, x in out.items()}
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): smallest id reachable over the undirected ``edges`` (a, b).
 

@@ -8,8 +8,9 @@ documents show each vote pattern (at most 3**8 rows, whatever the input).
 
 Defined results. A null text has no words and fails the base rules. Ids are only
 carried. Rows that repeat count as often as they stand. With no documents the
-prior alone decides nothing, for there is nothing to decide. Window positions
-take 24 bits: a text may have 16,777,215 words (100 MB or so).
+prior alone decides nothing, for there is nothing to decide. Texts of any length
+are measured whole. An empty table gives no rows. Equal texts get equal results.
+Columns of other names are carried by ``keep_good`` and ignored by ``label_quality``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT = 50, 50
 RULES = ("length", "symbols", "word_size", "lines", "repeats", "stop_words", "capitals", "sentences")
 ROUNDS = 100
+BITS = 24  #: of a window's number that hold its position; the others hold its hash
 #: frequent function words of four languages (fixed values)
 STOP_WORDS = "the of and to in is that it for with as was on be by die der das und ist von den mit nicht ein le la les de des et un une est pour que en el los las y del se por con no su".split()
 
@@ -33,23 +35,34 @@ STOP_WORDS = "the of and to in is that it for with as was on be by die der das u
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words covered by three-word windows that stand twice or more.
 
-    Each window becomes one number, 39 bits of hash above 24 of position, so a
+    Each window becomes one number, 39 bits of hash above ``BITS`` of position, so a
     sort brings equal windows together; neighbours that agree are compared word
-    by word. Covered words follow from the sorted positions of such windows.
+    by word. Where two windows of one hash differ, or positions need more bits, the
+    windows' own words are sorted instead, so the count is exact for every text.
+    Covered words follow from the sorted positions of such windows.
     """
     at = lambda p: F.get(words, p)
-    code = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(at(i), at(i + 1), at(i + 2)), 25), 24).bitwiseOR(i.cast("long"))
+    code = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(at(i), at(i + 1), at(i + 2)), BITS + 1), BITS).bitwiseOR(i.cast("long"))
     windows = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), code))).otherwise(F.array().cast("array<long>"))
-    place = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    place = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
     def same(x: Column, y: Column) -> Column:
         p, q = place(x), place(y)
-        return (F.shiftright(x, 24) == F.shiftright(y, 24)) & (at(p) == at(q)) & (at(p + 1) == at(q + 1)) & (at(p + 2) == at(q + 2))
+        return (F.shiftright(x, BITS) == F.shiftright(y, BITS)) & (at(p) == at(q)) & (at(p + 1) == at(q + 1)) & (at(p + 2) == at(q + 2))
 
     def twice(held: Column) -> Column:
         return F.filter(held, lambda x, i: F.coalesce(same(x, F.get(held, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(held, i + 1)), F.lit(False)))
 
-    places = lambda held: F.sort_array(F.transform(twice(held), place))
+    def plain() -> Column:
+        """Places by the words themselves, which hold no blanks."""
+        rows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", at(i), at(i + 1), at(i + 2)).alias("w"), i.alias("i")))
+        rows = F.sort_array(rows)
+        like = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(rows, lambda x, i: like(x, F.get(rows, i - 1)) | like(x, F.get(rows, i + 1))), lambda x: x["i"]))
+
+    def places(held: Column) -> Column:
+        clash = F.exists(F.transform(held, lambda x, i: (F.shiftright(x, BITS) == F.shiftright(F.get(held, i + 1), BITS)) & ~same(x, F.get(held, i + 1))), lambda x: F.coalesce(x, F.lit(False)))
+        return F.when((n >= 3) & ((n >= 1 << BITS) | clash), plain()).otherwise(F.sort_array(F.transform(twice(held), place)))
 
     def covered(found: Column) -> Column:
         gaps = F.transform(found, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(found, i + 1) - x, F.lit(3))))
@@ -150,9 +163,7 @@ def label_quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__doc"), "text")
-    m = measured(inner)
-    # A filter is pushed below a projection by copying what it reads; the row number keeps it above the measures.
-    rows = m.withColumn("__row", F.monotonically_increasing_id())
-    kept = rows.where((F.col("__row") >= 0) & ~F.col("base_failed") & (posterior(m.drop("__doc")) >= 0.5))
-    return kept.select("__doc.*")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
+    # Measured once and written with the documents; the votes are then read twice.
+    m = materialise(measured(inner).select("__doc", "votes", "base_failed"), "votes")
+    return m.where(~F.col("base_failed") & (posterior(m) >= 0.5)).select("__doc.*")

@@ -79,9 +79,9 @@ class Automaton:
         ids, end = [], len(text)
         while end:
             length, part = came[end]
-            ids[:0] = part
+            ids.extend(reversed(part))
             end -= length
-        return ids, float(best[-1])
+        return ids[::-1], float(best[-1])
 
 
 class Codec(dict):

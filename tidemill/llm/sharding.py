@@ -3,17 +3,24 @@
 Rows fall into blocks by hash; a block is what moves. From the bytes of the old
 shards and the new capacities a transport problem is solved: supply is what an
 old shard holds above its capacity, demand what a new shard lacks, a byte costs
-one to move and nothing to stay. The optimum keeps all it can, so it moves just
-the surplus; whole blocks, largest first, carry it. Only shards that give or
-receive blocks are rewritten.
+one to move and nothing to stay. Its arcs (from, to, bytes) are the plan: whole
+blocks, largest first, are sent along each arc while they fit it, and what whole
+blocks can't express is levelled block by block. A block larger than an equal
+share (one very long text) fixes its shard's capacity, and the others share the
+rest equally. Only shards that give or receive blocks are rewritten.
 
 Block sizes are the only thing that reaches the driver: at most ``MAX_BLOCKS``
-rows. Defined results. A null text has no bytes (size 8). Null or repeated ids
-and repeated rows are placed like any row. Other columns are ignored.
+rows. Defined results. A null text has no bytes (size 8). A row's block comes from
+the hash of all its columns and of its row number, so null or repeated ids, equal
+texts and rows alike in everything are spread over the blocks like any others:
+equal texts are not kept together. An empty table gives no rows, very long texts
+count with all their bytes, ties between blocks go to the smaller number. Columns
+of other names are ignored by ``reshard`` but for that hash.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import DataFrame, Window
@@ -44,49 +51,102 @@ def flow(held: list[int], capacity: list[int]) -> list[tuple[int, int, int]]:
     return moves
 
 
+def capacities(blocks: list[tuple[int, int, int]], shards: int) -> tuple[list[int], dict[int, int]]:
+    """(bytes for each new shard, {block: shard} of the blocks that fill one alone)."""
+    rest, free = sum(b for _, _, b in blocks), list(range(shards))
+    alone: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for k, s, b in sorted(blocks, key=lambda x: (-x[2], x[0])):
+        if len(free) < 2 or b * len(free) <= rest:
+            break
+        at = s if s in free else free[-1]
+        free.remove(at)
+        alone[k], size[at] = at, b
+        rest -= b
+    # What doesn't divide goes to those that hold most already.
+    held = [0] * shards
+    for k, s, b in blocks:
+        if k not in alone and s < shards:
+            held[s] += b
+    for i, at in enumerate(sorted(free, key=lambda i: (-held[i], i))):
+        size[at] = rest // len(free) + (i < rest % len(free))
+    return [size[i] for i in range(shards)], alone
+
+
 def transfers(blocks: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
     """block -> new shard, from (block, old shard, bytes)."""
-    total = sum(b for _, _, b in blocks)
-    capacity = [total * (i + 1) // shards - total * i // shards for i in range(shards)]
-    held = [0] * max(shards, max((s for _, s, _ in blocks), default=0) + 1)
-    capacity += [0] * (len(held) - shards)
-    for _, s, b in blocks:
-        held[s] += b
-    owner = {k: s for k, s, _ in blocks}
-    due: dict[int, int] = {}
-    for i, _, step in flow(held, capacity):
-        due[i] = due.get(i, 0) + step
-    moved = []
+    capacity, alone = capacities(blocks, shards)
+    old = max(shards, max((s for _, s, _ in blocks), default=0) + 1)
+    goal = capacity + [0] * (old - shards)
+    held = [0] * old
+    owner, of = {}, [[] for _ in range(old)]
     for k, s, b in sorted(blocks, key=lambda x: (-x[2], x[0])):
-        # A block leaves while its shard's surplus covers it; shards that close give all.
-        if s >= shards or (b and due.get(s, 0) >= b):
-            due[s] = due.get(s, 0) - b
-            held[s] -= b
-            moved.append((k, b))
-    lack = [(held[i] - capacity[i], i) for i in range(shards)]
+        owner[k] = alone.get(k, s)
+        held[owner[k]] += b
+        if k not in alone:
+            of[s].append((k, b))
+    arcs: dict[int, list[list[int]]] = {}
+    for i, j, step in flow(held, goal):
+        arcs.setdefault(i, []).append([step, j])
+
+    def move(k: int, b: int, to: int) -> None:
+        held[owner[k]] -= b
+        held[to] += b
+        owner[k] = to
+
+    for i, out in arcs.items():
+        stay = []
+        for k, b in of[i]:
+            arc = max(out)
+            if b and b <= arc[0]:
+                arc[0] -= b
+                move(k, b, arc[1])
+            else:
+                stay.append((k, b))
+        of[i] = stay
+    size = {k: b for k, _, b in blocks}
+    # A shard that closes gives what its arcs could not carry to whoever lacks most.
+    lack = [(held[i] - goal[i], i) for i in range(shards)]
     heapq.heapify(lack)
-    for k, b in moved:
-        short, i = heapq.heappop(lack)
-        owner[k] = i
-        heapq.heappush(lack, (short + b, i))
+    for i in range(shards, old):
+        for k, b in of[i]:
+            short, to = heapq.heappop(lack)
+            move(k, b, to)
+            heapq.heappush(lack, (short + b, to))
+    # Level what is left: the largest block that narrows the gap between the fullest and the emptiest shard.
+    inside: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for k, to in owner.items():
+        if k not in alone:
+            inside[to].append((size[k], k))
+    for x in inside:
+        x.sort()
+    for _ in range(4 * len(owner)):
+        over = [held[i] - goal[i] for i in range(shards)]
+        a, z = max(range(shards), key=over.__getitem__), min(range(shards), key=over.__getitem__)
+        at = bisect.bisect_left(inside[a], (over[a] - over[z], -1)) - 1
+        if at < 0 or not inside[a][at][0]:
+            break
+        b, k = inside[a].pop(at)
+        move(k, b, z)
+        bisect.insort(inside[z], (b, k))
     return owner
 
 
-def _facts() -> dict:
-    """What a row's place hangs on: its size, its text's checksum, and the hash of id and text."""
+def _facts(columns: list[str]) -> dict:
+    """What is known of a row: its size, its text's checksum, and the hash of all its columns."""
     text = F.coalesce("text", F.lit(""))
-    return {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "crc": F.crc32(text), "key": F.xxhash64("doc_id", "text")}
+    return {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "crc": F.crc32(text), "key": F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)])}
 
 
 def reshard(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot, key (hash of id and text); texts are read once and never shuffled."""
+    """doc_id, size, text_crc32, old_shard, shard, slot, key (hash of all columns); texts are read once and never shuffled."""
     spark = docs.sparkSession
-    facts = _facts()
+    facts = _facts(docs.columns)
     rows = docs.select("doc_id", facts["size"].alias("size"), facts["crc"].alias("text_crc32"), facts["key"].alias("key"))
-    rows = materialise(rows, "sizes")
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     n = rows.count()
     blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, n // BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int")).withColumn("old_shard", F.col("block") % old)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "row"), F.lit(blocks)).cast("int")).withColumn("old_shard", F.col("block") % old)
     sizes = rows.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("block").collect()
     owner = transfers([(r["block"], r["block"] % old, r["bytes"]) for r in sizes], new)
     start, at = [], [0] * new
@@ -94,27 +154,27 @@ def reshard(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
         start.append((r["block"], owner[r["block"]], at[owner[r["block"]]]))
         at[owner[r["block"]]] += r["n"]
     table = F.broadcast(spark.createDataFrame(start, "block int, shard int, before long"))
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("key", "doc_id", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("row"))
     return rows.withColumn("rank", rank - 1).join(table, "block").select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"), "key")
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> None:
     """Write the documents of every shard that a move touches as ``shard=K`` folders; other shards' files stay.
 
-    ``placed`` is what ``reshard`` gave for ``docs``. Rows that are equal in id (null
-    as a value) and text lie in one block, so they are numbered and any takes any of
-    their slots: each row is written once.
+    ``placed`` is what ``reshard`` gave for ``docs``. Rows that are equal in every
+    column are numbered and any takes any of their places, so each is written once.
     """
     touched = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     same = ["__id", "__key", "__size", "__crc"]
     number = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
-    chosen = placed.join(F.broadcast(touched), "shard", "left_semi")
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    chosen = chosen.withColumn("__at", number("slot")).withColumnsRenamed({c: f"{c}2" for c in [*same, "__at"]})
-    rows = docs.withColumns({"__id": F.col("doc_id"), **{f"__{k}": c for k, c in _facts().items()}}).withColumn("__at", number("__key"))
+    # All places are numbered, those of touched shards first; the others' rows stay where they are.
+    chosen = placed.join(F.broadcast(touched.withColumn("moved", F.lit(0))), "shard", "left").withColumn("moved", F.coalesce("moved", F.lit(1)))
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "moved", "shard", "slot")
+    chosen = chosen.withColumn("__at", number(F.struct("moved", "shard", "slot"))).withColumnsRenamed({c: f"{c}2" for c in [*same, "__at"]})
+    rows = docs.withColumns({"__id": F.col("doc_id"), **{f"__{k}": c for k, c in _facts(docs.columns).items()}}).withColumn("__at", number("__key"))
     met = F.col("__id").eqNullSafe(F.col("__id2"))
     for c in [*same[1:], "__at"]:
         met &= F.col(c) == F.col(f"{c}2")
-    out = rows.join(chosen, met).select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
+    out = rows.join(chosen, met).where("moved = 0").select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
     out = out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)

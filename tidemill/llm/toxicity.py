@@ -17,7 +17,10 @@ mod 4 is 2). Labels, language, source and id are never inputs of a score.
 
 Defined results. Null or empty text: scored as a text without words. A null id is
 not held out. Labels that disagree on one id: the larger. No usable labels: every
-score is 0. Rows that repeat are scored alike.
+score is 0. Rows that repeat are scored alike. Texts and tokens of any length are
+read whole, in time linear in their length. An empty table gives no rows. Ties between
+readings go to the larger string. Other columns, whatever their names, are ignored
+(``drop_toxic`` carries them).
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import TABLE, added_up, in_parts
+
 FIT_ROWS = 40_000  #: labelled documents that the classifier is fitted on, at most
 CALIBRATION_ROWS = 20_000  #: of these, whose evidence the logistic model sees
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -82,15 +86,9 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
                     if len(c) > 2:
                         held += np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=1 << 18)
         if held.any():
-            yield pd.DataFrame({"salt": [int(held.sum() % 61)], "held": [zstandard.compress(held.tobytes(), 1)]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in pdf["held"])
-        return pd.DataFrame({"salt": pdf["salt"][:1], "held": [zstandard.compress(total.tobytes(), 1)]})
+            yield in_parts("triples", held)
 
-    shape = "salt int, held binary"
-    rows = docs.select("text").mapInPandas(count, shape).groupBy("salt").applyInPandas(add, shape).collect()  # 61 tables at most
-    return sum((np.frombuffer(zstandard.decompress(r["held"]), np.int64) for r in rows), np.zeros(1 << 18, np.int64))
+    return added_up(docs.select("text").mapInPandas(count, TABLE)).get("triples", np.zeros(1 << 18, np.int64))
 
 
 def language_model(counts: np.ndarray) -> np.ndarray:
@@ -289,18 +287,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
                     bad[at] += 1
                     n[0] += 1
         if n[1]:
-            yield pd.DataFrame({"salt": [n[1] % 7], "bad": [zstandard.compress(bad.tobytes(), 1)], "seen": [zstandard.compress(seen.tobytes(), 1)], "n_bad": [n[0]], "n": [n[1]]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = [zstandard.compress(sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in pdf[c]).tobytes(), 1) for c in ("bad", "seen")]
-        return pd.DataFrame({"salt": pdf["salt"][:1], "bad": total[:1], "seen": total[1:], "n_bad": [pdf["n_bad"].sum()], "n": [pdf["n"].sum()]})
+            yield pd.concat([in_parts("bad", bad), in_parts("seen", seen), in_parts("n", np.array(n), 1)])
 
-    shape = "salt int, bad binary, seen binary, n_bad long, n long"
-    got = rows.mapInPandas(count, shape).groupBy("salt").applyInPandas(add, shape).collect()  # 7 rows at most
+    got = added_up(rows.mapInPandas(count, TABLE))
     if not got:
         return nothing
-    bad, seen = (sum(np.frombuffer(zstandard.decompress(r[c]), np.int64) for r in got) for c in ("bad", "seen"))
-    n_bad, n = sum(r["n_bad"] for r in got), sum(r["n"] for r in got)
+    bad, seen = got["bad"], got["seen"]
+    n_bad, n = got["n"].tolist()
     base = (n_bad + 0.5) / (n + 1)
     tables = spark.sparkContext.broadcast((bad, seen, base))
 
