@@ -51,7 +51,7 @@ WORD = re.compile(
 )
 #: parts that say where or how, not what
 PLACE = re.compile(
-    r"\d+|site|page|main|top|bottom|left|right|inner|outer|wrap\w*|container|area|box|bar|block|panel|list|items?|links?|buttons?|icons?|slot|unit|module|section|group|"
+    r"\d+|site|page|main|top|bottom|left|right|inner|outer|wrap\w*|container|area|box|bar|block|panel|list|items?|links?|buttons?|icons?|slot|unit|module|group|"
     r"form|posts?|articles?|content|fixed|sticky|primary|secondary|global|js|id|thread|reader|user|media|text|title|body|row|col",
     re.I,
 )
