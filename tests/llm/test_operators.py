@@ -460,15 +460,15 @@ def test_nearest_neighbours(spark):
 def test_nearest_neighbours_in_groups_of_near_copies(spark):
     """Above the size of one block, with near copies that no code tells apart and one vector far out."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(6000, 64))
+    x = rng.normal(size=(20_000, 64))
     x[:2000] = x[0] + 0.008 * rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    x[5999] *= 1000
+    x[19_999] *= 1000
     x = x.astype(np.float32)
-    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=200).collect()
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=500).collect()
     x = x.astype(np.float64)
     recall = []
-    for q in range(0, 6000, 200):
+    for q in range(0, 20_000, 500):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)

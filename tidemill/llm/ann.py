@@ -17,13 +17,16 @@ The index (rotations, block borders, cell size) is fitted on a bounded sample of
 curve at any size, for on data without structure recall at a fixed share of the
 input is what a curve can promise; fewer, larger blocks raise recall. Distances are
 multiplied out against every row of a chunk before the blocks choose, so work is
-queries times rows, as in a full search, and more blocks don't cut it.
+queries times rows, as in a full search, and more blocks don't cut it. Queries are
+dealt into parts of about ``QUERY_ROWS``, each of which meets each chunk in one task.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite parts
 take no part; nor do those of another width than the sample's most common one.
 A null id takes no part. Equal ids count once for each distinct vector. Ties go to
-the smaller id. Fewer candidates than asked for: all of them. A table of at most
-``SMALL`` rows is one block on one curve, which makes its search exact.
+the smaller id. Fewer candidates than asked for: all of them. Blocks hold some 64
+rows at least, so a table of fewer than 128 is one block and its search exact; the
+same holds at every size otherwise. An empty table gives no rows. Other columns,
+whatever their names, are ignored. There are no texts.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CURVES, DIMS, BITS, BLOCKS = 32, 10, 6, 96
-SAMPLE_ROWS, GROUP_ROWS, SMALL = 20_000, 4096, 4096
+SAMPLE_ROWS, GROUP_ROWS, QUERY_ROWS = 20_000, 4096, 4096
 TAIL = 0.02  #: share of the sample at either end that doesn't count for the cell size
 
 
@@ -116,7 +119,7 @@ def _nearest(query: pd.DataFrame, rows: pd.DataFrame, k: int, kind: str) -> pd.D
     ids, qs = rows["vec_id"].to_numpy(np.int64), query["vec_id"].to_numpy(np.int64)
     y, x = table(rows, "vec", kind).astype(np.float64), table(query, "vec", kind).astype(np.float64)
     y_blocks, x_blocks = np.ascontiguousarray(table(rows, "blocks", np.int16).T), table(query, "blocks", np.int16)
-    out = [none]
+    found: list[tuple] = []
     with np.errstate(over="ignore", invalid="ignore"):
         norm = (y * y).sum(1)
         # What rounding may add to or take from a squared distance by the product below.
@@ -134,8 +137,8 @@ def _nearest(query: pd.DataFrame, rows: pd.DataFrame, k: int, kind: str) -> pd.D
                     near = near[~(row - err > np.partition(row + err, k - 1)[k - 1])]
                 score = np.sqrt(np.square(y[near] - part[i]).sum(1))
                 best = np.lexsort((ids[near], score))[:k]
-                out.append(pd.DataFrame({"query_id": qs[at + i], "vec_id": ids[near[best]], "score": score[best]}))
-    return pd.concat(out, ignore_index=True)
+                found.append((np.full(len(best), qs[at + i]), ids[near[best]], score[best]))
+    return pd.DataFrame(dict(zip(none, map(np.concatenate, zip(*found))))) if found else none
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -150,8 +153,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     width = Counter(len(v) for v in sample).most_common(1)[0][0]
     data = data.where(F.size("v") == width).dropDuplicates(["vec_id", "v"])
     sample = np.array([v for v in sample if len(v) == width], dtype=np.float64)
-    small = n <= SMALL
-    index = spark.sparkContext.broadcast(Index(sample, n, curves=1 if small else CURVES, blocks=1 if small else BLOCKS))
+    index = spark.sparkContext.broadcast(Index(sample, n))
     # Floats travel as they came, all else as doubles.
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
 
@@ -167,8 +169,12 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows = materialise(data.mapInPandas(keyed, "vec_id long, vec binary, blocks binary"), "curves")
     chunks = -(-n // GROUP_ROWS)
     candidates = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(chunks)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("q_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # Queries are dealt into parts as well, so a task meets one chunk with a bounded part of them.
+    parts = -(-n // (every * QUERY_ROWS))
+    candidates = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("q_part", F.pmod(F.xxhash64("vec", "vec_id", F.lit(1)), F.lit(parts)).cast("int"))
+    queries = queries.withColumn("q_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     shape_found = "query_id long, vec_id long, score double"
-    found = queries.groupBy("q_chunk").cogroup(candidates.groupBy("chunk")).applyInPandas(lambda q, r: _nearest(q, r, k, kind), shape_found)
+    found = queries.groupBy("q_chunk", "q_part").cogroup(candidates.groupBy("chunk", "part")).applyInPandas(lambda q, r: _nearest(q, r, k, kind), shape_found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
