@@ -132,7 +132,7 @@ def distribution_drift(scored: DataFrame, features: list[str], t: Thresholds = T
 
 def ordered_features(compared: DataFrame, top: int | None = None) -> DataFrame:
     """Feature columns worst first, those that may vote before the others."""
-    out = compared.where("section = 'feature'").orderBy(F.col("deterministic").asc(), F.col("psi").desc(), F.col("column"))
+    out = compared.where("section = 'feature'").orderBy(F.col("deterministic").asc(), F.col("psi").desc(), F.col("column"), *[F.col(c) for c in ("series_key",) if c in compared.columns])
     return out if top is None else out.limit(top)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import INF, clean, ks_p_value, psi_term, severity
+from ..functions.core import INF, bin_label, clean, ks_p_value, psi_term, severity
 from ..specs import Thresholds
 
 SIDES = ("reference", "current")
@@ -104,7 +104,9 @@ def psi(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact: b
     terms = psi_detail(histogram(long, keys, t, exact), keys)
     aggs = [F.sum("term").alias("psi"), F.first("categorical").alias("categorical"), F.count("*").alias("bins")]
     if detail:
-        aggs.append(F.array_sort(F.collect_list(F.struct("bin", "lo", "hi", "n_reference", "n_current", "share_reference", "share_current", "term"))).alias("psi_bins"))
+        level = F.when(F.col("bin") == 0, F.lit("<unseen>")).otherwise(F.col("lo").cast("string"))
+        label = F.when(F.col("categorical"), level).otherwise(bin_label("lo", "hi")).alias("label")
+        aggs.append(F.array_sort(F.collect_list(F.struct("bin", label, "lo", "hi", "n_reference", "n_current", "share_reference", "share_current", "term"))).alias("psi_bins"))
     found = terms.groupBy(*keys, "column").agg(*aggs)
     n = long.groupBy(*keys, "column").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
     out = n.join(found, [*keys, "column"], "left")

@@ -445,11 +445,6 @@ def window_pair_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("pair", "n_reference", "n_current", r("psi", 6), r("ks_d", 6), "severity")
 
 
-@query()
-def second_opinion(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.second_opinion(tb.scored(spark, sf), [*SCORED_FEATURES, "y", "prediction"], t=LINES)
-
-
 # -- lake
 
 _OLD = "o AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS ts FROM events WHERE ts < TIMESTAMP '2024-01-20')"
@@ -587,10 +582,13 @@ def walk_forward_gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from . import steps  # noqa: F401  # registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
