@@ -408,3 +408,54 @@ def test_daily_monitor_names_its_tables(spark):
     assert v.measurable and v.is_real and v.rule.startswith("R")
     assert out["forward"].count() == 24 and out["sections"].count() == 4
     assert {r.step for r in spark.read.parquet(log).collect()} == {"features", "score", "forecast", "monitor", "drift"}
+
+
+def test_windows_are_anchored_where_training_ended(spark):
+    """Two series with different training ends, one with too little after it, one without any."""
+    from tidemill.plans.daily import window_starts
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    keys = ("early", "late", "fresh", "none")
+    rows = [(k, day(n), 1.0) for k in keys for n in range(60)]
+    d = spark.createDataFrame(rows, "series_key string, target_ts timestamp, y double")
+    p = d.select("series_key", F.col("target_ts").alias("ts"))
+    trained = spark.createDataFrame([("early", day(20)), ("late", day(45)), ("fresh", day(58)), ("none", None)], "series_key string, train_data_end timestamp")
+    got = {r.series_key: r for r in window_starts(d, p, WindowSpec(10, 10), Thresholds(min_samples=5), trained, True, "7").collect()}
+    assert {k: r.current_start for k, r in got.items()} == {"early": day(20), "late": day(45), "fresh": day(49), "none": day(49)}
+    assert {k: (r.measurable, r.rows_after) for k, r in got.items()} == {"early": (True, 40), "late": (True, 15), "fresh": (False, 2), "none": (True, 0)}
+    assert all(r.source == "fitted_on_train_window" and r.champion_version == "7" for r in got.values())
+    assert "in-sample" in got["late"].reason and "does not record" in got["none"].reason and "only 2 rows" in got["fresh"].drift_reason
+    # On the calendar split a champion that stopped long before may score.
+    old = spark.createDataFrame([("early", day(20))], "series_key string, train_data_end timestamp")
+    one = {r.series_key: r for r in window_starts(d, p, WindowSpec(10, 10), Thresholds(min_samples=50), old, True).collect()}
+    assert (one["early"].source, one["early"].measurable, one["late"].source) == ("registry", False, "fitted_on_train_window")
+
+
+def test_a_fresh_champion_gives_r0_and_still_tells_errors(spark):
+    from tidemill.plans.daily import daily_monitor
+
+    rng = np.random.default_rng(6)
+    values = [100 + 10 * math.sin(i / 24 * 2 * math.pi) + rng.normal() for i in range(24 * 24)]
+    spec = SeriesSpec(lags=(24,), season_lags=(24, 48), temperature_lag=24, short_window=24, long_window=48, season=24, min_history=72, stride=24)
+    p = panel.build_panel(series(spark, values)).cache()
+    end = p.agg(F.max("ts")).first()[0]
+    out = daily_monitor(p, spec, WindowSpec(7, 7), Thresholds(min_samples=50), train_data_end=end, rounds=1, depth=2)
+    v = out["verdict"].first()
+    assert (v.rule, v.measurable, v.should_retrain) == ("R0_champion_is_current", False, False)
+    assert out["errors"].count() >= 13 and out["scoring_model"].first().source == "fitted_on_train_window"
+
+
+def test_ablation_and_publish(spark, tmp_path):
+    from tidemill.operators import models
+    from tidemill.sources import lake
+
+    rng = np.random.default_rng(7)
+    spec = SeriesSpec(lags=(24,), season_lags=(24,), temperature_lag=24, short_window=24, long_window=48, season=24, min_history=72, stride=24, max_horizon=3)
+    p = panel.build_panel(series(spark, (100 + rng.normal(size=24 * 12)).tolist())).cache()
+    d = models.cutoff_design(p, spec, design.training_origins(p, spec))
+    got = models.ablation(p, d, ("demand_last",), spec, rounds=1, depth=1).first()
+    assert got.status == "measured" and got.mae_baseline > 0 and got.horizons_total == 3
+    assert models.ablation(p, d, ("absent",), spec).first().status == "not measured"
+    lake.publish(spark.range(3), f"file://{tmp_path}/out", False, "made up")
+    rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert len(rows) == 3 and all((r.is_real, r.warning) == (False, "made up") and r.generated_at_utc for r in rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.core import psi_term, rank, severity, severity_of
 from ..specs import DETERMINISTIC, Thresholds, WindowSpec
 from .backtest import add_errors
-from .statistics import binned, compare_columns, long_form
+from .statistics import binned, compare_columns, counted, long_form
 
 SECTIONS = ("feature", "target", "prediction", "performance")
 
@@ -175,10 +175,9 @@ def drift_timeline(scored: DataFrame, features: list[str], t: Thresholds = Thres
     every = both.select("series_key", "day", "window", *[F.col(c).cast("double").alias(c) for c in wanted]).unpivot(["series_key", "day", "window"], wanted, "column", "value")
     every = every.where("value is not null and not isnan(value)")
     # The reference's rows decide the bins; the same rows are then counted by day.
-    everyone = every.withColumn("side", F.col("window")).withColumn("window", F.when(F.col("window") == "reference", "reference").otherwise("current"))
-    rows, bins = binned(everyone, ["series_key"], t, exact)
-    reference = rows.where("side = 'reference'").groupBy(*group, "bin").agg(F.count("*").alias("n_ref"))
-    daily = rows.groupBy(*group, "day", "bin").agg(F.count("*").alias("n"))
+    rows, bins = binned(counted(every, ["series_key"], ("day",)), ["series_key"], t, exact)
+    reference = rows.groupBy(*group, "bin").agg(F.sum("n_reference").alias("n_ref"))
+    daily = rows.groupBy(*group, "day", "bin").agg(F.sum(F.col("n_reference") + F.col("n_current")).alias("n"))
     grid = both.select("series_key", "day").distinct().join(bins.select(*group, "bin"), "series_key")
     dense = grid.join(daily, [*group, "day", "bin"], "left").join(reference, [*group, "bin"], "left").fillna(0, ["n", "n_ref"])
     trail = Window.partitionBy(*group, "bin").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)

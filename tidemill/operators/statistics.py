@@ -1,8 +1,10 @@
 """Distribution statistics of many columns at once: quantile edges, histograms, PSI, KS, summaries.
 
 Input is long: any key columns, ``column``, ``window`` (``reference`` or
-``current``) and ``value``. Every statistic is grouped by the keys and column, so
-one job covers all columns of all series.
+``current``) and ``value``; or already ``counted``: one row per distinct value with
+its number in both windows. Every statistic follows from these counts, which are
+made once, with partial sums before the one shuffle of the rows, and is grouped by
+the keys and column, so one job covers all columns of all series.
 """
 
 from __future__ import annotations
@@ -26,24 +28,33 @@ def _is(side: str) -> Column:
     return F.col("window") == side
 
 
+def counted(long: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, by, column, value, n_reference, n_current): how often each value stands in the two windows."""
+    if "n_reference" in long.columns:
+        return long
+    return long.groupBy(*keys, *by, "column", "value").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
+
+
 def quantile_edges(long: DataFrame, keys: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
     """``edges``: the reference's interpolated quantiles, equal ones collapsed, ends open.
 
     Exact percentiles hold a count per distinct value of a group; where a group has
-    billions of distinct values, ``exact=False`` takes a sketch of fixed size.
+    billions of distinct values, ``exact=False`` takes a sketch of fixed size from the rows.
     """
     at = [i / bins for i in range(bins + 1)]
-    q = F.percentile("value", F.array(*[F.lit(x) for x in at])) if exact else F.percentile_approx("value", at, 100_000)
-    found = long.where(_is("reference")).groupBy(*keys, "column").agg(F.array_distinct(q).alias("q"))
+    if exact:
+        rows, q = counted(long, keys).where("n_reference > 0"), F.percentile("value", F.array(*[F.lit(x) for x in at]), F.col("n_reference"))
+    else:
+        rows, q = long.where(_is("reference")) if "window" in long.columns else long.where("n_reference > 0"), F.percentile_approx("value", at, 100_000)
+    found = rows.groupBy(*keys, "column").agg(F.array_distinct(q).alias("q"))
     inner = F.slice("q", 2, F.greatest(F.size("q") - 2, F.lit(0)))
     edges = F.when(F.size("q") >= 2, F.concat(F.array(F.lit(-INF)), inner, F.array(F.lit(INF)))).otherwise(F.array().cast("array<double>"))
     return found.select(*keys, "column", edges.alias("edges"))
 
 
 def levels(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct reference values of each column: how many, and sorted, where they are few enough to bin by."""
-    counts = long.where(_is("reference")).groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy(*keys, "column").agg(F.count("*").alias("n_levels"))
+    """How many distinct reference values each column has."""
+    return counted(long, keys).groupBy(*keys, "column").agg(F.count_if(F.col("n_reference") > 0).alias("n_levels")).where("n_levels > 0")
 
 
 def binned(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +65,10 @@ def binned(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact
     each two quantile edges. The bins' table has a few dozen rows a column.
     """
     group = [*keys, "column"]
-    few = levels(long, keys)
-    cat = few.where(F.col("n_levels") <= t.max_categorical_levels).select(*group)
-    level_sets = long.where(_is("reference")).join(cat, group, "left_semi").groupBy(*group).agg(F.array_sort(F.collect_set("value")).alias("levels"))
+    ref = long.where("n_reference > 0") if "n_reference" in long.columns else long.where(_is("reference"))
+    some = ref.select(*group, "value").distinct().groupBy(*group).agg(F.count("*").alias("n_levels"))
+    cat = some.where(F.col("n_levels") <= t.max_categorical_levels).select(*group)
+    level_sets = ref.join(cat, group, "left_semi").groupBy(*group).agg(F.array_sort(F.collect_set("value")).alias("levels"))
     edges = quantile_edges(long, keys, t.psi_bins, exact)
     plan = edges.join(level_sets, group, "left").select(*group, "levels", F.when(F.col("levels").isNull(), F.col("edges")).alias("edges"))
     rows = long.join(plan, group)
@@ -77,9 +89,9 @@ def binned(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact
 
 def histogram(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact: bool = True) -> DataFrame:
     """Counts of both windows in every bin, zeros included."""
-    rows, bins = binned(long, keys, t, exact)
+    rows, bins = binned(counted(long, keys), keys, t, exact)
     group = [*keys, "column"]
-    counts = rows.groupBy(*group, "bin").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
+    counts = rows.groupBy(*group, "bin").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SIDES])
     out = bins.join(counts, [*group, "bin"], "left")
     return out.withColumns({f"n_{s}": F.coalesce(f"n_{s}", F.lit(0).cast("long")) for s in SIDES})
 
@@ -108,13 +120,13 @@ def psi(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact: b
         label = F.when(F.col("categorical"), level).otherwise(bin_label("lo", "hi")).alias("label")
         aggs.append(F.array_sort(F.collect_list(F.struct("bin", label, "lo", "hi", "n_reference", "n_current", "share_reference", "share_current", "term"))).alias("psi_bins"))
     found = terms.groupBy(*keys, "column").agg(*aggs)
-    n = long.groupBy(*keys, "column").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
+    n = counted(long, keys).groupBy(*keys, "column").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SIDES])
     out = n.join(found, [*keys, "column"], "left")
     ok = (F.col("n_reference") > 0) & (F.col("n_current") > 0) & F.col("psi").isNotNull()
     return out.withColumns({"psi": F.when(ok, F.col("psi")).otherwise(F.lit(0.0)), "psi_status": F.when(ok, F.lit("ok")).otherwise(F.lit("degenerate"))})
 
 
-def ks(long: DataFrame, keys: list[str], buckets: int = 1) -> DataFrame:
+def ks(long: DataFrame, keys: list[str], buckets: int = 16) -> DataFrame:
     """ks_d (exact) and ks_p of the two windows for every column.
 
     Values are counted first, then cumulated. With ``buckets`` above 1 a column's
@@ -122,8 +134,8 @@ def ks(long: DataFrame, keys: list[str], buckets: int = 1) -> DataFrame:
     the buckets before it, so one column can be spread over that many tasks.
     """
     group = [*keys, "column"]
-    counts = long.groupBy(*group, "value").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
-    total = long.groupBy(*group).agg(*[F.count_if(_is(s)).alias(f"all_{s}") for s in SIDES])
+    counts = counted(long, keys)
+    total = counts.groupBy(*group).agg(*[F.sum(f"n_{s}").alias(f"all_{s}") for s in SIDES])
     if buckets > 1:
         cuts = counts.groupBy(*group).agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
         counts = counts.join(cuts, group).withColumn("bucket", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
@@ -144,17 +156,18 @@ def ks(long: DataFrame, keys: list[str], buckets: int = 1) -> DataFrame:
 
 def summarise(long: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean, std, p05, p50, p95 of both windows (4 places) and the shift of the rounded means."""
-    aggs = []
+    group, counts = [*keys, "column"], counted(long, keys)
+    means = counts.groupBy(*group).agg(*[x for s in SIDES for x in (F.sum(f"n_{s}").alias(f"{s}_n"), (F.sum(F.col("value") * F.col(f"n_{s}")) / F.nullif(F.sum(f"n_{s}"), F.lit(0))).alias(f"__mean_{s}"))])
+    aggs, shown = [], []
     for s in SIDES:
-        v = F.when(_is(s), F.col("value"))
-        n = F.count(v)
-        aggs += [
-            n.alias(f"{s}_n"),
-            F.round(F.avg(v), 4).alias(f"{s}_mean"),
-            F.round(F.when(n == 1, 0.0).otherwise(F.stddev_samp(v)), 4).alias(f"{s}_std"),
-            *[F.round(F.percentile(v, F.lit(p)), 4).alias(f"{s}_p{int(p * 100):02d}") for p in (0.05, 0.5, 0.95)],
-        ]
-    out = long.groupBy(*keys, "column").agg(*aggs)
+        n, off = F.col(f"n_{s}"), F.col("value") - F.col(f"__mean_{s}")
+        aggs += [F.sum(off * off * n).alias(f"__square_{s}"), F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), n).alias(f"__q_{s}")]
+        std = F.when(F.col(f"{s}_n") == 1, 0.0).otherwise(F.sqrt(F.col(f"__square_{s}") / F.nullif(F.col(f"{s}_n") - 1, F.lit(0))))
+        std = F.when(F.col(f"{s}_n") > 0, std)
+        shown += [f"{s}_n", F.round(f"__mean_{s}", 4).alias(f"{s}_mean"), F.round(std, 4).alias(f"{s}_std")]
+        shown += [F.round(F.get(f"__q_{s}", F.lit(i)), 4).alias(f"{s}_{p}") for i, p in enumerate(("p05", "p50", "p95"))]
+    kept = [*group, *[c for s in SIDES for c in (f"{s}_n", f"__mean_{s}")]]
+    out = counts.join(means, group).groupBy(*kept).agg(*aggs).select(*group, *shown)
     return out.withColumn("mean_shift", F.round(F.col("current_mean") - F.col("reference_mean"), 4))
 
 
@@ -165,6 +178,7 @@ def compare_columns(long: DataFrame, keys: list[str], t: Thresholds = Thresholds
     few rows on either side give ok with ``insufficient_data``.
     """
     group = [*keys, "column"]
+    long = counted(long, keys)
     out = psi(long, keys, t, exact, detail).join(ks(long, keys), group).join(summarise(long, keys), group)
     few = F.least("n_reference", "n_current") < t.min_samples
     by_psi = severity("psi", t.psi_warn, t.psi_alert)

@@ -15,24 +15,63 @@ from ..sources.lake import published, timed_step, write_run_log
 from ..specs import SeriesSpec, Thresholds, WindowSpec
 
 
+FITTED, REGISTRY = "fitted_on_train_window", "registry"
+
+
+def window_starts(design: DataFrame, panel: DataFrame, w: WindowSpec, t: Thresholds, trained: DataFrame | None, has_champion: bool, version: str | None = None) -> DataFrame:
+    """One row per series: where its current window starts, whether drift can be measured, which model scores and why.
+
+    ``trained`` (series_key, train_data_end) tells where the champion's training data
+    end; there the current window begins, for what came later is what the model has
+    not seen. With fewer than ``min_samples`` labelled rows from there on nothing can be
+    measured yet, and with no such time there is no boundary: both fall back to the
+    calendar split, the last days of the panel. The champion itself scores only where
+    its training data end before the reference starts.
+    """
+    days = lambda n: F.expr(f"INTERVAL {n} DAYS")
+    ends = panel.groupBy("series_key").agg(F.max("ts").alias("end_ts"))
+    if trained is None:
+        out = ends.withColumns({"train_data_end": F.lit(None).cast("timestamp"), "rows_after": F.lit(0).cast("long")})
+    else:
+        out = ends.join(trained.select("series_key", F.col("train_data_end").cast("timestamp").alias("train_data_end")), "series_key", "left")
+        after = design.where("y is not null").join(trained.select("series_key", "train_data_end"), "series_key").where("target_ts >= train_data_end")
+        after = after.groupBy("series_key").agg(F.count("*").alias("rows_after"))
+        out = out.join(after, "series_key", "left").withColumn("rows_after", F.coalesce("rows_after", F.lit(0).cast("long")))
+    anchored = F.col("train_data_end").isNotNull()
+    out = out.withColumn("measurable", ~anchored | (F.col("rows_after") >= t.min_samples))
+    out = out.withColumn("current_start", F.when(anchored & F.col("measurable"), F.col("train_data_end")).otherwise(F.col("end_ts") - days(w.current_days)))
+    out = out.withColumn("reference_start", F.col("current_start") - days(w.reference_days))
+    safe = F.lit(has_champion) & F.coalesce(F.col("train_data_end") < F.col("reference_start"), F.lit(False))
+    reason = (
+        F.when(F.lit(not has_champion), F.lit("no champion is registered"))
+        .when(~anchored, F.lit("the champion does not record where its training data end, so it may have seen the windows"))
+        .when(safe, F.lit("the champion's training data end before the reference starts"))
+        .otherwise(F.lit("the champion was trained on rows of the reference window, where its errors would be in-sample"))
+    )
+    out = out.withColumns({"source": F.when(safe, REGISTRY).otherwise(FITTED), "reason": reason, "champion_version": F.lit(version).cast("string")})
+    few = F.format_string("only %d rows came after the champion's training data; %d are needed", F.col("rows_after"), F.lit(t.min_samples))
+    return out.withColumn("drift_reason", F.when(~F.col("measurable"), few))
+
+
 def daily_monitor(
     panel: DataFrame,
     spec: SeriesSpec = SeriesSpec(),
     windows: WindowSpec = WindowSpec(),
     t: Thresholds = Thresholds(),
     champion: PipelineModel | None = None,
-    train_data_end: datetime | None = None,
+    train_data_end: datetime | DataFrame | None = None,
     is_real: bool = True,
     run_log: str | None = None,
+    champion_version: str | None = None,
     **how,
 ) -> dict[str, DataFrame]:
-    """Named results of one run: panel, counts, scored, history, forward, errors, sections, timeline, verdict.
+    """Named results of one run: panel, scoring_model, counts, scored, history, forward, errors, sections, timeline, verdict.
 
-    A champion scores only where its training data ends before the reference
-    starts; else a model fitted on the train window does. With a champion the
-    current window begins where its training data ends; if too few rows follow,
-    the verdict is R0 and accuracy is still told on the calendar split. Steps are
-    timed and, with ``run_log``, appended to a table, on failure too.
+    Windows and the model that scores them are told by ``window_starts``; a series that
+    the champion may not score is scored by a model fitted on the train windows. Where
+    nothing can be measured yet the verdict is R0, and accuracy is still told on the
+    calendar split. ``train_data_end`` is one time or a table (series_key, train_data_end).
+    Steps are timed and, with ``run_log``, appended to a table, on failure too.
     """
     spark: SparkSession = panel.sparkSession
     log: list[tuple] = []
@@ -51,16 +90,19 @@ def daily_monitor(
         out["panel"] = step("features", lambda: describe_panel(panel))
 
         def score():
-            design = build_design_matrix(panel, training_origins(panel, spec), spec).persist()
-            split = drift.split_windows(design, windows)
-            if champion is not None and train_data_end is not None:
-                starts = split.where("window = 'reference'").agg(F.min("target_ts")).first()[0]
-                if starts is not None and train_data_end < starts:
-                    return drift.score_windows(split, lambda train, rows: models.gbt_predict(champion, rows, spec.features)), champion
-            model = models.gbt_fit(split.where("window = 'train'"), spec.features, **how)
-            return drift.score_windows(split, lambda train, rows: models.gbt_predict(model, rows, spec.features)), model
-
-        scored, model = step("score", score)
+            design = build_design_matrix(panel, training_origins(panel, spec), spec)
+            trained = train_data_end
+            if isinstance(trained, datetime):
+                trained = panel.select("series_key").distinct().withColumn("train_data_end", F.lit(trained).cast("timestamp"))
+            starts = window_starts(design, panel, windows, t, trained, champion is not None, champion_version)
+            at = starts.select("series_key", "current_start", "source")
+            split = drift.split_windows(design.join(at, "series_key"), windows, anchor=F.col("current_start")).drop("current_start")
+            fitted = models.gbt_fit(split.where(f"window = 'train' and source = '{FITTED}'"), spec.features, **how) if champion is None or not at.where(f"source = '{FITTED}'").isEmpty() else champion
+            pick = lambda source, model: drift.score_windows(split.where(f"source = '{source}'").drop("source"), lambda train, rows: models.gbt_predict(model, rows, spec.features))
+            rows = pick(FITTED, fitted)
+            return (rows if champion is None else rows.unionByName(pick(REGISTRY, champion))), fitted, starts
+
+        scored, model, out["scoring_model"] = step("score", score)
         out["scored"] = scored
         out["counts"] = drift.split_counts(scored)
         out["history"] = step("forecast", lambda: models.forecast_history(scored, spec.max_horizon))
@@ -72,10 +114,8 @@ def daily_monitor(
         out["sections"] = step("drift", lambda: drift.drift_sections(scored, features, t))
         out["timeline"] = drift.drift_timeline(scored, features, t)
         verdict = policy.evaluate(out["sections"], t)
-        counts = out["counts"]
-        if train_data_end is not None:
-            after = scored.where(F.col("target_ts") > F.lit(train_data_end)).groupBy("series_key").agg(F.count("*").alias("n"))
-            counts = after.withColumn("window", F.lit("current"))
+        after = F.when(F.col("measurable"), F.greatest("rows_after", F.lit(t.min_samples))).otherwise(F.col("rows_after"))
+        counts = out["scoring_model"].select("series_key", F.lit("current").alias("window"), after.alias("n"))
         out["verdict"] = policy.champion_is_current(verdict, counts, t)
     finally:
         if run_log:
