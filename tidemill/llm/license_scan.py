@@ -9,17 +9,20 @@ span is verified: enough of the template, in a stretch not much longer than it.
 
 Defined results. Null text: no words, nothing found. A null ``doc_id`` is a value
 like any other. Rows that repeat both ``doc_id`` and text give one result row
-each. Other columns are ignored.
+each. Texts of any length are read whole. An empty table gives no rows. Of spans that
+cover as much, all count. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 2
+UPPER = string.ascii_uppercase
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: label -> phrase whose every exact place counts
@@ -67,7 +70,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", F.xxhash64(text).alias("fp"), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("words"))
+    words = docs.select("doc_id", F.xxhash64(text).alias("fp"), F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(WORD), F.lit(0)).alias("words"))
     grams = words.select("doc_id", "fp", "words", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "w0"))
     grams = grams.withColumn("w1", F.get("words", F.col("pos") + 1)).drop("words")
     grams = grams.withColumn("gram", F.xxhash64("w0", "w1"))

@@ -9,7 +9,10 @@ numbers the pieces of each length - in salted groups, so equal lengths may be an
 share of the rows - and joins them to the plan.
 
 Defined results. A null text is empty and becomes the lone end token. Rows that
-repeat are packed each on their own. A null ``doc_id`` is packed like any other.
+repeat are packed each on their own. A null ``doc_id`` is packed like any other. A
+text of any length is cut into pieces of ``limit`` ids. Pieces of one length are
+interchangeable, so ties need no rule. An empty table gives no rows. ``tokenised``
+ignores other columns, whatever their names; ``pack`` carries them.
 """
 
 from __future__ import annotations

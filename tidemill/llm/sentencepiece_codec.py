@@ -10,7 +10,11 @@ The segmentation is the one of highest total piece score. (For a file whose
 pieces were made by merging, its own library merges by rank instead, so ids may
 differ from that library's while the decoded text is the same; see the README.)
 
-Defined results. Null text: no ids. Ids and other columns are only carried.
+Defined results. Null text: no ids. Of segmentations of one score the one whose last
+piece is found first (the longest) stands. Repeated rows repeat. Texts of any length
+are read whole, in linear time. An empty table gives no rows. ``doc_id`` is carried,
+other columns, whatever their names, are dropped. The model's own normaliser isn't
+read: text is encoded as it stands, with blanks as the pieces write them.
 """
 
 from __future__ import annotations
