@@ -169,14 +169,21 @@ def fill(left: list[int], lengths: list[int], limit: int, two_fit: bool = True)
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:
     """(length, from rank, to rank, first sequence, per sequence, offset) rows that place every piece.
 
-    Replacing can cost a sequence when few pieces are left to choose from, so the
-    greedy fill alone is planned too and taken where it needs fewer.
+    Replacing can cost a sequence when few pieces are left to choose from. Then it
+    ends earlier: half the sequences of the greedy fill, a quarter and so on, until
+    it costs none.
     """
-    (rows, n), (plain, m) = (_plan(histogram, limit, two_fit) for two_fit in (True, False))
-    return rows if n <= m else plain
+    rows, n = _plan(histogram, limit, sum(histogram.values()))
+    m = _plan(histogram, limit, 0)[1]
+    replaced = m
+    while n > m:
+        replaced //= 2
+        rows, n = _plan(histogram, limit, replaced)
+    return rows
 
 
-def _plan(histogram: dict[int, int], limit: int, two_fit: bool) -> tuple[list, int]:
+def _plan(histogram: dict[int, int], limit: int, replaced: int) -> tuple[list, int]:
+    """The plan and its number of sequences, if the first ``replaced`` of them replace their smallest piece."""
     left = [0] * (limit + 1)
     for x, n in histogram.items():
         left[x] = n
@@ -184,11 +191,13 @@ def _plan(histogram: dict[int, int], limit: int, two_fit: bool) -> tuple[list, i
     taken = [0] * (limit + 1)
     rows, sequence = [], 0
     while lengths:
-        held = fill(left, lengths, limit, two_fit)
+        held = fill(left, lengths, limit, sequence < replaced)
         need: dict[int, int] = {}
         for x in held:
             need[x] = need.get(x, 0) + 1
         times = min(left[x] // n for x, n in need.items())
+        if sequence < replaced:
+            times = min(times, replaced - sequence)
         offset = 0
         for x, n in sorted(need.items(), reverse=True):
             rows.append((x, taken[x], taken[x] + n * times, sequence, n, offset))
