@@ -109,10 +109,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
             stepped.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("jumped", "component")).alias("component")),
             "labels",
         )
+        release(labels)
         moved = new.where("old <> component").limit(1).count()
         labels = new.select("id", "component")
         if not moved:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release(both)
     return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
