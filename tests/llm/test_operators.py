@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import ann, chat, html_extract, jaccard_join, license_scan, packing, quality, sentencepiece_codec, sharding, toxicity
+from tidemill.llm.license_texts import WHOLE
 from tidemill.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size long, label string"
@@ -63,6 +64,27 @@ def test_licence_scan_keeps_repeats_and_null_ids(spark):
     assert license_scan.scan(d.limit(0)).count() == 0
 
 
+def test_licence_scan_reads_whole_texts(spark):
+    rng = random.Random(3)
+    want = {"mit": "mit", "isc": "isc", "bsd-3-clause": "bsd,bsd-3-clause", "zlib": "zlib", "unlicense": "unlicense"}
+    assert want.keys() == WHOLE.keys()
+    texts, labels = [], []
+    for name, text in WHOLE.items():
+        words = text.split()
+        damaged = words[:40] + ["so", "to", "say"] + words[40:]
+        damaged[70:72] = ["foreign"]
+        half = words[len(words) // 2 :]
+        texts += [text, f"{prose(rng, 500)} {' '.join(damaged)} {prose(rng, 500)}", " ".join(half), " ".join(sorted(words))]
+        labels += [want[name], want[name], None, None]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, texts)).collect()}
+    for i, label in enumerate(labels):
+        if label is not None:
+            assert got[i].labels == label, texts[i][:80]
+        else:
+            assert not WHOLE.keys() & set(got[i].labels.split(",")), texts[i][:80]
+    assert got[0].score == 1.0 and 0.75 <= got[1].score <= 1.0
+
+
 # -- sentencepiece
 
 
@@ -246,6 +268,30 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack(packing.tokenised(docs(spark, texts).limit(0), path)).count() == 0
 
 
+def test_replacing_never_costs_a_sequence():
+    rng = random.Random(8)
+    fewer = 0
+    for _ in range(400):
+        histogram: dict[int, int] = {}
+        for _ in range(rng.randrange(1, 40)):
+            x = rng.randrange(1, 60)
+            histogram[x] = histogram.get(x, 0) + 1
+        greedy = packing._plan(histogram, 60, 0)[1]
+        rows = packing.plan(histogram, 60)
+        used: dict[int, int] = {}
+        places: dict[int, list] = {}
+        for x, lo, hi, first, each, at in rows:
+            for r in range(lo, hi):
+                places.setdefault(x, []).append(r)
+                q = first + (r - lo) // each
+                used[q] = used.get(q, 0) + x
+        assert {x: sorted(r) for x, r in places.items()} == {x: list(range(n)) for x, n in histogram.items()}
+        assert max(used.values()) <= 60 and sorted(used) == list(range(len(used)))
+        assert len(used) <= greedy
+        fewer += packing._plan(histogram, 60, sum(histogram.values()))[1] > greedy
+    assert fewer  # cases in which replacing had to end early
+
+
 def test_best_two_fit_replaces_the_smallest():
     left = [0] * 11
     for x in (7, 2, 1):

@@ -21,6 +21,8 @@ import string
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .license_texts import WHOLE
+
 K = 2
 UPPER = string.ascii_uppercase
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -48,15 +50,19 @@ TEMPLATES = {
 }
 MIN_COVER, SLACK = 0.75, 3
 
+#: pairs of two of these words stand in every text and cast no vote for a label of the method
+FUNCTION = frozenset("a and any are as be by for in is not of or that the this to with".split())
+
 
 def template_rows() -> list[tuple]:
-    """(tid, label, base, n_grams, tpos, first word, second word): a few hundred, fixed by this module."""
+    """(tid, label, base, n_grams, tpos, first word, second word): about a thousand, fixed by this subpackage."""
     rows, tid = [], 0
-    for base, library in ((True, {k: [v] for k, v in BASE.items()}), (False, TEMPLATES)):
+    for base, library in ((True, {k: [v] for k, v in BASE.items()}), (False, TEMPLATES), (False, {k: [v] for k, v in WHOLE.items()})):
         for label, texts in library.items():
             for text in texts:
-                words = re.findall(WORD, text)
-                rows += [(tid, label, base, len(words) - K + 1, i, words[i], words[i + 1]) for i in range(len(words) - K + 1)]
+                words = re.findall(WORD, text.lower())
+                places = [i for i in range(len(words) - K + 1) if base or not FUNCTION.issuperset(words[i : i + K])]
+                rows += [(tid, label, base, len(places), i, words[i], words[i + 1]) for i in places]
                 tid += 1
     return rows
 
@@ -93,7 +99,8 @@ def scan(docs: DataFrame) -> DataFrame:
     # A phrase stands exactly where its diagonal holds all its votes; the method's own templates may merge diagonals.
     votes = votes.where("tid is null or (base and size(held) = n_grams) or (not base and size(held) >= least(2, n_grams))")
     by_template = Window.partitionBy("doc_id", "fp", "tid").orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(by_template) > SLACK) | (F.col("lo") > F.lag("hi").over(by_template) + SLACK + K)
+    # Neighbouring diagonals keep votes near each other, as a template's places are; the span's length is verified below.
+    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(by_template) > SLACK)
     votes = votes.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("apart").over(by_template))
     spans = votes.groupBy("doc_id", "fp", "tid", "label", "base", "n_grams", "span").agg(
         F.max("n").alias("n"),

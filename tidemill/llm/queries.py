@@ -76,7 +76,7 @@ def _license_sql() -> str:
     g AS (SELECT rid, unnest(words[1:len(words) - 1]) AS w0, unnest(words[2:]) AS w1, unnest(generate_series(0, len(words) - 2)) AS pos FROM w WHERE len(words) > 1),
     v AS (SELECT rid, tid, label, base, n_grams, pos - tpos AS diagonal, list_distinct(list(tpos)) AS held, min(pos) AS lo, max(pos) AS hi FROM g JOIN t ON w0 = t0 AND w1 = t1 GROUP BY ALL),
     k AS (SELECT * FROM v WHERE (base AND len(held) = n_grams) OR (NOT base AND len(held) >= least(2, n_grams))),
-    m AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {license_scan.SLACK}, true) OR coalesce(lo > lag(hi) OVER o + {license_scan.SLACK + license_scan.K}, true) THEN 1 ELSE 0 END AS apart FROM k WINDOW o AS (PARTITION BY rid, tid ORDER BY diagonal)),
+    m AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {license_scan.SLACK}, true) THEN 1 ELSE 0 END AS apart FROM k WINDOW o AS (PARTITION BY rid, tid ORDER BY diagonal)),
     s AS (SELECT *, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS span FROM m),
     z AS (SELECT rid, tid, label, base, n_grams, span, len(list_distinct(flatten(list(held)))) / n_grams AS cover, min(lo) AS lo, max(hi) AS hi FROM s GROUP BY rid, tid, label, base, n_grams, span),
     f AS (SELECT * FROM z WHERE base OR (cover >= {license_scan.MIN_COVER} AND hi - lo + 1 <= 2 * n_grams + {license_scan.SLACK})),
