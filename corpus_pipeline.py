@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import jaccard_join, packing, quality, toxicity
-from tidemill.llm.common import read_table, shared_dir
+from tidemill.llm.common import read_table, release, shared_dir
 from tidemill.llm.queries import tokenizer_path
 
 
@@ -39,10 +39,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to the documents; each stage's result is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Apply STAGES to the documents; each stage's result is written to the shared folder, read again by the next one and then deleted."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/tidemill-stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(*before)
         docs = spark.read.parquet(path)
+        before = [docs]
     return docs
