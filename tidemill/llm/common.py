@@ -55,6 +55,32 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BITMAP = (1 << 20, 1 << 27)
+
+
+def in_bitmap(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` is among ``keys`` (one column), and a few more, picked before any shuffle.
+
+    A bitmap of hashed keys has 16 bits a key within the two bounds of ``BITMAP``: past
+    the larger one (16 MB) more rows pass than need be. A join has the last word.
+    """
+    name = keys.columns[0]
+    size = min(BITMAP[1], max(BITMAP[0], 1 << (16 * keys.count()).bit_length()))
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), spread(name).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = keys.groupBy(F.shiftright(spread(name), 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # size / 64 rows at most
+    table = np.zeros(size // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((shared.value.view(np.uint64)[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return rows.where(held(spread(column)))
+
+
 def in_parts(name: str, table: np.ndarray, parts: int = 16) -> pd.DataFrame:
     """A table of counters (int64) as ``parts`` packed rows of TABLE."""
     cut = [(i, zstandard.compress(x.astype(np.int64).tobytes(), 1)) for i, x in enumerate(np.array_split(table, parts))]

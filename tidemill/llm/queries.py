@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html_extract, jaccard_join, license_scan, packing, quality, sentencepiece_codec, sharding, toxicity
+from . import ann, chat, html_extract, jaccard_join, lexical, license_scan, merkle, packing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from .common import read_table
 
 
@@ -57,6 +57,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_turns(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(read_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +77,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     ops = [op1_license_scan, op2_sentencepiece, op3_toxicity, op4_quality_rules, op5_best_fit_packing, op6_html_extraction]
-    ops += [op7_jaccard_join, op8_nearest_neighbours, op9_sharding, op10_chat_formatting, pipeline]
+    ops += [op7_jaccard_join, op8_nearest_neighbours, op9_sharding, op10_chat_formatting]
+    ops += [op11_merkle_manifest, op12_simhash, op13_lexical_search, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -95,5 +108,51 @@ def _jaccard_sql() -> str:
     SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT id, min(seen) AS c FROM r GROUP BY 1) m ON m.id = documents.doc_id"""
 
 
+def _merkle_sql() -> str:
+    """The same tree level by level; each level's hashes stand beside every leaf. 24 levels are more than any table here has."""
+    levels = 24
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    fields = " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+    def tree(name: str, leaves: str) -> str:
+        """CTEs from ``leaves`` (grp, pos, n, h) to ``{name}nodes`` (lvl, grp, pos, n, h)."""
+        return f"""{name}nodes(lvl, grp, pos, n, h) AS (SELECT 0, grp, pos, n, h FROM {leaves} UNION ALL
+        SELECT lvl, grp, pos, n, sha256(string_agg(h, '' ORDER BY kid)) FROM (SELECT lvl + 1 AS lvl, grp, pos // 3 AS pos, (n + 2) // 3 AS n, pos AS kid, h FROM {name}nodes WHERE n > 1 AND lvl < {levels}) GROUP BY lvl, grp, pos, n)"""
+
+    def sides(name: str) -> str:
+        """Left and right siblings of each node that has a parent."""
+        return f"""{name}sides AS (SELECT lvl, grp, pos, coalesce(string_agg(h, '' ORDER BY pos) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lhs, coalesce(string_agg(h, '' ORDER BY pos) OVER (l ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rhs FROM {name}nodes WHERE n > 1 WINDOW l AS (PARTITION BY lvl, grp, pos // 3 ORDER BY pos))"""
+
+    def fold(name: str, start: str) -> str:
+        """What a tampered leaf and its siblings hash to, level by level, and the siblings so far."""
+        return f"""{name}fold(rid, lvl, grp, pos, n, h, proof) AS ({start} UNION ALL
+        SELECT f.rid, f.lvl + 1, f.grp, f.pos // 3, (f.n + 2) // 3, sha256(s.lhs || f.h || s.rhs), f.proof || s.lhs || s.rhs FROM {name}fold f JOIN {name}sides s ON s.lvl = f.lvl AND s.grp = f.grp AND s.pos = f.pos)"""
+
+    return f"""WITH RECURSIVE tab AS (SELECT list_transform(generate_series(0, 255), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+    doc AS (SELECT row_number() OVER () AS rid, coalesce('s' || source, '') AS grp, doc_id, sha256({fields} || {value("text")}) AS h,
+      xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 2 = 0 AS even,
+      sha256({fields} || {value("replace(text, chr(10), '')")}) AS changed FROM documents, tab),
+    leaf AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM doc),
+    {tree("a", "leaf")}, {sides("a")},
+    tops AS (SELECT grp AS source, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, 0 AS grp, h FROM anodes WHERE n = 1),
+    {tree("b", "tops")}, {sides("b")},
+    {fold("a", "SELECT rid, 0, grp, pos, n, CASE WHEN even THEN changed ELSE h END, '' FROM leaf")},
+    {fold("b", "SELECT f.rid, 0, t.grp, t.pos, t.n, f.h, f.proof FROM afold f JOIN tops t ON f.n = 1 AND t.source = f.grp")},
+    root AS (SELECT h AS root FROM bnodes WHERE n = 1)
+    SELECT doc_id, leaf.h AS leaf, subroot, root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = root AS verified FROM leaf JOIN tops ON tops.source = leaf.grp JOIN (SELECT * FROM bfold WHERE n = 1) f USING (rid), root"""
+
+
+def _lexical_sql() -> str:
+    terms = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {terms} AS words FROM documents),
+    q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+    s AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS nd, CAST(sum(len(words)) AS BIGINT) AS nt FROM d),
+    t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term),
+    m AS (SELECT rid, doc_id, 100 - 50 + (50 * len(words) * nd) // nt AS m FROM d, s),
+    x AS (SELECT item_id, rid, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM t JOIN w USING (term) JOIN m USING (rid) JOIN q USING (term) GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM x JOIN m USING (rid) WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op7_jaccard_join": _jaccard_sql()}
+    return {"op1_license_scan": _license_sql(), "op7_jaccard_join": _jaccard_sql(), "op11_merkle_manifest": _merkle_sql(), "op13_lexical_search": _lexical_sql()}
