@@ -4,8 +4,10 @@
    ``HASHES`` hashed coordinates and each coordinate keeps its maximum. (The impact of a
    term grows with its frequency, and what else enters it is one number a document,
    so the maximum of frequencies is the maximum of impacts.) A sketch has at least
-   ``WIDTH`` coordinates a distinct term, whatever the text's length, one byte each,
-   and is stored compressed. The index doesn't depend on the queries.
+   ``WIDTH`` coordinates a distinct term up to 16 million, one byte each, and is stored
+   compressed (some three bytes a term). The index doesn't depend on the queries. A
+   rare term's weight is many times a common one's, so a shared coordinate must be
+   rare: six hashes over 32 coordinates make it one in 30,000.
 2. Bounds. A term can't occur more often than the least of its coordinates says, so
    one batched lookup of all query terms gives an upper bound of every document's
    score for every item. Where no coordinate is shared the bound is the score.
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import in_bitmap, materialise, release
 
 TOP, BLOCK = 50, 1000
-HASHES, WIDTH, LEAST = 4, 16, 64
+HASHES, WIDTH, SIZES = 6, 32, (64, 1 << 24)
 ANY = 255  # a frequency of that or more: no limit is assumed
 ROWS = 256
 PIECE = 1 << 22
@@ -75,7 +77,7 @@ def term_hashes(terms) -> np.ndarray:
 
 
 def sketch(counts: Counter) -> np.ndarray:
-    size = max(LEAST, 1 << (WIDTH * max(1, len(counts)) - 1).bit_length())
+    size = min(SIZES[1], max(SIZES[0], 1 << (WIDTH * max(1, len(counts)) - 1).bit_length()))
     out = np.zeros(size, np.uint8)
     tf = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), ANY).astype(np.uint8)
     for at in places(term_hashes(counts), size):
@@ -182,16 +184,44 @@ def _norms(n, documents: int, terms: int) -> np.ndarray:
 def _bounds(part: pd.DataFrame, queries: Queries, m: np.ndarray) -> np.ndarray:
     """(rows, items): no document scores more."""
     unpack, row, term, held = zstandard.ZstdDecompressor(), [], [], []
+    alive = np.flatnonzero(queries.weight)
+    hashes = queries.hashes[alive]
     for k, packed in enumerate(part["sketch"]):
-        top = most(np.frombuffer(unpack.decompress(packed), np.uint8), queries.hashes)
+        top = most(np.frombuffer(unpack.decompress(packed), np.uint8), hashes)
         at = np.flatnonzero(top)
         row.append(np.full(len(at), k))
-        term.append(at)
+        term.append(alive[at])
         held.append(top[at])
     row, term, held = (np.concatenate(x) for x in (row, term, held))
     return queries.totals(row, term, impact(held.astype(np.int64), m[row], held), len(part))
 
 
+class _Highest:
+    """The ``TOP`` highest bounds of each item among the rows seen, and what is known of these rows."""
+
+    def __init__(self, items: int) -> None:
+        self.bound, self.row, self.known, self.seen = np.zeros((0, items), np.int64), np.zeros((0, items), np.int64), {}, 0
+
+    def add(self, part: pd.DataFrame, bound: np.ndarray) -> None:
+        number = np.arange(self.seen, self.seen + len(part))
+        bound = np.concatenate([self.bound, bound])
+        row = np.concatenate([self.row, np.broadcast_to(number[:, None], (len(part), bound.shape[1]))])
+        if len(bound) > TOP:
+            at = np.argpartition(-bound, TOP - 1, axis=0)[:TOP]
+            bound, row = np.take_along_axis(bound, at, 0), np.take_along_axis(row, at, 0)
+        self.bound, self.row = bound, row
+        facts = [part[c].to_numpy() for c in ("doc_id", "same", "n")]
+        kept = np.unique(row)
+        new = kept[kept >= self.seen]
+        self.known = {k: self.known[k] for k in kept[kept < self.seen].tolist()} | {k: tuple(x[k - self.seen] for x in facts) for k in new.tolist()}
+        self.seen += len(part)
+
+    def rows(self) -> pd.DataFrame:
+        at, item = np.nonzero(self.bound)
+        facts = [(*self.known[k], i, b) for k, i, b in zip(self.row[at, item].tolist(), item.tolist(), self.bound[at, item].tolist())]
+        return pd.DataFrame(facts, columns=["doc_id", "same", "n", "item", "bound"])
+
+
 _FOUND = "doc_id string, same long, n long, item int, bound long"
 
 
@@ -201,24 +231,18 @@ def bounded(index: DataFrame, queries: Queries, documents: int, terms: int, line
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, lines = shared.value
-        best: list[list] = [[] for _ in queries.items]
+        best = _Highest(len(queries.items))
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch[at : at + ROWS]
                 bound = _bounds(part, queries, _norms(part["n"], documents, terms))
-                if lines is not None:
+                if lines is None:
+                    best.add(part, bound)
+                else:
                     k, item = np.nonzero((bound >= lines) & (bound > 0))
-                    chosen = part.iloc[k]
-                    yield pd.DataFrame({"doc_id": chosen["doc_id"].to_numpy(), "same": chosen["same"].to_numpy(), "n": chosen["n"].to_numpy(), "item": item, "bound": bound[k, item]})
-                    continue
-                low = np.array([x[0][0] if len(x) == TOP else 0 for x in best])
-                for k, item in zip(*np.nonzero(bound > low)):
-                    row = part.iloc[k]
-                    new = (int(bound[k, item]), int(row["same"]), row["doc_id"] or "", row["doc_id"], int(row["n"]))
-                    (heapq.heappushpop if len(best[item]) == TOP else heapq.heappush)(best[item], new)
+                    yield pd.DataFrame({**{c: part[c].to_numpy()[k] for c in ("doc_id", "same", "n")}, "item": item, "bound": bound[k, item]})
         if lines is None:
-            found = [(d, s, n, item, b) for item, x in enumerate(best) for b, s, _, d, n in x]
-            yield pd.DataFrame(found, columns=["doc_id", "same", "n", "item", "bound"])
+            yield best.rows()
 
     return index.where("n > 0").mapInPandas(rows, _FOUND)
 
