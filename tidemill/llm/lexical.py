@@ -11,8 +11,9 @@
 2. Bounds. A term can't occur more often than the least of its coordinates says, so
    one batched lookup of all query terms gives an upper bound of every document's
    score for every item. Where no coordinate is shared the bound is the score.
-3. Threshold. The ``TOP`` documents of the highest bounds of each item are scored
-   exactly; the worst of them is the item's threshold.
+3. Threshold. ``SEEDS`` documents of the highest bounds of each item are scored
+   exactly; the ``TOP``-th best of them is the item's threshold. (There are more seeds
+   than ranks, for one high bound without a score would leave the item no threshold.)
 4. Rescoring. Whoever's bound reaches the threshold is scored exactly on its whole
    text, in descending order of bounds: a task stops with an item once its own
    ``TOP`` scores are above what the next bound allows. Results are exact.
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import in_bitmap, materialise, release
 
-TOP, BLOCK = 50, 1000
+TOP, SEEDS, BLOCK = 50, 100, 1000
 HASHES, WIDTH, SIZES = 6, 32, (64, 1 << 24)
 ANY = 255  # a frequency of that or more: no limit is assumed
 ROWS = 256
@@ -299,7 +300,7 @@ def ranked(docs: DataFrame, index: DataFrame, queries: Queries, documents: int,
     df = frequencies(docs, queries)
     queries.weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(x) + 1))) if x else 0 for x in df], np.int64)
     first = materialise(bounded(index, queries, documents, terms), "bounds")
-    seeds = materialise(_best(first, [F.desc("bound"), "same", F.col("doc_id").cast("long")], TOP).drop("rank"), "seeds")
+    seeds = materialise(_best(first, [F.desc("bound"), "same", F.col("doc_id").cast("long")], SEEDS).drop("rank"), "seeds")
     order = [F.desc("score"), F.col("doc_id").cast("long").asc_nulls_last()]
     scored = materialise(rescored(docs, seeds, queries, documents, terms), "scores")
     lines = np.ones(len(queries.items), np.int64)
