@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import psi_term, rank, severity, severity_of
+from ..functions.core import ks_p_value, psi_term, rank, severity, severity_of
 from ..specs import DETERMINISTIC, Thresholds, WindowSpec
 from .backtest import add_errors
-from .statistics import binned, compare_columns, counted, long_form
+from .statistics import SIDES, binned, compare_columns, counted, described, histogram, long_form, psi_detail
 
 SECTIONS = ("feature", "target", "prediction", "performance")
 
@@ -118,15 +118,24 @@ def section_rollup(compared: DataFrame, t: Thresholds = Thresholds(), keys: tupl
     return out.withColumn("severity", found).drop("__worst")
 
 
-def distribution_drift(scored: DataFrame, features: list[str], t: Thresholds = Thresholds(), keys: tuple[str, ...] = ("series_key",), exact: bool = True, detail: bool = False) -> DataFrame:
+def counted_columns(scored: DataFrame, features: list[str], keys: tuple[str, ...] = ("series_key",), by_day: bool = False) -> DataFrame:
+    """(keys, column, value, n_reference, n_current) of the features, y and prediction that are there; with ``by_day`` also day.
+
+    The window labels become the two sides; train rows take no part. Everything that drift tells
+    of distributions follows from this table.
+    """
+    wanted = [c for c in [*features, "y", "prediction"] if c in scored.columns]
+    rows = scored.where("window in ('reference', 'current')").withColumn("day", F.to_date("target_ts")) if by_day else scored.where("window in ('reference', 'current')")
+    by = ("day",) if by_day else ()
+    return counted(long_form(rows, wanted, [*keys, *by]), [*keys], by)
+
+
+def distribution_drift(scored: DataFrame, features: list[str], t: Thresholds = Thresholds(), keys: tuple[str, ...] = ("series_key",), detail: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Column comparisons of the feature, target and prediction sections, in one job.
 
-    The window labels become the two sides; train rows take no part. Columns that
-    are absent are skipped.
+    Columns that are absent are skipped. ``counts`` is what ``counted_columns`` gives, if that is there already.
     """
-    sections = {c: "feature" for c in features if c in scored.columns} | {c: s for c, s in (("y", "target"), ("prediction", "prediction")) if c in scored.columns}
-    long = long_form(scored.where("window in ('reference', 'current')"), list(sections), list(keys))
-    out = compare_columns(long, list(keys), t, DETERMINISTIC, exact, detail)
+    out = compare_columns(counted_columns(scored, features, keys) if counts is None else counts, list(keys), t, DETERMINISTIC, detail)
     return out.withColumn("section", F.when(F.col("column") == "y", "target").when(F.col("column") == "prediction", "prediction").otherwise("feature"))
 
 
@@ -154,33 +163,35 @@ def alert_line(reference_mae: str = "reference_mae", t: Thresholds = Thresholds(
     return F.round(F.col(reference_mae) * (1 + t.mae_degradation_alert), 2)
 
 
-def drift_sections(scored: DataFrame, features: list[str], t: Thresholds = Thresholds(), exact: bool = True) -> DataFrame:
+def drift_sections(scored: DataFrame, features: list[str], t: Thresholds = Thresholds(), counts: DataFrame | None = None) -> DataFrame:
     """Four rows per series: section, severity, insufficient_data, metric, value."""
-    rolled = section_rollup(distribution_drift(scored, features, t, exact=exact), t)
+    rolled = section_rollup(distribution_drift(scored, features, t, counts=counts), t)
     a = rolled.select("series_key", "section", "severity", "insufficient_data", F.lit("psi").alias("metric"), F.col("max_psi").alias("value"))
     p = performance_drift(scored, t)
     b = p.select("series_key", F.lit("performance").alias("section"), "severity", "insufficient_data", F.lit("mae_degradation").alias("metric"), F.col("mae_degradation").alias("value"))
     return a.unionByName(b)
 
 
-def drift_timeline(scored: DataFrame, features: list[str], t: Thresholds = Thresholds(), days: int = 7, exact: bool = True) -> DataFrame:
-    """Per day: PSI of the trailing calendar days against the whole reference, and that day's error.
+def day_summary(counts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(series_key, column, day, bin, n): how many of a day's values fall in each bin; sums of these tell any span of days.
 
-    Daily counts per bin are laid on a dense (day, column, bin) grid and summed by a
-    range frame, so no day rescans its window.
+    ``counts`` is ``counted_columns`` by day, ``plan`` what ``described`` gave for the reference.
     """
-    wanted = [c for c in [*features, "y", "prediction"] if c in scored.columns and c not in DETERMINISTIC]
-    both = scored.where("window in ('reference', 'current')").withColumn("day", F.to_date("target_ts"))
+    rows, _ = binned(counts, plan, ["series_key"])
+    return rows.groupBy("series_key", "column", "day", "bin").agg(F.sum(F.col("n_reference") + F.col("n_current")).alias("n"))
+
+
+def day_errors(scored: DataFrame) -> DataFrame:
+    """(series_key, day, window, day_n, mae) of the reference and current rows."""
+    return daily_errors(scored.where("window in ('reference', 'current')")).select("series_key", "day", "window", F.col("n").alias("day_n"), "mae")
+
+
+def timeline(days: DataFrame, errors: DataFrame, reference: DataFrame, t: Thresholds = Thresholds(), span: int = 7) -> DataFrame:
+    """The timeline from day summaries, ``day_errors``, and ``reference`` (series_key, column, bin, n_ref; a row for every bin)."""
     group = ["series_key", "column"]
-    every = both.select("series_key", "day", "window", *[F.col(c).cast("double").alias(c) for c in wanted]).unpivot(["series_key", "day", "window"], wanted, "column", "value")
-    every = every.where("value is not null and not isnan(value)")
-    # The reference's rows decide the bins; the same rows are then counted by day.
-    rows, bins = binned(counted(every, ["series_key"], ("day",)), ["series_key"], t, exact)
-    reference = rows.groupBy(*group, "bin").agg(F.sum("n_reference").alias("n_ref"))
-    daily = rows.groupBy(*group, "day", "bin").agg(F.sum(F.col("n_reference") + F.col("n_current")).alias("n"))
-    grid = both.select("series_key", "day").distinct().join(bins.select(*group, "bin"), "series_key")
-    dense = grid.join(daily, [*group, "day", "bin"], "left").join(reference, [*group, "bin"], "left").fillna(0, ["n", "n_ref"])
-    trail = Window.partitionBy(*group, "bin").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
+    grid = errors.select("series_key", "day").join(reference, "series_key")
+    dense = grid.join(days, [*group, "day", "bin"], "left").fillna(0, ["n"])
+    trail = Window.partitionBy(*group, "bin").orderBy(F.unix_date("day")).rangeBetween(-(span - 1), 0)
     dense = dense.withColumn("n_cur", F.sum("n").over(trail))
     w = Window.partitionBy(*group, "day")
     share = lambda c: F.col(c) / F.greatest(F.sum(c).over(w), F.lit(1))
@@ -193,12 +204,35 @@ def drift_timeline(scored: DataFrame, features: list[str], t: Thresholds = Thres
         F.max(F.when(feature, F.col("psi"))).alias("feature_max_psi"),
         F.max_by(F.when(feature, F.col("column")), F.when(feature, F.col("psi"))).alias("feature_max_column"),
     )
-    by_day = daily_errors(scored.where("window in ('reference', 'current')")).select("series_key", "day", "window", F.col("n").alias("day_n"), "mae")
-    frame = Window.partitionBy("series_key").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
-    by_day = by_day.withColumn("n", F.sum("day_n").over(frame)).drop("day_n")
+    frame = Window.partitionBy("series_key").orderBy(F.unix_date("day")).rangeBetween(-(span - 1), 0)
+    by_day = errors.withColumn("n", F.sum("day_n").over(frame)).drop("day_n")
     return psis.join(by_day, ["series_key", "day"]).where(F.col("n") >= t.min_samples).select("series_key", "day", "window", "n", "target_psi", "prediction_psi", "feature_max_psi", "feature_max_column", "mae")
 
 
+def reference_bins(counts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(series_key, column, bin, n_ref) with a row for every bin."""
+    rows, bins = binned(counts, plan, ["series_key"])
+    found = rows.groupBy("series_key", "column", "bin").agg(F.sum("n_reference").alias("n_ref"))
+    return bins.select("series_key", "column", "bin").join(found, ["series_key", "column", "bin"], "left").fillna(0, ["n_ref"])
+
+
+def without_days(counts: DataFrame) -> DataFrame:
+    """``counted_columns`` by day, summed over the days."""
+    return counts.groupBy("series_key", "column", "value").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SIDES])
+
+
+def drift_timeline(scored: DataFrame, features: list[str], t: Thresholds = Thresholds(), days: int = 7, counts: DataFrame | None = None) -> DataFrame:
+    """Per day: PSI of the trailing calendar days against the whole reference, and that day's error.
+
+    Daily counts per bin are laid on a dense (day, column, bin) grid and summed by a
+    range frame, so no day rescans its window. ``counts`` is ``counted_columns`` by day.
+    """
+    counts = counted_columns(scored, features, by_day=True) if counts is None else counts
+    counts = counts.where(~F.col("column").isin(list(DETERMINISTIC)))
+    plan = described(without_days(counts), ["series_key"], t)
+    return timeline(day_summary(counts, plan), day_errors(scored), reference_bins(counts, plan), t, days)
+
+
 def window_pair_sweep(series: DataFrame, pairs: DataFrame, column: str, t: Thresholds = Thresholds(), ts: str = "ts") -> DataFrame:
     """Comparisons for named pairs of calendar ranges.
 
@@ -220,15 +254,14 @@ def second_opinion(scored: DataFrame, columns: list[str], ks_alpha: float = 0.05
 
     It never feeds the verdict. ``status`` is ``measured``, or ``no data`` where neither test applies.
     """
-    from .statistics import histogram, ks, psi_detail
-
     keys = ["series_key"]
-    long = long_form(scored.where("window in ('reference', 'current')"), [c for c in columns if c in scored.columns], keys)
-    terms = psi_detail(histogram(long, keys, t), keys).where("categorical")
+    counts = counted(long_form(scored.where("window in ('reference', 'current')"), [c for c in columns if c in scored.columns], keys), keys)
+    plan = described(counts, keys, t)
+    terms = psi_detail(histogram(counts, keys, t, plan), keys).where("categorical")
     mid = (F.col("share_reference") + F.col("share_current")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / mid)).otherwise(0.0)
     js = terms.groupBy("series_key", "column").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum((part("share_reference") + part("share_current")) / 2))).alias("js"))
-    both = ks(long, keys).join(js, ["series_key", "column"], "left")
+    both = plan.select(*keys, "column", ks_p_value("ks_d", "n_reference", "n_current").alias("ks_p")).join(js, ["series_key", "column"], "left")
     both = both.withColumn("drifted", F.when(F.col("js").isNotNull(), F.col("js") > js_line).otherwise(F.col("ks_p") < ks_alpha))
     return both.groupBy("series_key").agg(F.count_if("drifted").alias("drifted_columns"), F.avg(F.col("drifted").cast("int")).alias("drifted_share"), F.count("*").alias("columns")).withColumn(
         "status", F.when(F.col("columns") > 0, "measured").otherwise("no data")

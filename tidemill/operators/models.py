@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import from_hours, hours
 from ..specs import SeriesSpec
+from . import trees
 from .backtest import Forecaster, backtest_metrics, compare, make_cutoffs, walk_forward
 from .design import build_design_matrix, labelled, training_slice
 
@@ -36,6 +37,12 @@ def gbt_fit(design: DataFrame, features: tuple[str, ...], rounds: int = 30, dept
 
 
 def gbt_predict(model: PipelineModel, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``prediction``, by the trees as column expressions."""
+    return rows.withColumn("prediction", trees.prediction(trees.of_model(model), features, MISSING))
+
+
+def gbt_transform(model: PipelineModel, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """The same by the pipeline's own transform."""
     held = rows.columns
     return model.transform(_ready(rows, features)).select(*held, "prediction")
 

@@ -89,6 +89,12 @@ def champion_is_current(verdict: DataFrame, counts: DataFrame, t: Thresholds = T
     )
 
 
+def with_left_out(verdict: DataFrame, left_out: DataFrame) -> DataFrame:
+    """``verdict`` and a row with the rule ``not_enough_history`` for each series_key of ``left_out``, of which nothing is due."""
+    known = {"should_retrain": F.lit(False), "action": F.lit(NONE), "severity": F.lit("ok"), "rule": F.lit("not_enough_history"), "measurable": F.lit(False), "current_n": F.lit(0).cast("long")}
+    return verdict.unionByName(left_out.select("series_key", *[c.alias(n) for n, c in known.items() if n in verdict.columns]), allowMissingColumns=True)
+
+
 def monitoring_eligible(models: DataFrame, reference_start: str | Column = "reference_start") -> DataFrame:
     """``eligible``: the model's training data ends before the reference starts; an unknown end is not safe."""
     start = F.col(reference_start) if isinstance(reference_start, str) else reference_start

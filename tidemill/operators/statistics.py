@@ -4,7 +4,8 @@ Input is long: any key columns, ``column``, ``window`` (``reference`` or
 ``current``) and ``value``; or already ``counted``: one row per distinct value with
 its number in both windows. Every statistic follows from these counts, which are
 made once, with partial sums before the one shuffle of the rows, and is grouped by
-the keys and column, so one job covers all columns of all series.
+the keys and column, so one job covers all columns of all series. Order statistics
+are selected from cumulated counts (``placed``), so no task holds a column whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from ..functions.core import INF, bin_label, clean, ks_p_value, psi_term, severi
 from ..specs import Thresholds
 
 SIDES = ("reference", "current")
+#: quantiles that summaries show
+SHOWN = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+#: ranges of values that one column is dealt into
+BUCKETS = 16
 
 
 def long_form(df: DataFrame, columns: list[str], keys: list[str], window: str = "window") -> DataFrame:
@@ -35,21 +40,85 @@ def counted(long: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataF
     return long.groupBy(*keys, *by, "column", "value").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
 
 
-def quantile_edges(long: DataFrame, keys: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
-    """``edges``: the reference's interpolated quantiles, equal ones collapsed, ends open.
+def placed(counts: DataFrame, group: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``counts`` with ``c_reference`` and ``c_current``, the rows not above the value, and each column's totals.
 
-    Exact percentiles hold a count per distinct value of a group; where a group has
-    billions of distinct values, ``exact=False`` takes a sketch of fixed size from the rows.
+    A column's distinct values are cut into ``buckets`` ranges of near equal numbers, each
+    cumulated by itself and shifted by the ranges before it, so one column is spread over
+    that many tasks and none of them holds it whole.
     """
-    at = [i / bins for i in range(bins + 1)]
-    if exact:
-        rows, q = counted(long, keys).where("n_reference > 0"), F.percentile("value", F.array(*[F.lit(x) for x in at]), F.col("n_reference"))
-    else:
-        rows, q = long.where(_is("reference")) if "window" in long.columns else long.where("n_reference > 0"), F.percentile_approx("value", at, 100_000)
-    found = rows.groupBy(*keys, "column").agg(F.array_distinct(q).alias("q"))
+    base = counts.groupBy(*group).agg(
+        *[F.sum(f"n_{s}").alias(f"all_{s}") for s in SIDES],
+        *[(F.sum(F.col("value") * F.col(f"n_{s}")) / F.nullif(F.sum(f"n_{s}"), F.lit(0))).alias(f"mean_{s}") for s in SIDES],
+        F.count_if(F.col("n_reference") > 0).alias("n_levels"),
+        F.percentile_approx("value", [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("cuts"),
+    )
+    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("value"))) if buckets > 1 else F.lit(0)
+    rows = counts.join(base, group).withColumn("bucket", bucket).drop("cuts")
+    per = rows.groupBy(*group, "bucket").agg(*[F.sum(f"n_{s}").alias(f"b_{s}") for s in SIDES])
+    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*group, "bucket", *[F.coalesce(F.sum(f"b_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in SIDES])
+    within = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumns({f"c_{s}": F.sum(f"n_{s}").over(within) for s in SIDES}).join(per, [*group, "bucket"])
+    return run.withColumns({f"c_{s}": F.col(f"c_{s}") + F.col(f"before_{s}") for s in SIDES}).drop("bucket", *[f"before_{s}" for s in SIDES])
+
+
+class _Quantiles:
+    """Exact interpolated quantiles by selection: the values at the two ranks around each, found by the rows that cover them."""
+
+    def __init__(self) -> None:
+        self.aggregates: list[Column] = []
+
+    def ask(self, side: str, p: float) -> str:
+        """The quantile as SQL over the aggregates asked for so far; NULL for an empty side."""
+        at, name = f"({p!r}D * (all_{side} - 1))", f"__{len(self.aggregates)}"
+        for end, k in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
+            self.aggregates.append(F.expr(f"max(CASE WHEN c_{side} - n_{side} <= {k} AND c_{side} > {k} THEN value END) AS {name}{end}"))
+        return f"CASE WHEN {name}lo = {name}hi THEN {name}lo ELSE (ceil({at}) - {at}) * {name}lo + ({at} - floor({at})) * {name}hi END"
+
+
+def described(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), bins: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """One row a column with all that its counted values tell: one aggregate over the cumulated values.
+
+    n, mean and std of both windows, their quantiles (``SHOWN``), ``ks_d``, ``n_levels``,
+    ``levels`` (the reference's, where these are at most ``max_categorical_levels``), and
+    ``edges``: the reference's interpolated quantiles, equal ones collapsed, ends open.
+    """
+    group, bins = [*keys, "column"], bins or t.psi_bins
+    run = placed(counted(long, keys), group, buckets)
+    q, shown = _Quantiles(), {}
+    at = [q.ask("reference", i / bins) for i in range(bins + 1)]
+    for s in SIDES:
+        shown |= {f"{s}_{name}": q.ask(s, p) for name, p in SHOWN.items()}
+    off = lambda s: F.col("value") - F.col(f"mean_{s}")
+    few = (F.col("n_levels") <= t.max_categorical_levels) & (F.col("n_reference") > 0)
+    totals = ["n_levels", *[f"{c}_{s}" for c in ("all", "mean") for s in SIDES]]
+    found = run.groupBy(*group, *totals).agg(
+        *q.aggregates,
+        *[F.sum(off(s) * off(s) * F.col(f"n_{s}")).alias(f"square_{s}") for s in SIDES],
+        F.max(F.abs(F.col("c_reference") / F.nullif("all_reference", F.lit(0)) - F.col("c_current") / F.nullif("all_current", F.lit(0)))).alias("gap"),
+        F.array_sort(F.collect_set(F.when(few, F.col("value")))).alias("held"),
+    )
+    std = lambda s: F.when(F.col(f"all_{s}") == 1, 0.0).when(F.col(f"all_{s}") > 1, F.sqrt(F.col(f"square_{s}") / (F.col(f"all_{s}") - 1)))
+    found = found.withColumn("q", F.expr(f"array_distinct(array({', '.join(at)}))"))
     inner = F.slice("q", 2, F.greatest(F.size("q") - 2, F.lit(0)))
     edges = F.when(F.size("q") >= 2, F.concat(F.array(F.lit(-INF)), inner, F.array(F.lit(INF)))).otherwise(F.array().cast("array<double>"))
-    return found.select(*keys, "column", edges.alias("edges"))
+    return found.select(
+        *group,
+        *[F.col(f"all_{s}").alias(f"n_{s}") for s in SIDES],
+        *[F.col(f"mean_{s}") for s in SIDES],
+        *[std(s).alias(f"std_{s}") for s in SIDES],
+        *[F.expr(c).alias(name) for name, c in shown.items()],
+        "n_levels",
+        F.when(F.col("n_levels").between(1, t.max_categorical_levels), F.col("held")).alias("levels"),
+        F.when(F.col("n_levels") > 0, edges).alias("edges"),
+        F.coalesce("gap", F.lit(0.0)).alias("ks_d"),
+    )
+
+
+def quantile_edges(long: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """``edges``: the reference's interpolated quantiles, equal ones collapsed, ends open."""
+    return described(long, keys, bins=bins).where("edges is not null").select(*keys, "column", "edges")
 
 
 def levels(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,21 +126,16 @@ def levels(long: DataFrame, keys: list[str]) -> DataFrame:
     return counted(long, keys).groupBy(*keys, "column").agg(F.count_if(F.col("n_reference") > 0).alias("n_levels")).where("n_levels > 0")
 
 
-def binned(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``bin``, bins of each column with their bounds).
+def binned(rows: DataFrame, plan: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``bin``, bins of each column with their bounds), by the levels and edges of ``described``.
 
-    A column of at most ``max_categorical_levels`` reference values has a bin for
-    each, and bin 0 for values the reference lacks; any other has a bin between
-    each two quantile edges. The bins' table has a few dozen rows a column.
+    A column with levels has a bin for each, and bin 0 for values the reference lacks;
+    any other has a bin between each two quantile edges. The bins' table has a few
+    dozen rows a column.
     """
     group = [*keys, "column"]
-    ref = long.where("n_reference > 0") if "n_reference" in long.columns else long.where(_is("reference"))
-    some = ref.select(*group, "value").distinct().groupBy(*group).agg(F.count("*").alias("n_levels"))
-    cat = some.where(F.col("n_levels") <= t.max_categorical_levels).select(*group)
-    level_sets = ref.join(cat, group, "left_semi").groupBy(*group).agg(F.array_sort(F.collect_set("value")).alias("levels"))
-    edges = quantile_edges(long, keys, t.psi_bins, exact)
-    plan = edges.join(level_sets, group, "left").select(*group, "levels", F.when(F.col("levels").isNull(), F.col("edges")).alias("edges"))
-    rows = long.join(plan, group)
+    plan = plan.where("edges is not null").select(*group, "levels", F.when(F.col("levels").isNull(), F.col("edges")).alias("edges"))
+    rows = rows.join(plan, group)
     level = F.array_position("levels", F.col("value")).cast("int")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     number = F.size(F.filter(inner, lambda e: e <= F.col("value"))) + 1
@@ -87,12 +151,13 @@ def binned(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact
     return rows.where("bin is not null"), bins
 
 
-def histogram(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact: bool = True) -> DataFrame:
-    """Counts of both windows in every bin, zeros included."""
-    rows, bins = binned(counted(long, keys), keys, t, exact)
+def histogram(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), plan: DataFrame | None = None) -> DataFrame:
+    """Counts of both windows in every bin, zeros included; ``plan`` is what ``described`` gave, if that is there already."""
+    counts = counted(long, keys)
+    rows, bins = binned(counts, described(counts, keys, t) if plan is None else plan, keys)
     group = [*keys, "column"]
-    counts = rows.groupBy(*group, "bin").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SIDES])
-    out = bins.join(counts, [*group, "bin"], "left")
+    found = rows.groupBy(*group, "bin").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SIDES])
+    out = bins.join(found, [*group, "bin"], "left")
     return out.withColumns({f"n_{s}": F.coalesce(f"n_{s}", F.lit(0).cast("long")) for s in SIDES})
 
 
@@ -111,75 +176,57 @@ def psi_detail(counts: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("term", psi_term("share_reference", "share_current"))
 
 
-def psi(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), exact: bool = True, detail: bool = False) -> DataFrame:
-    """psi, psi_status (``ok`` or ``degenerate``) and n of both windows for every column; 0 where a side is empty."""
-    terms = psi_detail(histogram(long, keys, t, exact), keys)
+def _with_psi(counts: DataFrame, plan: DataFrame, keys: list[str], t: Thresholds, detail: bool) -> DataFrame:
+    """``plan`` with psi, psi_status, categorical and bins."""
+    terms = psi_detail(histogram(counts, keys, t, plan), keys)
     aggs = [F.sum("term").alias("psi"), F.first("categorical").alias("categorical"), F.count("*").alias("bins")]
     if detail:
         level = F.when(F.col("bin") == 0, F.lit("<unseen>")).otherwise(F.col("lo").cast("string"))
         label = F.when(F.col("categorical"), level).otherwise(bin_label("lo", "hi")).alias("label")
         aggs.append(F.array_sort(F.collect_list(F.struct("bin", label, "lo", "hi", "n_reference", "n_current", "share_reference", "share_current", "term"))).alias("psi_bins"))
-    found = terms.groupBy(*keys, "column").agg(*aggs)
-    n = counted(long, keys).groupBy(*keys, "column").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SIDES])
-    out = n.join(found, [*keys, "column"], "left")
+    out = plan.join(terms.groupBy(*keys, "column").agg(*aggs), [*keys, "column"], "left")
     ok = (F.col("n_reference") > 0) & (F.col("n_current") > 0) & F.col("psi").isNotNull()
     return out.withColumns({"psi": F.when(ok, F.col("psi")).otherwise(F.lit(0.0)), "psi_status": F.when(ok, F.lit("ok")).otherwise(F.lit("degenerate"))})
 
 
-def ks(long: DataFrame, keys: list[str], buckets: int = 16) -> DataFrame:
-    """ks_d (exact) and ks_p of the two windows for every column.
-
-    Values are counted first, then cumulated. With ``buckets`` above 1 a column's
-    values are cut at reference quantiles, cumulated within a bucket and shifted by
-    the buckets before it, so one column can be spread over that many tasks.
-    """
-    group = [*keys, "column"]
+def psi(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), detail: bool = False) -> DataFrame:
+    """psi, psi_status (``ok`` or ``degenerate``) and n of both windows for every column; 0 where a side is empty."""
     counts = counted(long, keys)
-    total = counts.groupBy(*group).agg(*[F.sum(f"n_{s}").alias(f"all_{s}") for s in SIDES])
-    if buckets > 1:
-        cuts = counts.groupBy(*group).agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-        counts = counts.join(cuts, group).withColumn("bucket", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
-    else:
-        counts = counts.withColumn("bucket", F.lit(0))
-    within = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumns({f"c_{s}": F.sum(f"n_{s}").over(within) for s in SIDES})
-    if buckets > 1:
-        per = counts.groupBy(*group, "bucket").agg(*[F.sum(f"n_{s}").alias(f"b_{s}") for s in SIDES])
-        before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        per = per.select(*group, "bucket", *[F.coalesce(F.sum(f"b_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in SIDES])
-        run = run.join(per, [*group, "bucket"]).withColumns({f"c_{s}": F.col(f"c_{s}") + F.col(f"before_{s}") for s in SIDES})
-    gap = F.max(F.abs(F.col("c_reference") / F.col("all_reference") - F.col("c_current") / F.col("all_current"))).alias("ks_d")
-    out = run.join(total, group).where("all_reference > 0 and all_current > 0").groupBy(*group, "all_reference", "all_current").agg(gap)
-    out = total.join(out.select(*group, "ks_d"), group, "left").withColumn("ks_d", F.coalesce("ks_d", F.lit(0.0)))
-    return out.select(*group, "ks_d", ks_p_value("ks_d", "all_reference", "all_current").alias("ks_p"))
+    out = _with_psi(counts, described(counts, keys, t), keys, t, detail)
+    return out.select(*keys, "column", "n_reference", "n_current", "psi", "categorical", "bins", *(["psi_bins"] if detail else []), "psi_status")
+
+
+def ks(long: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """ks_d (exact) and ks_p of the two windows for every column."""
+    return described(long, keys, buckets=buckets).select(*keys, "column", "ks_d", ks_p_value("ks_d", "n_reference", "n_current").alias("ks_p"))
+
+
+def _summary(plan: DataFrame) -> list[Column]:
+    """n, mean, std and quantiles of both windows (4 places) and the shift of the rounded means."""
+    out = []
+    for s in SIDES:
+        out += [F.col(f"n_{s}").alias(f"{s}_n"), *[F.round(f"{c}_{s}", 4).alias(f"{s}_{c}") for c in ("mean", "std")]]
+        out += [F.round(f"{s}_{name}", 4).alias(f"{s}_{name}") for name in SHOWN]
+    shift = F.round(F.round("mean_current", 4) - F.round("mean_reference", 4), 4)
+    return [*out, shift.alias("mean_shift")]
 
 
 def summarise(long: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean, std, p05, p50, p95 of both windows (4 places) and the shift of the rounded means."""
-    group, counts = [*keys, "column"], counted(long, keys)
-    means = counts.groupBy(*group).agg(*[x for s in SIDES for x in (F.sum(f"n_{s}").alias(f"{s}_n"), (F.sum(F.col("value") * F.col(f"n_{s}")) / F.nullif(F.sum(f"n_{s}"), F.lit(0))).alias(f"__mean_{s}"))])
-    aggs, shown = [], []
-    for s in SIDES:
-        n, off = F.col(f"n_{s}"), F.col("value") - F.col(f"__mean_{s}")
-        aggs += [F.sum(off * off * n).alias(f"__square_{s}"), F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), n).alias(f"__q_{s}")]
-        std = F.when(F.col(f"{s}_n") == 1, 0.0).otherwise(F.sqrt(F.col(f"__square_{s}") / F.nullif(F.col(f"{s}_n") - 1, F.lit(0))))
-        std = F.when(F.col(f"{s}_n") > 0, std)
-        shown += [f"{s}_n", F.round(f"__mean_{s}", 4).alias(f"{s}_mean"), F.round(std, 4).alias(f"{s}_std")]
-        shown += [F.round(F.get(f"__q_{s}", F.lit(i)), 4).alias(f"{s}_{p}") for i, p in enumerate(("p05", "p50", "p95"))]
-    kept = [*group, *[c for s in SIDES for c in (f"{s}_n", f"__mean_{s}")]]
-    out = counts.join(means, group).groupBy(*kept).agg(*aggs).select(*group, *shown)
-    return out.withColumn("mean_shift", F.round(F.col("current_mean") - F.col("reference_mean"), 4))
-
-
-def compare_columns(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), deterministic: tuple[str, ...] = (), exact: bool = True, detail: bool = False) -> DataFrame:
+    plan = described(long, keys)
+    return plan.select(*keys, "column", *_summary(plan))
+
+
+def compare_columns(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), deterministic: tuple[str, ...] = (), detail: bool = False) -> DataFrame:
     """PSI, KS and summary of every column with one severity.
 
     PSI decides; a KS p value below its line lifts ok to warn, never further; too
     few rows on either side give ok with ``insufficient_data``.
     """
-    group = [*keys, "column"]
-    long = counted(long, keys)
-    out = psi(long, keys, t, exact, detail).join(ks(long, keys), group).join(summarise(long, keys), group)
+    counts = counted(long, keys)
+    out = _with_psi(counts, described(counts, keys, t), keys, t, detail).withColumn("ks_p", ks_p_value("ks_d", "n_reference", "n_current"))
+    shown = ["n_reference", "n_current", "psi", "categorical", "bins", *(["psi_bins"] if detail else []), "psi_status", "ks_d", "ks_p"]
+    out = out.select(*keys, "column", *shown, *_summary(out))
     few = F.least("n_reference", "n_current") < t.min_samples
     by_psi = severity("psi", t.psi_warn, t.psi_alert)
     lifted = F.when((by_psi == "ok") & (F.col("ks_p") < t.ks_p_alert), F.lit("warn")).otherwise(by_psi)

@@ -12,6 +12,7 @@ from ..operators import drift, models, policy
 from ..operators.design import build_design_matrix, training_origins
 from ..operators.panel import describe_panel
 from ..sources.lake import published, timed_step, write_run_log
+from ..sources.stage import Stages
 from ..specs import SeriesSpec, Thresholds, WindowSpec
 
 
@@ -53,6 +54,37 @@ def window_starts(design: DataFrame, panel: DataFrame, w: WindowSpec, t: Thresho
     return out.withColumn("drift_reason", F.when(~F.col("measurable"), few))
 
 
+MEASURED, TOO_SHORT, NOTHING = "measured", "not enough history", "nothing to monitor"
+
+
+def window_states(design: DataFrame, starts: DataFrame, w: WindowSpec) -> DataFrame:
+    """``starts`` with n_train, n_reference, n_current (labelled rows) and ``state``.
+
+    A series without train or reference rows, or without current ones on the calendar
+    split, has ``not enough history``: it is reported and the others go on. Without rows
+    since the champion's training there is ``nothing to monitor``.
+    """
+    at = starts.select("series_key", "current_start")
+    split = drift.split_windows(design.join(at, "series_key"), w, anchor=F.col("current_start"))
+    names = ("train", "reference", "current")
+    n = split.groupBy("series_key").agg(*[F.count_if(F.col("window") == x).alias(f"n_{x}") for x in names])
+    out = starts.join(n, "series_key", "left").fillna(0, [f"n_{x}" for x in names])
+    short = (F.col("n_train") == 0) | (F.col("n_reference") == 0)
+    empty = F.when(F.col("train_data_end").isNotNull() & F.col("measurable"), NOTHING).otherwise(TOO_SHORT)
+    return out.withColumn("state", F.when(short, TOO_SHORT).when(F.col("n_current") == 0, empty).otherwise(MEASURED))
+
+
+class Monitor(dict):
+    """The named tables of one run; ``close`` deletes them once they have been read."""
+
+    def __init__(self, stages: Stages) -> None:
+        super().__init__()
+        self.stages = stages
+
+    def close(self) -> None:
+        self.stages.close()
+
+
 def daily_monitor(
     panel: DataFrame,
     spec: SeriesSpec = SeriesSpec(),
@@ -64,60 +96,93 @@ def daily_monitor(
     run_log: str | None = None,
     champion_version: str | None = None,
     **how,
-) -> dict[str, DataFrame]:
-    """Named results of one run: panel, scoring_model, counts, scored, history, forward, errors, sections, timeline, verdict.
+) -> Monitor:
+    """Named results of one run: panel, scoring_model, counts, scored, history, forward, chart, errors, performance, sections, timeline, verdict.
 
     Windows and the model that scores them are told by ``window_starts``; a series that
     the champion may not score is scored by a model fitted on the train windows. Where
     nothing can be measured yet the verdict is R0, and accuracy is still told on the
     calendar split. ``train_data_end`` is one time or a table (series_key, train_data_end).
-    Steps are timed and, with ``run_log``, appended to a table, on failure too.
+    A series too short for its windows is left out and has the rule ``not_enough_history``;
+    with no series left there is an error.
+
+    Each step writes its tables to the run's folder, so the design, the scored rows and the
+    counted values are made once and later steps only scan them; what only steps read is
+    deleted after the last of them. Steps are timed and, with ``run_log``, appended to a
+    table, on failure too.
     """
     spark: SparkSession = panel.sparkSession
     log: list[tuple] = []
+    stages = Stages(spark, "daily")
+    out = Monitor(stages)
 
     def step(name, run):
         try:
-            out, row = timed_step(name, run)
+            done, row = timed_step(name, run)
         except Exception as e:
             log.append(e.run_log_row)
             raise
         log.append(row)
-        return out
+        return done
+
+    def features():
+        rows = stages.put("panel_rows", panel)
+        out["panel"] = stages.put("panel", describe_panel(rows))
+        return rows, stages.put("design", build_design_matrix(rows, training_origins(rows, spec), spec))
+
+    def score(rows, design):
+        trained = train_data_end
+        if isinstance(trained, datetime):
+            trained = rows.select("series_key").distinct().withColumn("train_data_end", F.lit(trained).cast("timestamp"))
+        starts = window_starts(design, rows, windows, t, trained, champion is not None, champion_version)
+        starts = out["scoring_model"] = stages.put("scoring_model", window_states(design, starts, windows))
+        at = starts.where(F.col("state") != TOO_SHORT).select("series_key", "current_start", "source")
+        sources = {r["source"] for r in at.select("source").distinct().collect()}
+        if not sources:
+            raise ValueError(f"{TOO_SHORT}: no series has rows in its train and reference windows")
+        split = drift.split_windows(design.join(at, "series_key"), windows, anchor=F.col("current_start")).drop("current_start")
+        fitted = models.gbt_fit(split.where(f"window = 'train' and source = '{FITTED}'"), spec.features, **how) if FITTED in sources else champion
+        pick = lambda source, model: drift.score_windows(split.where(f"source = '{source}'").drop("source"), lambda train, rows: models.gbt_predict(model, rows, spec.features))
+        scored = [pick(source, fitted if source == FITTED else champion) for source in sorted(sources)]
+        out["scored"] = stages.put("scored", scored[0] if len(scored) == 1 else scored[0].unionByName(scored[1]))
+        out["counts"] = stages.put("counts", drift.split_counts(out["scored"]))
+        return champion or fitted
+
+    def forecast(rows, model):
+        out["history"] = stages.put("history", models.forecast_history(out["scored"], spec.max_horizon))
+        out["forward"] = stages.put("forward", models.forecast(rows, model, spec))
+        out["chart"] = stages.put("chart", models.chart_rows(out["history"], out["forward"]))
+
+    def monitor():
+        out["errors"] = stages.put("errors", drift.rolling_error_series(out["scored"], t))
+        out["performance"] = stages.put("performance", drift.performance_drift(out["scored"], t))
+
+    def judge():
+        names = list(spec.features)
+        by_day = stages.put("counted_by_day", drift.counted_columns(out["scored"], names, by_day=True))
+        counts = stages.put("counted", drift.without_days(by_day))
+        out["sections"] = stages.put("sections", drift.drift_sections(out["scored"], names, t, counts))
+        out["timeline"] = stages.put("timeline", drift.drift_timeline(out["scored"], names, t, counts=by_day))
+        starts = out["scoring_model"]
+        after = F.when(F.col("measurable"), F.greatest("rows_after", F.lit(t.min_samples))).otherwise(F.col("rows_after"))
+        after = F.when(F.col("state") == NOTHING, F.lit(0).cast("long")).otherwise(after)
+        verdict = policy.champion_is_current(policy.evaluate(out["sections"], t), starts.select("series_key", F.lit("current").alias("window"), after.alias("n")), t)
+        out["verdict"] = stages.put("verdict", policy.with_left_out(verdict, starts.where(F.col("state") == TOO_SHORT)))
 
-    out: dict[str, DataFrame] = {}
     try:
-        out["panel"] = step("features", lambda: describe_panel(panel))
-
-        def score():
-            design = build_design_matrix(panel, training_origins(panel, spec), spec)
-            trained = train_data_end
-            if isinstance(trained, datetime):
-                trained = panel.select("series_key").distinct().withColumn("train_data_end", F.lit(trained).cast("timestamp"))
-            starts = window_starts(design, panel, windows, t, trained, champion is not None, champion_version)
-            at = starts.select("series_key", "current_start", "source")
-            split = drift.split_windows(design.join(at, "series_key"), windows, anchor=F.col("current_start")).drop("current_start")
-            fitted = models.gbt_fit(split.where(f"window = 'train' and source = '{FITTED}'"), spec.features, **how) if champion is None or not at.where(f"source = '{FITTED}'").isEmpty() else champion
-            pick = lambda source, model: drift.score_windows(split.where(f"source = '{source}'").drop("source"), lambda train, rows: models.gbt_predict(model, rows, spec.features))
-            rows = pick(FITTED, fitted)
-            return (rows if champion is None else rows.unionByName(pick(REGISTRY, champion))), fitted, starts
-
-        scored, model, out["scoring_model"] = step("score", score)
-        out["scored"] = scored
-        out["counts"] = drift.split_counts(scored)
-        out["history"] = step("forecast", lambda: models.forecast_history(scored, spec.max_horizon))
-        out["forward"] = models.forecast(panel, champion or model, spec)
-        out["chart"] = models.chart_rows(out["history"], out["forward"])
-        out["errors"] = step("monitor", lambda: drift.rolling_error_series(scored, t))
-        out["performance"] = drift.performance_drift(scored, t)
-        features = list(spec.features)
-        out["sections"] = step("drift", lambda: drift.drift_sections(scored, features, t))
-        out["timeline"] = drift.drift_timeline(scored, features, t)
-        verdict = policy.evaluate(out["sections"], t)
-        after = F.when(F.col("measurable"), F.greatest("rows_after", F.lit(t.min_samples))).otherwise(F.col("rows_after"))
-        counts = out["scoring_model"].select("series_key", F.lit("current").alias("window"), after.alias("n"))
-        out["verdict"] = policy.champion_is_current(verdict, counts, t)
+        rows, design = step("features", features)
+        model = step("score", lambda: score(rows, design))
+        stages.drop("design")
+        step("forecast", lambda: forecast(rows, model))
+        step("monitor", monitor)
+        step("drift", judge)
+        stages.drop("panel_rows", "counted_by_day", "counted")
+    except Exception:
+        stages.close()
+        raise
     finally:
         if run_log:
             write_run_log(spark, log, run_log)
-    return {k: published(v, is_real, None) for k, v in out.items()}
+    for k, v in out.items():
+        out[k] = published(v, is_real, None)
+    return out
