@@ -50,9 +50,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialise`` wrote, once what was made from them is written."""
     for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BITMAP = (1 << 20, 1 << 27)

@@ -391,16 +391,20 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, count_links: bool = False) -> DataFrame:
-    """doc_id, same, n, class_id, component_id (and n_links)."""
+    """doc_id, same, n, label, class_id, component_id (and n_links).
+
+    ``label`` is the component itself; its name, the smallest doc_id, may be another's too where ids repeat.
+    """
     rows, regions, sets = prepared(docs)
     labels = components(regions, sets)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("class_id"))
     if labels is None:
-        classes = classes.withColumn("component_id", F.col("class_id"))
+        classes = classes.withColumns({"component_id": F.col("class_id"), "label": F.col("id")})
     else:
         touched = materialise(labels.join(classes, "id"), "touched")
         least = touched.groupBy("component").agg(F.min("class_id").alias("component_id"))
-        classes = classes.join(touched.join(least, "component").select("id", "component_id"), "id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+        found = touched.join(least, "component").select("id", "component_id", F.col("component").alias("label"))
+        classes = classes.join(found, "id", "left").withColumns({"component_id": F.coalesce("component_id", "class_id"), "label": F.coalesce("label", "id")})
     if count_links:
         pairs = _links(regions, sets)
         ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
@@ -411,7 +415,7 @@ def _joined(docs: DataFrame, count_links: bool = False) -> DataFrame:
     own = F.col("doc_id").isNull() | (F.col("n") == 0)
     n_links = [F.when(own, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []
     name = lambda c: F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return rows.join(classes, "id", "left").select("doc_id", "same", "n", name("class_id"), name("component_id"), *n_links)
+    return rows.join(classes, "id", "left").select("doc_id", "same", "n", "label", name("class_id"), name("component_id"), *n_links)
 
 
 def join(docs: DataFrame, count_links: bool = False) -> DataFrame:
@@ -419,7 +423,7 @@ def join(docs: DataFrame, count_links: bool = False) -> DataFrame:
 
     Components don't need the pairs within them; counting links lists and verifies them all.
     """
-    return _joined(docs, count_links).drop("same").withColumnRenamed("n", "n_shingles")
+    return _joined(docs, count_links).drop("same", "label").withColumnRenamed("n", "n_shingles")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -429,7 +433,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept; rows without an id all stay, and so does each document without words.
     """
     out = _joined(docs).where("doc_id is not null")
-    chosen = out.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "same")).alias("k")).select("k.doc_id", "k.same")
+    chosen = out.where("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "same")).alias("k")).select("k.doc_id", "k.same")
     chosen = chosen.unionByName(out.where("n = 0").select("doc_id", "same")).distinct()
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__same"))
