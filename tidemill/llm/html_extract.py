@@ -10,7 +10,9 @@ adverts, notices, comments, by element or role) never belongs to a region. A cla
 or id made of furniture words alone (``comment-list``) counts as furniture; one
 that only holds such a word (``share-price``) makes a region of its own, which
 stays if the region around it does and the ratio finds it dense. Headings are
-never judged by their class. A copyright line outside an article is a notice.
+never judged by their class. A line outside an article that begins with a copyright
+mark and a year is a notice. Only blocks end a line: a script, a picture's code or a
+hidden span inside a paragraph leaves it whole.
 
 Defined results. Null or empty html, or no content: empty text. A null
 ``page_id`` or ``url`` stays null, repeated rows repeat, equal pages get equal
@@ -57,7 +59,8 @@ PLACE = re.compile(
 )
 SAYS_NO = re.compile(r"(?:has|with|without|no|is)[-_].*", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-NOTICE = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+#: a mark and a year, as notices have it; prose that begins with the word is no notice
+NOTICE = re.compile(r"(?:(?:©|\(c\)|copyright)\W*)+(?:19|20)\d\d\b", re.I)
 READER = re.compile(r"comment|repl(?:y|ies)|review", re.I)
 #: end tags that a start tag implies
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -148,10 +151,10 @@ class _Lines(HTMLParser):
         hides = hides or re.search(r"display\s*:\s*none", held.get("style") or "") is not None or hinted == "furniture"
         opens = tag in ("article", "main") and not hides
         judged = hinted == "perhaps" and not hides and tag in BLOCK
-        if hides:
-            self.end_line()
+        if hides:  # what is hidden inside a line doesn't end it
             self.hidden += 1
-            self.new_region()
+            if tag in BLOCK:
+                self.new_region()
         elif opens or judged:
             around = self.region[-1]
             self.new_region()
@@ -177,10 +180,11 @@ class _Lines(HTMLParser):
             self.count[tag] -= 1
             if tag in REACHED:
                 self.marks.pop()
-            if tag in BLOCK or hides:
+            if tag in BLOCK:
                 self.end_line()
             if hides:
                 self.hidden -= 1
+            if hides and tag in BLOCK:
                 self.region.pop()
                 if not self.inside and self.region[-1] not in self.around:
                     self.regions += 1
