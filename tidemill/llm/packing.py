@@ -211,25 +211,26 @@ def _plan(histogram: dict[int, int], limit: int, replaced: int) -> tuple[list, i
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``pieces`` (length from 1 to ``limit``, other columns) with sequence_id and offset."""
+    """``pieces`` (length from 1 to ``limit``, other columns) with sequence_id and offset, which replace columns of these names."""
     spark = pieces.sparkSession
     pieces = materialise(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     # Rows of the plan: fewer than a few for each length and pattern, whatever the number of pieces.
-    placed = F.broadcast(spark.createDataFrame(plan(counts, limit), "length long, lo long, hi long, first long, each long, at long"))
+    placed = F.broadcast(spark.createDataFrame(plan(counts, limit), "__length long, __lo long, __hi long, __first long, __each long, __at long"))
     salts = max(1, -(-max(counts.values()) // GROUP_ROWS))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "length"]), F.lit(salts)))
+    # The row's own number parts pieces that are alike in everything; the table is written, so it stays what it is.
+    salted = pieces.withColumn("__row", F.monotonically_increasing_id()).withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
     group = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     group = group.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("length", "__salt", "__before")
-    rank = Window.partitionBy("length", "__salt").orderBy(*[c for c in pieces.columns if c != "length"])
+    rank = Window.partitionBy("length", "__salt").orderBy("__row")
     ranked = salted.withColumn("__rank", F.row_number().over(rank) - 1).join(group, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    out = ranked.alias("r").join(placed.alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
-    step = F.col("__rank") - F.col("lo")
+    out = ranked.join(placed, (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
+    step = F.col("__rank") - F.col("__lo")
     return out.select(
-        *[F.col(f"r.{c}") for c in pieces.columns],
-        (F.col("first") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + F.pmod(step, F.col("each")) * F.col("r.length")).cast("long").alias("offset"),
+        *[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")],
+        (F.col("__first") + F.floor(step / F.col("__each"))).cast("long").alias("sequence_id"),
+        (F.col("__at") + F.pmod(step, F.col("__each")) * F.col("length")).cast("long").alias("offset"),
     )
