@@ -49,7 +49,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.reshard(read_table(spark, sf_dir, "documents"))
+    placed = sharding.reshard(read_table(spark, sf_dir, "documents"), sharding.by_id())
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

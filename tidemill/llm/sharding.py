@@ -10,12 +10,14 @@ share (one very long text) fixes its shard's capacity, and the others share the
 rest equally. Only shards that give or receive blocks are rewritten.
 
 Block sizes are the only thing that reaches the driver: at most ``MAX_BLOCKS``
-rows. Defined results. A null text has no bytes (size 8). A row's block comes from
-the hash of all its columns and of its row number, so null or repeated ids, equal
-texts and rows alike in everything are spread over the blocks like any others:
-equal texts are not kept together. An empty table gives no rows, very long texts
-count with all their bytes, ties between blocks go to the smaller number. Columns
-of other names are ignored by ``reshard`` but for that hash.
+rows. The old shard of a row is an input (``reshard``'s ``old``), and blocks come from
+the old shard and the hash of the row's columns, so a table gives the same result
+however it is partitioned. Defined results. A null text has no bytes (size 8). Rows
+alike in everything are counted and spread by their count, so they lie in many blocks
+and none takes another's place; equal texts are not kept together. An empty table
+gives no rows, very long texts count with all their bytes, ties between blocks go to
+the smaller number. Columns of other names only enter the hash; ``shard`` and ``slot``
+are taken for the old layout and replaced by ``rewrite``.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from __future__ import annotations
 import bisect
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import delete, materialise
 
 OVERHEAD, OLD, NEW = 8, 16, 24
 MIN_BLOCKS, MAX_BLOCKS, BLOCK_ROWS = 4096, 65536, 2000
+COPIES, PART_ROWS = 10_000, 100_000
+LAYOUT = ("shard", "slot")
 
 
 def flow(held: list[int], capacity: list[int]) -> list[tuple[int, int, int]]:
@@ -132,49 +136,79 @@ def transfers(blocks: list[tuple[int, int, int]], shards: int) -> dict[int, int]
     return owner
 
 
-def _facts(columns: list[str]) -> dict:
-    """What is known of a row: its size, its text's checksum, and the hash of all its columns."""
+def _facts(docs: DataFrame) -> dict:
+    """What is known of a row: its size, its text's checksum, and the hash of all its columns but ``LAYOUT``."""
     text = F.coalesce("text", F.lit(""))
-    return {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "crc": F.crc32(text), "key": F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)])}
+    # Maps and variants have no hash of their own.
+    plain = lambda c, kind: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`")
+    told = [plain(c, kind) for c, kind in sorted(docs.dtypes) if c not in LAYOUT]
+    return {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "crc": F.crc32(text), "key": F.xxhash64(*told)}
 
 
-def reshard(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot, key (hash of all columns); texts are read once and never shuffled."""
+def by_id(shards: int = OLD) -> Column:
+    """An old layout that the id alone decides."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+
+
+def reshard(docs: DataFrame, old: Column, new: int = NEW) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot, key (hash of all columns); texts are read once and never shuffled.
+
+    ``old`` tells the shard that a row lies in now: the ``shard`` column of a folder that was read, or ``by_id``.
+    """
     spark = docs.sparkSession
-    facts = _facts(docs.columns)
-    rows = docs.select("doc_id", facts["size"].alias("size"), facts["crc"].alias("text_crc32"), facts["key"].alias("key"))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    n = rows.count()
-    blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, n // BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "row"), F.lit(blocks)).cast("int")).withColumn("old_shard", F.col("block") % old)
+    facts = _facts(docs)
+    rows = docs.select("doc_id", facts["size"].alias("size"), facts["crc"].alias("text_crc32"), facts["key"].alias("key"), old.cast("int").alias("old_shard"))
+    rows = materialise(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "sizes")
+    known = rows.agg(F.sum("copies").alias("n"), F.max("old_shard").alias("last")).first()
+    if not known["n"]:
+        return rows.select("doc_id", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), "key")
+    shards = known["last"] + 1
+    per = max(1, min(MAX_BLOCKS, max(MIN_BLOCKS, known["n"] // BLOCK_ROWS)) // shards)
+    # Rows alike in everything are numbered by their count, some thousands at a time, so no task writes them all.
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("from")
+    parts = rows.select("*", part)
+    parts = parts.where(F.col("copies") <= COPIES).unionByName(parts.where(F.col("copies") > COPIES).repartition("key", "from"))
+    each = parts.select("*", F.explode(F.sequence("from", F.least(F.col("copies"), F.col("from") + COPIES) - 1)).alias("copy")).drop("from", "copies")
+    rows = each.withColumn("block", F.col("old_shard") * per + F.pmod(F.xxhash64("key", "doc_id", "copy"), F.lit(per)).cast("int"))
     sizes = rows.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("block").collect()
-    owner = transfers([(r["block"], r["block"] % old, r["bytes"]) for r in sizes], new)
+    owner = transfers([(r["block"], r["block"] // per, r["bytes"]) for r in sizes], new)
     start, at = [], [0] * new
     for r in sizes:
         start.append((r["block"], owner[r["block"]], at[owner[r["block"]]]))
         at[owner[r["block"]]] += r["n"]
     table = F.broadcast(spark.createDataFrame(start, "block int, shard int, before long"))
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("row"))
-    return rows.withColumn("rank", rank - 1).join(table, "block").select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"), "key")
+    # A block is numbered in parts, so that its rows fit a task however many there are.
+    salts = -(-max(r["n"] for r in sizes) // PART_ROWS)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("copy", "key"), F.lit(salts)).cast("int"))
+    counts = rows.groupBy("block", "salt").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("block", "salt").orderBy("key", "doc_id", "copy"))
+    placed = rows.withColumn("rank", rank - 1).join(counts.select("block", "salt", ahead.alias("ahead")), ["block", "salt"]).join(table, "block")
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("ahead") + F.col("rank")).cast("long").alias("slot"), "key")
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> None:
     """Write the documents of every shard that a move touches as ``shard=K`` folders; other shards' files stay.
 
-    ``placed`` is what ``reshard`` gave for ``docs``. Rows that are equal in every
-    column are numbered and any takes any of their places, so each is written once.
+    ``placed`` is what ``reshard`` gave for ``docs``, whose columns ``shard`` and ``slot``, if there
+    are any, are replaced. Rows that are equal in every column are one document that is
+    written to each of its places, so it is met once and a common row is no hot group.
     """
-    touched = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+    touched = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("__shard")).distinct()
     same = ["__id", "__key", "__size", "__crc"]
-    number = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
-    # All places are numbered, those of touched shards first; the others' rows stay where they are.
-    chosen = placed.join(F.broadcast(touched.withColumn("moved", F.lit(0))), "shard", "left").withColumn("moved", F.coalesce("moved", F.lit(1)))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "moved", "shard", "slot")
-    chosen = chosen.withColumn("__at", number(F.struct("moved", "shard", "slot"))).withColumnsRenamed({c: f"{c}2" for c in [*same, "__at"]})
-    rows = docs.withColumns({"__id": F.col("doc_id"), **{f"__{k}": c for k, c in _facts(docs.columns).items()}}).withColumn("__at", number("__key"))
+    chosen = placed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    chosen = chosen.join(F.broadcast(touched), "__shard", "left_semi")
+    kept = [c for c in docs.columns if c not in LAYOUT]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__doc")
+    one = docs.select(F.col("doc_id").alias("__id"), *[c.alias(f"__{k}") for k, c in _facts(docs).items()], whole).groupBy(*same).agg(F.first("__doc").alias("__doc"))
+    one = one.withColumnsRenamed({c: f"{c}2" for c in same})
     met = F.col("__id").eqNullSafe(F.col("__id2"))
-    for c in [*same[1:], "__at"]:
+    for c in same[1:]:
         met &= F.col(c) == F.col(f"{c}2")
-    out = rows.join(chosen, met).where("moved = 0").select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
-    out = out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
+    out = chosen.join(one, met).select("__doc.*", F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    out = out.repartition("shard", F.floor(F.col("slot") / PART_ROWS)).sortWithinPartitions("shard", "slot")
+    # A shard that closes has no rows to overwrite it with; its folder goes once its rows are written elsewhere.
+    closed = [r[0] for r in touched.join(placed.select(F.col("shard").alias("__shard")), "__shard", "left_anti").collect()]
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for k in closed:
+        delete(docs.sparkSession, f"{path}/shard={k}")
