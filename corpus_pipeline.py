@@ -1,4 +1,19 @@
-"""A corpus from raw documents to packed sequences, one written table per stage."""
+"""A corpus from raw documents to packed sequences, one written table per stage.
+
+Stages take and return whole rows; the last gives a row for each piece of a document.
+
+- toxicity drops documents that the classifier rejects. Null and empty texts stay.
+- quality_rules drops documents that the rules' posterior rejects, which include all of
+  under 50 words, and so null and empty texts.
+- jaccard_join keeps one document of each group of near copies (of one text, the
+  smallest doc_id; rows alike in id and text are one). Rows without an id and documents
+  without words all stay, and so do documents that share an id but are not near.
+- best_fit_packing cuts documents into pieces and places each once. A null id stays null.
+
+Very long texts are read whole by each stage. Ties go to the smaller id or, where ids
+repeat, to the smaller row. Columns of other names, whatever these are, are carried up to
+the last stage. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
