@@ -272,8 +272,8 @@ def test_compiled_trees_give_what_the_model_gives(spark):
     df = spark.createDataFrame(rows, "hour int, x double, z double, y double").repartition(4).cache()
     names = ("hour", "x", "z")
     model = models.gbt_fit(df.where("hour <> 23").limit(5000), names, rounds=4, depth=4)
-    got = models.gbt_predict(model, df, names)
-    both = models.gbt_transform(model, got.withColumnRenamed("prediction", "mine"), names)
+    got = models.gbt_predict(model, df)
+    both = models.gbt_transform(model, got.withColumnRenamed("prediction", "mine"))
     assert both.agg(F.max(F.abs(F.col("mine") - F.col("prediction")))).first()[0] < 1e-9
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "UDF" not in plan and "Python" not in plan
@@ -281,6 +281,55 @@ def test_compiled_trees_give_what_the_model_gives(spark):
 
 def test_trees_by_hand(spark):
     forest = [(0.5, trees.Split(0, trees.Leaf(1.0), trees.Split(1, trees.Leaf(2.0), trees.Leaf(4.0), values=frozenset({1.0, 2.0}), known=frozenset({0.0, 1.0, 2.0})), line=10.0)), (1.0, trees.Leaf(0.25))]
-    df = spark.createDataFrame([(10.0, 0), (11.0, 1), (11.0, 7), (None, 0)], "a double, b int")
-    got = [r[0] for r in df.select(trees.prediction(forest, ("a", "b"), -1e6)).collect()]
-    assert got == [0.75, 1.25, 2.25, 0.75]
+    df = spark.createDataFrame([(10.0, 0), (11.0, 1), (11.0, 7)], "a double, b int")
+    assert [r[0] for r in df.select(trees.prediction(forest, ("a", "b"))).collect()] == [0.75, 1.25, 2.25]
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_missing_values_find_the_side_that_fits_them(spark, up):
+    """Whether x is there decides, and x itself does not; missing rows lie above or below the others."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 4 == 0 else float(rng.normal()), float(rng.normal()), (50.0 if (i % 4 == 0) == up else 10.0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "x double, z double, y double")
+    model = models.gbt_fit(df, ("x", "z"), rounds=2, depth=2)
+    assert model.stages[1].getInputCols() == ["__x_x", "__y_x", "__x_z"]
+    assert models.gbt_predict(model, df).where("abs(prediction - y) > 1").count() == 0
+    top = models.feature_importance(model, ("x", "z")).first()
+    assert top.feature == "x" and top.share > 99
+    # A middle level that only the missing rows have needs both sides of x: below 0 gives 10, above gives 90, missing 50.
+    mid = spark.createDataFrame([(None if i % 3 == 0 else float(i % 3) - 1.5, 0.0, (50.0, 10.0, 90.0)[i % 3]) for i in range(900)], "x double, z double, y double")
+    again = models.gbt_fit(mid, ("x", "z"), rounds=2, depth=2)
+    assert models.gbt_predict(again, mid).where("abs(prediction - y) > 1").count() == 0
+
+
+def test_refits_at_every_cutoff_equal_separate_fits(spark):
+    p = waves(spark, {"a": 24 * 12}).cache()
+    spec = SeriesSpec(lags=(24,), season_lags=(24,), temperature_lag=24, short_window=24, long_window=48, season=24, min_history=72, stride=24, max_horizon=3)
+    d = models.cutoff_design(p, spec, design.training_origins(p, spec)).cache()
+    s = p.select("series_key", "ts", "demand_mwh").where("demand_mwh is not null")
+    cuts = backtest.make_cutoffs(s, spec, min_history=168)
+    asked = backtest.folds(cuts, spec)
+    got = {(r.cutoff, r.horizon_h): r.prediction for r in models.walk_forward_gbt(d, spec, refit_every=1, rounds=1, depth=2)(s, asked).collect()}
+    times = sorted({k[0] for k in got})
+    assert len(times) > 2
+    for cutoff in (times[0], times[-1]):
+        model = models.gbt_fit(design.training_slice(d, F.lit(cutoff)), spec.features, rounds=1, depth=2)
+        alone = models.gbt_predict(model, d.where(F.col("origin_ts") == F.lit(cutoff)))
+        assert {r.horizon_h: r.prediction for r in alone.collect()} == {k[1]: v for k, v in got.items() if k[0] == cutoff}
+
+
+def test_a_model_for_each_series_sees_its_span_only(spark):
+    s = spark.createDataFrame([(k, T0 + i * HOUR, float(i + 1000 * (k == "b"))) for k in "ab" for i in range(24 * 30)], "series_key string, ts timestamp, demand_mwh double")
+    seen = lambda history, asked: asked["horizon_h"] * 0 + (len(history) + history["demand_mwh"].max() / 1e6)
+    rows = backtest.walk_forward(s, backtest.per_series(seen, 100), SeriesSpec(), weeks=1)
+    for r in rows.collect():
+        last = (r.cutoff - T0) / HOUR - 1 + 1000 * (r.series_key == "b")
+        assert math.isclose(r.prediction, 100 + last / 1e6)
+    assert rows.select("series_key", "cutoff").distinct().count() > 10
+    # The mean of the same hour over a week, as grouped pandas and as columns.
+    mean = lambda history, asked: asked["target_ts"].dt.hour.map(history.groupby(history["ts"].dt.hour)["demand_mwh"].mean())
+    got = backtest.walk_forward(s, backtest.per_series(mean, 168), SeriesSpec(), weeks=1)
+    for r in got.collect():
+        h = int((r.target_ts - T0) / HOUR)
+        c = int((r.cutoff - T0) / HOUR)
+        assert math.isclose(r.prediction, np.mean([x for x in range(c - 168, c) if x % 24 == h % 24]) + 1000 * (r.series_key == "b"))

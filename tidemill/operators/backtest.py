@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.core import ceil_to, col, floor_to, from_hours, hours
 from ..specs import SeriesSpec
@@ -54,6 +57,33 @@ def seasonal_naive(spec: SeriesSpec = SeriesSpec()) -> Forecaster:
     return forecast
 
 
+def per_series(predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series], span: int) -> Forecaster:
+    """A model of its own for each series and cutoff.
+
+    ``predict(history, asked)`` gets the rows (ts, demand_mwh) of the ``span`` hours before the
+    cutoff, in order of time, and the rows to forecast (horizon_h, target_ts); it returns their
+    predictions. A row serves only the cutoffs of the days that its span reaches, so it is
+    copied to few of them however long the series is, and no group is larger than the span.
+    """
+
+    def forecast(series: DataFrame, asked: DataFrame) -> DataFrame:
+        day = lambda c: F.floor(hours(c) / 24)
+        cutoffs = asked.select("series_key", "cutoff", day("cutoff").alias("__day")).distinct()
+        reach = F.sequence(day("ts"), day("ts") + -(-span // 24))
+        near = series.select("series_key", "ts", "demand_mwh", F.explode(reach).alias("__day")).join(cutoffs, ["series_key", "__day"])
+        near = near.where((F.col("ts") < F.col("cutoff")) & (hours("ts") >= hours("cutoff") - span))
+        history = near.select(F.col("series_key").alias("__series"), F.col("cutoff").alias("__cutoff"), "ts", "demand_mwh")
+
+        def one(held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            rows["prediction"] = predict(held.sort_values("ts")[["ts", "demand_mwh"]], rows[["horizon_h", "target_ts"]]) if len(rows) else []
+            return rows
+
+        shape = StructType([*asked.schema.fields, StructField("prediction", DoubleType())])
+        return history.groupBy("__series", "__cutoff").cogroup(asked.groupBy("series_key", "cutoff")).applyInPandas(one, shape)
+
+    return forecast
+
+
 def is_scorable(actual: str = "actual", prediction: str = "prediction") -> Column:
     return F.col(actual).isNotNull() & F.col(prediction).isNotNull() & (F.col(actual) != 0)
 

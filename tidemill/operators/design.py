@@ -108,3 +108,20 @@ def training_slice(design: DataFrame, cutoff: str | Column) -> DataFrame:
     """Labelled rows whose target lies strictly before ``cutoff``."""
     at = F.to_timestamp(F.lit(cutoff)) if isinstance(cutoff, str) else cutoff
     return labelled(design).where(F.col("target_ts") < at)
+
+
+def fold_sizes(design: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """(series_key, cutoff, n): how many rows of its series each fold may train on, from running sums and no range join."""
+    rows = labelled(design).groupBy("series_key", F.col("target_ts").alias("at")).agg(F.count("*").alias("k"))
+    both = rows.select("series_key", "at", "k", F.lit(None).cast("timestamp").alias("cutoff")).unionByName(
+        cutoffs.select("series_key", F.col("cutoff").alias("at"), F.lit(0).cast("long").alias("k"), "cutoff")
+    )
+    # At one time the cutoff comes first: a target at the cutoff is not before it.
+    run = Window.partitionBy("series_key").orderBy("at", F.col("cutoff").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("n", F.sum("k").over(run)).where("cutoff is not null").select("series_key", "cutoff", "n")
+
+
+def requested(design: DataFrame, asked: DataFrame) -> DataFrame:
+    """The design's row for each asked (series_key, cutoff, horizon_h), its cutoff being the origin; missing where there is none."""
+    rows = design.withColumnRenamed("origin_ts", "cutoff").drop("target_ts")
+    return asked.join(rows, ["series_key", "cutoff", "horizon_h"], "left")

@@ -70,10 +70,9 @@ def sql_of(tree: Tree, name: Callable[[int], str]) -> str:
     return f"CASE WHEN {goes_left} THEN {sql_of(tree.left, name)} ELSE {sql_of(tree.right, name)} END"
 
 
-def prediction(forest: list[tuple[float, Tree]], features: tuple[str, ...], missing: float) -> Column:
-    """The weighted sum of the trees over columns named ``features``; null features count as ``missing``."""
-    name = lambda k: f"coalesce(CAST(`{features[k]}` AS DOUBLE), {_number(missing)})"
+def prediction(forest: list[tuple[float, Tree]], features: tuple[str, ...]) -> Column:
+    """The weighted sum of the trees over columns named ``features``, which must not be null."""
     out = F.lit(0.0)
     for weight, tree in forest:
-        out = out + F.lit(weight) * F.expr(sql_of(tree, name))
+        out = out + F.lit(weight) * F.expr(sql_of(tree, lambda k: f"CAST(`{features[k]}` AS DOUBLE)"))
     return out

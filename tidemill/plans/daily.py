@@ -142,7 +142,7 @@ def daily_monitor(
             raise ValueError(f"{TOO_SHORT}: no series has rows in its train and reference windows")
         split = drift.split_windows(design.join(at, "series_key"), windows, anchor=F.col("current_start")).drop("current_start")
         fitted = models.gbt_fit(split.where(f"window = 'train' and source = '{FITTED}'"), spec.features, **how) if FITTED in sources else champion
-        pick = lambda source, model: drift.score_windows(split.where(f"source = '{source}'").drop("source"), lambda train, rows: models.gbt_predict(model, rows, spec.features))
+        pick = lambda source, model: drift.score_windows(split.where(f"source = '{source}'").drop("source"), lambda train, rows: models.gbt_predict(model, rows))
         scored = [pick(source, fitted if source == FITTED else champion) for source in sorted(sources)]
         out["scored"] = stages.put("scored", scored[0] if len(scored) == 1 else scored[0].unionByName(scored[1]))
         out["counts"] = stages.put("counts", drift.split_counts(out["scored"]))

@@ -582,7 +582,7 @@ def walk_forward_gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import steps  # noqa: F401  # registers its own
+    from . import proofs, steps  # noqa: F401  # register their own
 
     return dict(QUERIES)
 
