@@ -59,6 +59,20 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """The table that the tasks of ``name`` keep from one to the next in a Python worker.
+
+    Workers are used again by other operators' tasks, which let go of what is not theirs: a
+    worker holds the table of one operator at a time.
+    """
+    for other in [k for k in _caches if k != name]:
+        _caches.pop(other).clear()
+    return _caches.setdefault(name, {})
+
+
 BITMAP = (1 << 20, 1 << 27)
 
 

@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, release
+from .common import connected_components, materialise, release, worker_cache
 
 SHINGLE, NUM, DEN = 5, 80, 100
 SHARE = 0.25
@@ -173,6 +173,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("jaccard")
         for batch in _slices(batches):
             n, ids, held = [], [], []
             for text in batch["text"]:

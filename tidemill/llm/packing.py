@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, worker_cache
 
 LIMIT, END = 2048, 0
 CACHE = 1_000_000
@@ -93,12 +93,10 @@ class _Ids(dict):
         return self[chunk]
 
 
-_held: dict[str, _Ids] = {}
-
-
 def encode(text: str | None, path: str) -> bytes:
     """Little-endian 32-bit ids of a whole text, as the tokenizer gives them, with the end id."""
-    cache = _held.get(path) or _held.setdefault(path, _Ids(path))
+    held = worker_cache("packing")
+    cache = held[path] if path in held else held.setdefault(path, _Ids(path))
     chunks = _CHUNK.findall(text or "")
     unseen = {c for c in chunks if c not in cache}
     if unseen:

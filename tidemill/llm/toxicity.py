@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE, added_up, in_parts
+from .common import TABLE, added_up, in_parts, worker_cache
 
 FIT_ROWS = 40_000  #: labelled documents that the classifier is fitted on, at most
 CALIBRATION_ROWS = 20_000  #: of these, whose evidence the logistic model sees
@@ -76,6 +76,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of class triples over every byte of every text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("toxicity")
         held = np.zeros(1 << 18, np.int64)
         for batch in batches:
             for text in batch["text"]:
@@ -330,6 +331,7 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_cache("toxicity")
         scorer = Scorer(**shared.value)
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
