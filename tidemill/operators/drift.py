@@ -173,12 +173,12 @@ def drift_sections(scored: DataFrame, features: list[str], t: Thresholds = Thres
 
 
 def day_summary(counts: DataFrame, plan: DataFrame) -> DataFrame:
-    """(series_key, column, day, bin, n): how many of a day's values fall in each bin; sums of these tell any span of days.
+    """(series_key, column, day, bin, n, n_ref): how many of a day's values fall in each bin, and of these the reference's; sums of these tell any span of days.
 
     ``counts`` is ``counted_columns`` by day, ``plan`` what ``described`` gave for the reference.
     """
     rows, _ = binned(counts, plan, ["series_key"])
-    return rows.groupBy("series_key", "column", "day", "bin").agg(F.sum(F.col("n_reference") + F.col("n_current")).alias("n"))
+    return rows.groupBy("series_key", "column", "day", "bin").agg(F.sum(F.col("n_reference") + F.col("n_current")).alias("n"), F.sum("n_reference").alias("n_ref"))
 
 
 def day_errors(scored: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def timeline(days: DataFrame, errors: DataFrame, reference: DataFrame, t: Thresh
     """The timeline from day summaries, ``day_errors``, and ``reference`` (series_key, column, bin, n_ref; a row for every bin)."""
     group = ["series_key", "column"]
     grid = errors.select("series_key", "day").join(reference, "series_key")
-    dense = grid.join(days, [*group, "day", "bin"], "left").fillna(0, ["n"])
+    dense = grid.join(days.select(*group, "day", "bin", "n"), [*group, "day", "bin"], "left").fillna(0, ["n"])
     trail = Window.partitionBy(*group, "bin").orderBy(F.unix_date("day")).rangeBetween(-(span - 1), 0)
     dense = dense.withColumn("n_cur", F.sum("n").over(trail))
     w = Window.partitionBy(*group, "day")
@@ -229,8 +229,10 @@ def drift_timeline(scored: DataFrame, features: list[str], t: Thresholds = Thres
     """
     counts = counted_columns(scored, features, by_day=True) if counts is None else counts
     counts = counts.where(~F.col("column").isin(list(DETERMINISTIC)))
-    plan = described(without_days(counts), ["series_key"], t)
-    return timeline(day_summary(counts, plan), day_errors(scored), reference_bins(counts, plan), t, days)
+    summary = day_summary(counts, described(without_days(counts), ["series_key"], t))
+    # A bin that no day has adds nothing, so the bins that are there are enough.
+    reference = summary.groupBy("series_key", "column", "bin").agg(F.sum("n_ref").alias("n_ref"))
+    return timeline(summary, day_errors(scored), reference, t, days)
 
 
 def window_pair_sweep(series: DataFrame, pairs: DataFrame, column: str, t: Thresholds = Thresholds(), ts: str = "ts") -> DataFrame:

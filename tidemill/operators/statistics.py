@@ -177,14 +177,39 @@ def psi_detail(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _with_psi(counts: DataFrame, plan: DataFrame, keys: list[str], t: Thresholds, detail: bool) -> DataFrame:
-    """``plan`` with psi, psi_status, categorical and bins."""
-    terms = psi_detail(histogram(counts, keys, t, plan), keys)
-    aggs = [F.sum("term").alias("psi"), F.first("categorical").alias("categorical"), F.count("*").alias("bins")]
+    """``plan`` with psi, psi_status, categorical and bins.
+
+    Each column's bins come together as one array, absent ones with zeros, so terms need no
+    further grouping: ``plan`` is met once by the values and once by their few counts.
+    """
+    rows, _ = binned(counts, plan, keys)
+    group = [*keys, "column"]
+    found = rows.groupBy(*group, "bin").agg(*[F.sum(f"n_{s}").alias(f"b_{s}") for s in SIDES])
+    found = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*[f"b_{s}" for s in SIDES])))).alias("found"))
+    cut = F.greatest(F.size("edges") - 1, F.lit(0))
+    numbers = F.when(F.col("levels").isNotNull(), F.sequence(F.lit(0), F.size("levels"))).when(cut > 0, F.sequence(F.lit(1), cut))
+    at = lambda b, s: F.coalesce(F.try_element_at("found", b)[f"b_{s}"], F.lit(0).cast("long"))
+    out = plan.join(found, group, "left").withColumn("held", F.transform(numbers, lambda b: F.struct(b.alias("bin"), *[at(b, s).alias(f"n_{s}") for s in SIDES])))
+    total = lambda s: F.greatest(F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x[f"n_{s}"]), F.lit(1))
+    out = out.withColumns({f"total_{s}": total(s) for s in SIDES})
+    share = lambda x, s: x[f"n_{s}"] / F.col(f"total_{s}")
+    out = out.withColumn("terms", F.transform("held", lambda x: psi_term(share(x, "reference"), share(x, "current"))))
+    out = out.withColumns(
+        {
+            "psi": F.when(F.size("held") > 0, F.aggregate("terms", F.lit(0.0), lambda a, x: a + x)),
+            "categorical": F.when(F.size("held") > 0, F.col("levels").isNotNull()),
+            "bins": F.when(F.size("held") > 0, F.size("held").cast("long")),
+        }
+    )
     if detail:
-        level = F.when(F.col("bin") == 0, F.lit("<unseen>")).otherwise(F.col("lo").cast("string"))
-        label = F.when(F.col("categorical"), level).otherwise(bin_label("lo", "hi")).alias("label")
-        aggs.append(F.array_sort(F.collect_list(F.struct("bin", label, "lo", "hi", "n_reference", "n_current", "share_reference", "share_current", "term"))).alias("psi_bins"))
-    out = plan.join(terms.groupBy(*keys, "column").agg(*aggs), [*keys, "column"], "left")
+        low = lambda b: F.when(F.col("levels").isNull(), F.get("edges", b - 1)).otherwise(F.get("levels", b - 1))
+        high = lambda b: F.when(F.col("levels").isNull(), F.get("edges", b)).otherwise(F.get("levels", b - 1))
+        name = lambda b: F.when(F.col("levels").isNull(), bin_label(low(b), high(b))).otherwise(F.when(b == 0, F.lit("<unseen>")).otherwise(low(b).cast("string")))
+        told = lambda x, i: F.struct(
+            x["bin"].alias("bin"), name(x["bin"]).alias("label"), low(x["bin"]).alias("lo"), high(x["bin"]).alias("hi"), x["n_reference"].alias("n_reference"), x["n_current"].alias("n_current"),
+            *[share(x, s).alias(f"share_{s}") for s in SIDES], F.get("terms", i).alias("term"),
+        )
+        out = out.withColumn("psi_bins", F.transform("held", told))
     ok = (F.col("n_reference") > 0) & (F.col("n_current") > 0) & F.col("psi").isNotNull()
     return out.withColumns({"psi": F.when(ok, F.col("psi")).otherwise(F.lit(0.0)), "psi_status": F.when(ok, F.lit("ok")).otherwise(F.lit("degenerate"))})
 

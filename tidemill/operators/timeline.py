@@ -41,7 +41,7 @@ def extend(spark: SparkSession, path: str, scored: DataFrame, features: list[str
     held = plan.select("version").first()
     if held is None or held["version"] != version:
         raise OtherBins(f"the summaries in {path} belong to bins {held and held['version']}, not {version}")
-    for name, rows in (("days", drift.day_summary(_counts(scored, features), plan)), ("errors", drift.day_errors(scored))):
+    for name, rows in (("days", drift.day_summary(_counts(scored, features), plan).drop("n_ref")), ("errors", drift.day_errors(scored))):
         rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/{name}")
 
 
