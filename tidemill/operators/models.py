@@ -92,7 +92,7 @@ def walk_forward_gbt(design: DataFrame, spec: SeriesSpec = SeriesSpec(), feature
             return gbt_fit(training_slice(held, F.lit(block[0])), features, **how) if first is not None and first < block[0] else None
 
         with ThreadPool(max(1, min(parallelism, len(blocks)))) as pool:
-            found = pool.map(inheritable_thread_target(fitted), blocks)
+            found = pool.map(inheritable_thread_target(design.sparkSession)(fitted), blocks)
         out = None
         for block, model in zip(blocks, found):
             part = rows.where((F.col("cutoff") >= F.lit(block[0])) & (F.col("cutoff") <= F.lit(block[-1])))

@@ -8,12 +8,13 @@ from dataclasses import dataclass, fields, replace
 #: severities from best to worst; the position is the rank
 SEVERITIES = ("ok", "warn", "alert")
 
+#: calendar features, in the order of the design (fixed values)
 CALENDAR = ("hour", "dayofweek", "month", "is_weekend", "is_holiday")
 CATEGORICAL = ("hour", "dayofweek", "month")
 #: known ahead of time, so they are reported but never vote
 DETERMINISTIC = ("horizon_h", *CALENDAR)
 
-#: panel column -> feature read at the target hour once published
+#: panel column -> feature read at the target hour once published (fixed values)
 FORECAST_SOURCES = {
     "fcst_temperature_c": "temp_fcst_target",
     "fcst_temperature_spread_c": "temp_fcst_spread_target",
@@ -58,7 +59,7 @@ class SeriesSpec:
 
     @property
     def features(self) -> tuple[str, ...]:
-        """Feature columns in order; with the defaults there are 27 besides the repeated horizon."""
+        """Feature columns in order (fixed values); with the defaults there are 27 besides the repeated horizon."""
         return (
             "horizon_h",
             *CALENDAR,
@@ -80,7 +81,7 @@ class SeriesSpec:
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Alarm lines of the drift detectors; values at a line count as over it."""
+    """Alarm lines of the drift detectors (defaults are fixed values); values at a line count as over it."""
 
     psi_warn: float = 0.10
     psi_alert: float = 0.20
