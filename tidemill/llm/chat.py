@@ -14,8 +14,12 @@ declares (a type's name, or a JSON schema with ``type``: one name or a list).
 Properties' own inner schemas are not looked into; a type's name that JSON doesn't
 know allows any value.
 
-One row per turn and call keeps conversations of any length distributed: no
-conversation is ever collected. ``order_key`` sorts a conversation's messages.
+A turn is one message, which holds all its calls in their order; ``calls`` tells of each
+its id, whether it is answered and whether it is valid. Calls are checked a row each and
+gathered by turn, so a task holds a turn's calls and never a conversation.
+``order_key`` sorts a conversation's messages: turns in their order, a result that stands
+before its call right behind it. Calls whose arguments depend on other calls' results are
+ordered by their turns alone.
 
 Defined results. Arguments given as a string that holds JSON count as that JSON;
 other text (objects that repeat a key as well) is a JSON string and not valid.
@@ -24,7 +28,8 @@ Null roles count as ``user``. Of calls that repeat an id in one conversation, th
 first turn's (then the first in its list) is linked. A result whose call is
 missing keeps its own place and is counted as unlinked. A null ``conv_id`` is one
 conversation. Of tools of one name in a conversation the first declared counts.
-Repeated rows stay repeated. Turns may be negative; a null one sorts first. Texts of
+Repeated rows stay repeated: their calls are checked once and the message is copied in
+pieces of ``COPIES``, dealt over tasks. Turns may be negative; a null one sorts first. Texts of
 any length are kept whole. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -37,6 +42,8 @@ CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>
 RESULT = "struct<tool_call_id:string,content:string>"
 TOOLS = "struct<tools:array<struct<name:string,required:array<string>,properties:map<string,string>>>>"
 
+#: copies of one repeated turn that a task makes at a time
+COPIES = 1024
 
 #: JSON type -> names that schemas use for it
 TYPES = {
@@ -88,9 +95,14 @@ def _fits(value, types):
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, order_key, call_id, linked, valid, message."""
+    """conv_id, turn, role, order_key, call_id, linked, valid, calls (call_id, linked, valid), message.
+
+    A result has the ``call_id`` it answers; it is ``linked`` if its call is there and
+    ``valid`` if that call is. A message with calls is either if all its calls are.
+    """
     text = F.coalesce("text", F.lit(""))
     t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), text.alias("text"))
+    asks = lambda said: F.coalesce(F.size(said["tool_calls"]) > 0, F.lit(False))
     looks = F.ltrim(F.col("text")).startswith("{")
     t = t.withColumns(
         {
@@ -99,8 +111,11 @@ def format_turns(conversations: DataFrame) -> DataFrame:
             "kit": F.when((F.col("role") == "system") & looks, F.from_json("text", TOOLS)),
         }
     )
-    calls = t.where("size(said.tool_calls) > 0").select("conv_id", "turn", F.posexplode("said.tool_calls").alias("at", "call"))
-    calls = calls.select("conv_id", "turn", "at", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
+    # Rows alike are one turn here; its content stands beside its first call, so that no text is copied to each call.
+    turns = t.where(asks(F.col("said"))).groupBy("conv_id", "turn", "text").agg(F.count("*").alias("copies"))
+    turns = turns.withColumns({"said": F.from_json("text", CALLS), "key": F.sha2("text", 256)})
+    calls = turns.select("conv_id", "turn", "key", "copies", "said.content", F.posexplode("said.tool_calls").alias("at", "call"))
+    calls = calls.select("conv_id", "turn", "key", "copies", "at", F.when(F.col("at") == 0, F.col("content")).alias("content"), F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
     # Of a tool declared more than once in a conversation, the first declaration counts.
     kits = t.where("size(kit.tools) > 0").select("conv_id", "turn", F.posexplode("kit.tools").alias("at", "tool"))
     known = F.transform_values("tool.properties", lambda _, v: _declared(v))
@@ -142,18 +157,23 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     # Only the first call of an id is linked.
     same = F.col("conv_id").eqNullSafe(F.col("c1")) & (F.col("call_id") == F.col("i1")) & F.col("turn").eqNullSafe(F.col("call_turn")) & (F.col("at") == F.col("call_at"))
     asked = checked.join(met, same, "left")
+    call = F.struct("at", "call_id", F.col("i1").isNotNull().alias("linked"), "valid", one.alias("json"))
+    asked = asked.groupBy("conv_id", "turn", "key").agg(F.max("copies").alias("copies"), F.max("content").alias("content"), F.array_sort(F.collect_list(call)).alias("asked"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {COPIES}"))).alias("piece")).repartition("conv_id", "turn", "key", "piece")
+    here = F.least(F.col("copies") - F.col("piece") * COPIES, F.lit(COPIES))
+    asked = asked.withColumn("copy", F.explode(F.sequence(F.lit(1), here)))
     asked = asked.select(
         "conv_id",
         "turn",
         F.lit("assistant").alias("role"),
-        F.concat(pad("turn"), F.lit("/0/"), pad("at")).alias("order_key"),
-        "call_id",
-        F.col("i1").isNotNull().alias("linked"),
-        "valid",
-        F.concat(F.lit('{"content":"","role":"assistant","tool_calls":['), one, F.lit("]}")).alias("message"),
+        F.concat(pad("turn"), F.lit("/0/")).alias("order_key"),
+        nothing.cast("string").alias("call_id"),
+        F.forall("asked", lambda c: c["linked"]).alias("linked"),
+        F.forall("asked", lambda c: c["valid"]).alias("valid"),
+        F.transform("asked", lambda c: F.struct(c["call_id"].alias("call_id"), c["linked"].alias("linked"), c["valid"].alias("valid"))).alias("calls"),
+        F.concat(F.lit('{"content":'), _quoted(F.col("content")), F.lit(',"role":"assistant","tool_calls":['), F.array_join(F.transform("asked", lambda c: c["json"]), ","), F.lit("]}")).alias("message"),
     )
-    content = F.when(F.size("said.tool_calls") > 0, F.coalesce("said.content", F.lit(""))).otherwise(F.col("text"))
-    plain = t.where("role <> 'tool'").select(
+    plain = t.where((F.col("role") != "tool") & ~asks(F.col("said"))).select(
         "conv_id",
         "turn",
         "role",
@@ -161,6 +181,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         nothing.cast("string").alias("call_id"),
         nothing.cast("boolean").alias("linked"),
         nothing.cast("boolean").alias("valid"),
-        F.concat(F.lit('{"content":'), _quoted(content), F.lit(',"role":'), _quoted(F.col("role")), F.lit("}")).alias("message"),
+        F.concat(F.lit('{"content":'), _quoted(F.col("text")), F.lit(',"role":'), _quoted(F.col("role")), F.lit("}")).alias("message"),
     )
-    return plain.unionByName(asked).unionByName(tools)
+    columns = ["conv_id", "turn", "role", "order_key", "call_id", "linked", "valid", "calls", "message"]
+    return asked.unionByName(plain.unionByName(tools), allowMissingColumns=True).select(columns)
