@@ -2,31 +2,31 @@
 
 Vectors are projected to ten dimensions by several random rotations, shifted, and
 ordered along a Hilbert curve each time. A curve's keys are range-partitioned into
-blocks of near equal size; a query meets the candidates of its own and of both
-neighbouring blocks on every curve. All of them are ranked on the original vectors
-in double precision, so the answer is the exact one among the rows that share or
-adjoin a block with the query; nothing is left out on codes or by a count.
-
-Vectors are not copied to each curve: a vector is dealt once, by hash and with its
-blocks on all curves, to a chunk of about ``GROUP_ROWS`` rows, and each query
-visits all chunks (at ``BLOCKS`` a query has candidates in nearly every one). No
-chunk grows with a common vector or a group of near copies.
+blocks: a vector is shuffled to its block on each of the ``CURVES`` curves, a query to
+its own and both neighbouring blocks, and no further. There distances are taken on the
+original vectors in double precision, and each query's best of all blocks are merged.
+The answer is the exact one among the rows that share or adjoin a block with the query
+on any curve; nothing is left out on codes or by a count.
 
 The index (rotations, block borders, cell size) is fitted on a bounded sample of
-``SAMPLE_ROWS`` vectors; every vector is indexed. Blocks number ``BLOCKS`` to a
-curve at any size, for on data without structure recall at a fixed share of the
-input is what a curve can promise; fewer, larger blocks raise recall. Distances are
-multiplied out against every row of a chunk before the blocks choose, so work is
-queries times rows, as in a full search, and more blocks don't cut it. Queries are
-dealt into parts of about ``QUERY_ROWS``, each of which meets each chunk in one task.
+``SAMPLE_ROWS`` vectors; every vector is indexed. The number of blocks is fitted there
+too: the largest of ``LADDER`` with which ``PROBES`` sampled vectors still meet ``RECALL``
+of their ten nearest in the sample. In the whole table neighbours are nearer than in a
+sample, so blocks of the same share of it hold no fewer of them. Vectors in clusters get
+many small blocks and queries meet few rows; for vectors without structure no small
+block holds the neighbours, blocks are wide, and work is that of a full search.
+
+Blocks that hold more than ``GROUP_ROWS`` rows (of a common vector, say) are dealt by hash
+into chunks of that size, which each query of the block visits; queries of a block beyond
+``QUERY_ROWS`` are dealt into parts. So no task grows with a block.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite parts
 take no part; nor do those of another width than the sample's most common one.
 A null id takes no part. Equal ids count once for each distinct vector. Ties go to
 the smaller id. Fewer candidates than asked for: all of them. Blocks hold some 64
-rows at least, so a table of fewer than 128 is one block and its search exact; the
-same holds at every size otherwise. An empty table gives no rows. Other columns,
-whatever their names, are ignored. There are no texts.
+sampled rows at least, so a table of fewer than 128 is one block and its search exact. An
+empty table gives no rows. Other columns, whatever their names, are ignored. There are
+no texts.
 """
 
 from __future__ import annotations
@@ -40,10 +40,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
-CURVES, DIMS, BITS, BLOCKS = 32, 10, 6, 96
-SAMPLE_ROWS, GROUP_ROWS, QUERY_ROWS = 20_000, 4096, 4096
+CURVES, DIMS, BITS = 3, 10, 6
+LADDER = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
+SAMPLE_ROWS, GROUP_ROWS, QUERY_ROWS = 20_000, 8192, 8192
+PROBES, RECALL = 400, 0.95
 TAIL = 0.02  #: share of the sample at either end that doesn't count for the cell size
 
 
@@ -74,10 +76,27 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def borders(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """Keys at which a new block begins."""
+    order = np.sort(keys)
+    return np.unique(order[[len(order) * i // blocks for i in range(1, blocks)]])
+
+
+def neighbours(sample: np.ndarray, k: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first ``PROBES`` distinct vectors of the sample, and of the k nearest distinct vectors to each."""
+    rows = np.sort(np.unique(sample, axis=0, return_index=True)[1])
+    x, probes = sample[rows], np.arange(min(PROBES, len(rows)))
+    norm = (x * x).sum(1)
+    d = norm[probes][:, None] + norm[None] - 2 * x[probes] @ x.T
+    d[probes, probes] = np.inf
+    k = min(k, len(rows) - 1)
+    return rows[probes], rows[np.argsort(d, axis=1)[:, :k]]
+
+
 class Index:
     """Rotations, shifts, block borders and cell size; its size doesn't depend on the input."""
 
-    def __init__(self, sample: np.ndarray, rows: int, seed: int = 7, curves: int = CURVES, blocks: int = BLOCKS) -> None:
+    def __init__(self, sample: np.ndarray, seed: int = 7, curves: int = CURVES) -> None:
         rng = np.random.default_rng(seed)
         self.width = sample.shape[1]
         dims = min(DIMS, self.width)
@@ -89,11 +108,16 @@ class Index:
         spread = max(1e-30, spread or float((sample - self.mean).std()))
         self.unit = 10 * spread / (1 << BITS)
         self.shift = rng.uniform(-0.5, 0.5, (curves, dims)) * 2 * spread
-        blocks = max(1, min(blocks, rows // 64))
-        self.borders = []
-        for c in range(curves):
-            keys = np.sort(self.keys(sample, c))
-            self.borders.append(np.unique(keys[[len(keys) * i // blocks for i in range(1, blocks)]]))
+        keys = [self.keys(sample, c) for c in range(curves)]
+        probes, near = neighbours(sample)
+        for blocks in (n for n in LADDER[::-1] if n == 1 or n <= len(sample) // 64):
+            self.borders = [borders(k, blocks) for k in keys]
+            held = np.zeros(near.shape, bool)
+            for k, cut in zip(keys, self.borders):
+                at = np.searchsorted(cut, k, side="right")
+                held |= np.abs(at[near] - at[probes][:, None]) <= 1
+            if not held.size or held.mean() >= RECALL:
+                break
 
     def keys(self, x: np.ndarray, c: int) -> np.ndarray:
         cells = np.floor(((x - self.mean) @ self.turns[c] + self.shift[c]) / self.unit) + (1 << (BITS - 1))
@@ -103,22 +127,30 @@ class Index:
         return np.searchsorted(self.borders[c], self.keys(x, c), side="right")
 
 
+def _kind(vectors: DataFrame) -> str:
+    return "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part."""
-    v = F.col("embedding").cast("array<double>")
+    # Floats stay what they are, all else becomes double.
+    v = F.col("embedding") if _kind(vectors) == "<f4" else F.col("embedding").cast("array<double>")
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     return vectors.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v")).where(sound)
 
 
+FOUND = "query_id long, query long, vec_id long, row long, score double"
+
+
 def _nearest(query: pd.DataFrame, rows: pd.DataFrame, k: int, kind: str) -> pd.DataFrame:
-    """The k best of ``rows`` by exact distance for each query, among those in its own or a neighbouring block of any curve; ties to the smaller id."""
-    none = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("vec_id", "int64"), ("score", "float64"))})
+    """The k best of ``rows`` by exact distance for each query; ties to the smaller id."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
     if not len(query) or not len(rows):
-        return none
-    table = lambda pdf, c, t: np.frombuffer(b"".join(pdf[c]), t).reshape(len(pdf), -1)
-    ids, qs = rows["vec_id"].to_numpy(np.int64), query["vec_id"].to_numpy(np.int64)
-    y, x = table(rows, "vec", kind).astype(np.float64), table(query, "vec", kind).astype(np.float64)
-    y_blocks, x_blocks = np.ascontiguousarray(table(rows, "blocks", np.int16).T), table(query, "blocks", np.int16)
+        return pd.DataFrame({c: np.zeros(0, np.float64 if c == "score" else np.int64) for c in names})
+    table = lambda pdf: np.frombuffer(b"".join(pdf["vec"]), kind).reshape(len(pdf), -1).astype(np.float64)
+    y, x = table(rows), table(query)
+    ids, own = rows["vec_id"].to_numpy(np.int64), rows["row"].to_numpy(np.int64)
+    qs, asked = query["vec_id"].to_numpy(np.int64), query["row"].to_numpy(np.int64)
     found: list[tuple] = []
     with np.errstate(over="ignore", invalid="ignore"):
         norm = (y * y).sum(1)
@@ -129,52 +161,77 @@ def _nearest(query: pd.DataFrame, rows: pd.DataFrame, k: int, kind: str) -> pd.D
             both = (part * part).sum(1)[:, None] + norm[None]
             d = both - 2 * part @ y.T
             for i in range(len(part)):
-                met = (np.abs(y_blocks - x_blocks[at + i][:, None]) <= 1).any(0)
-                near = np.flatnonzero(met & (ids != qs[at + i]))
+                near = np.flatnonzero(ids != qs[at + i])
                 if len(near) > k:
                     row, err = d[i, near], slip * both[i, near]
                     # What is beyond the range of doubles (nan) stays as well.
                     near = near[~(row - err > np.partition(row + err, k - 1)[k - 1])]
                 score = np.sqrt(np.square(y[near] - part[i]).sum(1))
                 best = np.lexsort((ids[near], score))[:k]
-                found.append((np.full(len(best), qs[at + i]), ids[near[best]], score[best]))
-    return pd.DataFrame(dict(zip(none, map(np.concatenate, zip(*found))))) if found else none
-
-
-def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance) for queries whose vec_id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    shape = "query_id long, rank int, vec_id long, score double"
-    data = materialise(usable(vectors), "vectors")
-    n = data.count()
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    if not n:
-        return spark.createDataFrame([], shape)
+                found.append((np.full(len(best), qs[at + i]), np.full(len(best), asked[at + i]), ids[near[best]], own[near[best]], score[best]))
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))))
+
+
+def meetings(rows: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and candidates, each dealt to the (curve, block, chunk, part) in which they meet.
+
+    ``rows`` holds vec_id, vec, row and its ``blocks``, one of each curve.
+    """
+    spark = rows.sparkSession
+    asks = F.col("vec_id") % every == 0
+    places = rows.select("vec_id", "vec", "row", F.posexplode("blocks").alias("curve", "block"))
+    # At most CURVES times the last of LADDER counts.
+    held = {(r.curve, r.block): r for r in places.groupBy("curve", "block").agg(F.count("*").alias("n"), F.count_if(asks).alias("asked")).collect()}
+    deals = []
+    for (curve, block), r in held.items():
+        asked = sum(held[curve, b].asked for b in (block - 1, block, block + 1) if (curve, b) in held)
+        if asked:
+            deals.append((curve, block, -(-r.n // GROUP_ROWS), -(-asked // QUERY_ROWS)))
+    deals = F.broadcast(spark.createDataFrame(deals, "curve int, block int, chunks int, parts int"))
+    around = places.where(asks).withColumn("block", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])))
+    queries = around.join(deals, ["curve", "block"]).select(
+        "vec_id", "vec", "row", "curve", "block", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    )
+    candidates = places.join(deals, ["curve", "block"]).select(
+        "vec_id", "vec", "row", "curve", "block", F.pmod("row", F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    # Columns of their own, for both sides come from one table.
+    return queries.toDF(*queries.columns), candidates
+
+
+def indexed(vectors: DataFrame) -> DataFrame | None:
+    """vec_id, vec (bytes), row (a hash of both) and ``blocks`` of every vector that takes part; None if there is none."""
+    spark, kind = vectors.sparkSession, _kind(vectors)
+    data = materialise(usable(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
+    sample = data.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
+    if not len(sample):
+        release(data)
+        return None
     width = Counter(len(v) for v in sample).most_common(1)[0][0]
-    data = data.where(F.size("v") == width).dropDuplicates(["vec_id", "v"])
-    sample = np.array([v for v in sample if len(v) == width], dtype=np.float64)
-    index = spark.sparkContext.broadcast(Index(sample, n))
-    # Floats travel as they came, all else as doubles.
-    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    index = spark.sparkContext.broadcast(Index(np.array([v for v in sample if len(v) == width], dtype=np.float64)))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.array(batch["v"].tolist(), dtype=np.float64)
-            blocks = np.stack([ix.blocks(x, c) for c in range(len(ix.turns))], 1).astype(np.int16)
-            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "vec": [v.astype(kind).tobytes() for v in x], "blocks": [b.tobytes() for b in blocks]})
-
-    rows = materialise(data.mapInPandas(keyed, "vec_id long, vec binary, blocks binary"), "curves")
-    chunks = -(-n // GROUP_ROWS)
-    candidates = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(chunks)).cast("int"))
-    # Queries are dealt into parts as well, so a task meets one chunk with a bounded part of them.
-    parts = -(-n // (every * QUERY_ROWS))
-    candidates = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("q_part", F.pmod(F.xxhash64("vec", "vec_id", F.lit(1)), F.lit(parts)).cast("int"))
-    queries = queries.withColumn("q_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    shape_found = "query_id long, vec_id long, score double"
-    found = queries.groupBy("q_chunk", "q_part").cogroup(candidates.groupBy("chunk", "part")).applyInPandas(lambda q, r: _nearest(q, r, k, kind), shape_found)
+            if len(batch):
+                x = np.array(batch["v"].tolist(), dtype=np.float64)
+                blocks = np.stack([ix.blocks(x, c) for c in range(len(ix.turns))], 1)
+                yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "vec": [v.astype(kind).tobytes() for v in x], "blocks": blocks.astype(np.int32).tolist()})
+
+    rows = materialise(data.where(F.size("v") == width).mapInPandas(keyed, "vec_id long, vec binary, blocks array<int>"), "curves")
+    release(data)
+    return rows.withColumn("row", F.xxhash64("vec_id", "vec"))
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance) for queries whose vec_id is divisible by ``every``."""
+    rows, kind = indexed(vectors), _kind(vectors)
+    if rows is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries, candidates = meetings(rows, every)
+    spot = ["curve", "block", "chunk", "part"]
+    found = queries.groupBy(*spot).cogroup(candidates.groupBy(*spot)).applyInPandas(lambda q, r: _nearest(q, r, k, kind), FOUND)
+    # A row found on several curves counts once.
+    found = found.groupBy("query_id", "query", "vec_id", "row").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
