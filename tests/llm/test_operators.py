@@ -525,6 +525,57 @@ def test_nearest_neighbours_in_groups_of_near_copies(spark):
     assert np.mean(recall[:10]) >= 0.9 and np.mean(recall[10:]) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_queries_meet_their_blocks_only(spark, clusters):
+    """Distances fall where vectors lie in clusters; recall holds with and without."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    if clusters:
+        x = rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 6000)] + 0.1 * x
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries, candidates = ann.meetings(ann.indexed(d), 100)
+    spot = ["curve", "block", "chunk", "part"]
+    met = queries.groupBy(spot).count().join(candidates.groupBy(spot).agg(F.count("*").alias("rows")), spot).agg(F.sum(F.col("count") * F.col("rows"))).first()[0]
+    got: dict = {}
+    for r in ann.search(d).collect():
+        got.setdefault(r.query_id, []).append(r)
+    recall = []
+    for q in range(0, 6000, 100):
+        far = np.sqrt(np.square(x - x[q]).sum(1))
+        far[q] = np.inf
+        assert [r.rank for r in sorted(got[q], key=lambda r: r.rank)] == list(range(1, 11))
+        assert all(r.score == far[r.vec_id] for r in got[q])
+        recall.append(len({r.vec_id for r in got[q]} & set(np.argsort(far)[:10].tolist())) / 10)
+    print("clusters", clusters, "share of a full search", met / (60 * 6000), "recall@10", np.mean(recall))
+    assert np.mean(recall) >= 0.9
+    assert not clusters or met < 0.4 * 60 * 6000
+
+
+def test_a_common_vector_is_dealt_over_chunks(spark, monkeypatch):
+    """A third of all rows are one vector, some rows repeat, one id has several vectors; nothing is lost."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", 50)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 8))
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[1].tolist())] * 40 + [(1, x[2].tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    _, candidates = ann.meetings(ann.indexed(d), 10)
+    sizes = candidates.groupBy("curve", "block", "chunk", "part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 100
+    got: dict = {}
+    for r in ann.search(d, every=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert set(got) == set(range(0, 900, 10))
+    for q in range(0, 900, 30):
+        want = [i for i in range(0, 900, 3) if i != q][:10]
+        assert [(r.vec_id, r.score) for r in got[q]] == [(i, 0.0) for i in want]
+    for q in got:
+        assert len({(r.vec_id, r.score) for r in got[q]}) == 10
+    none = d.where("vec_id % 10 <> 0")
+    assert ann.search(none, every=10).count() == 0
+
+
 def test_hilbert_neighbours_are_adjacent():
     cells = np.array(list(itertools.product(range(8), repeat=2)))
     order = cells[np.argsort(ann.hilbert_keys(cells, 3))]
@@ -638,11 +689,17 @@ def test_chat_links_calls_to_results(spark):
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.format_turns(d).orderBy("conv_id", "order_key").collect()
     one = [r for r in got if r.conv_id == 1]
-    calls = {r.call_id: (r.linked, r.valid) for r in one if r.role == "assistant" and r.call_id}
+    (asked,) = [r for r in one if r.role == "assistant"]
+    calls = {c.call_id: (c.linked, c.valid) for c in asked.calls}
+    assert (asked.linked, asked.valid) == (False, False)
+    assert asked.message == (
+        '{"content":"wait","role":"assistant","tool_calls":[{"arguments":{"a":1},"id":"x","name":"f"},'
+        '{"arguments":{"c":1},"id":"y","name":"f"},{"arguments":{},"id":"z","name":"g"}]}'
+    )
     assert calls == {"x": (True, True), "y": (False, False), "z": (False, False)}
     assert {r.call_id: r.linked for r in one if r.role == "tool"} == {"x": True, "lost": False}
     assert one[1].message == '{"content":"say \\"hi\\"\\n","role":"user"}'
-    assert [r.role for r in got if r.conv_id == 2] == ["assistant", "assistant", "tool"]
+    assert [r.role for r in got if r.conv_id == 2] == ["assistant", "tool"]
     none = [r for r in got if r.conv_id is None]
     assert none[0].message == '{"content":"","role":"user"}'
 
@@ -687,15 +744,20 @@ def test_chat_links_match_a_brute_force_linker(spark):
                 want.append((conv, t, "tool", x["tool_call_id"], x["tool_call_id"] in first, None))
     rng.shuffle(rows)
     out = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    got = [(r.conv_id, r.turn, r.role, r.call_id, r.linked, None if r.role == "tool" else r.valid) for r in out if r.call_id]
+    got = [(r.conv_id, r.turn, r.role, r.call_id, r.linked, None) for r in out if r.role == "tool"]
+    got += [(r.conv_id, r.turn, r.role, *c) for r in out for c in r.calls or []]
+    assert len(out) == len(rows)
+    for r in out:
+        if r.calls:
+            assert (r.linked, r.valid) == (all(c.linked for c in r.calls), all(c.valid for c in r.calls))
+            assert [c["id"] for c in json.loads(r.message)["tool_calls"]] == [c.call_id for c in r.calls]
     assert sorted(map(str, got)) == sorted(map(str, want))
     # A result comes after its call, and all else in the order of turns.
     for conv in {r.conv_id for r in out}:
         mine = sorted((r for r in out if r.conv_id == conv), key=lambda r: r.order_key)
         place = {}
         for i, r in enumerate(mine):
-            if r.role == "assistant" and r.linked:
-                place[r.call_id] = i
+            place |= {c.call_id: i for c in r.calls or [] if c.linked}
         assert all(place[r.call_id] < i for i, r in enumerate(mine) if r.role == "tool" and r.linked)
         plain = [r.turn for r in mine if r.role == "user"]
         assert plain == sorted(plain)
@@ -729,11 +791,29 @@ def test_chat_checks_types_and_sorts_arguments(spark):
     ]
     calls = [{"id": str(i), "name": n, "arguments": a} for i, (n, a, _, _) in enumerate(cases)]
     rows = [(1, 0, "system", json.dumps(kit)), (1, 1, "assistant", json.dumps({"tool_calls": calls}))]
-    got = {r.call_id: r for r in chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    for i, (name, args, want, valid) in enumerate(cases):
-        r = got[str(i)]
-        assert r.message == f'{{"content":"","role":"assistant","tool_calls":[{{"arguments":{want},"id":"{i}","name":"{name}"}}]}}', args
-        assert json.loads(r.message) and r.valid is valid, args
+    (r,) = [r for r in chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.calls]
+    told = ",".join(f'{{"arguments":{want},"id":"{i}","name":"{name}"}}' for i, (name, _, want, _) in enumerate(cases))
+    assert r.message == f'{{"content":"","role":"assistant","tool_calls":[{told}]}}'
+    assert json.loads(r.message) and [c.call_id for c in r.calls] == [str(i) for i in range(len(cases))]
+    assert [c.valid for c in r.calls] == [valid for *_, valid in cases]
+
+
+def test_chat_odd_rows(spark, monkeypatch):
+    """Empty tables, a very long text, a turn that repeats often, columns whose names clash."""
+    monkeypatch.setattr(chat, "COPIES", 7)
+    shape = "conv_id long, turn long, role string, text string, message int, call_id int, calls int, key int, copies int, piece int, said int"
+    assert chat.format_turns(spark.createDataFrame([], shape)).count() == 0
+    ask = json.dumps({"content": "é" * 300_000, "tool_calls": [{"id": "x", "name": "f", "arguments": {}}, {"id": None, "name": None, "arguments": None}]}, ensure_ascii=False)
+    rows = [(1, 1, "assistant", ask)] * 40 + [(1, 1, "assistant", ask.replace("é", "e")), (1, None, "tool", '{"tool_call_id":"x","content":"' + "y" * 200_000 + '"}'), (None, 3, "user", "a" * 500_000)]
+    rows += [(2, 1, "assistant", '{"tool_calls":[]}'), (2, 1, "assistant", "[]"), (2, 2, "tool", None)]
+    got = chat.format_turns(spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7) for r in rows], shape)).collect()
+    assert len(got) == len(rows)
+    asked = [r for r in got if r.calls]
+    assert len(asked) == 41 and len({r.message for r in asked}) == 2
+    assert all([tuple(c) for c in r.calls] == [("x", True, False), (None, False, False)] for r in asked)
+    assert json.loads(asked[0].message)["tool_calls"][1] == {"arguments": None, "id": "", "name": ""}
+    assert [len(json.loads(r.message)["content"]) for r in got if r.conv_id == 1 and r.role == "tool"] == [200_000]
+    assert {r.message for r in got if r.conv_id == 2 and r.role == "assistant"} == {'{"content":"{\\"tool_calls\\":[]}","role":"assistant"}', '{"content":"[]","role":"assistant"}'}
 
 
 @pytest.mark.parametrize("name", ["op1_license_scan", "op4_quality_rules", "op9_sharding", "op10_chat_formatting"])
