@@ -78,6 +78,13 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("toxicity")
         held = np.zeros(1 << 18, np.int64)
+        codes: list[np.ndarray] = []
+        n = 0
+
+        def add() -> None:
+            held[:] += np.bincount(np.concatenate(codes), minlength=1 << 18)
+            codes.clear()
+
         for batch in batches:
             for text in batch["text"]:
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -85,7 +92,14 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
                     c = CLASSES[np.frombuffer(b"  " + data[max(0, at - 2) : at + (1 << 20)] + b" ", np.uint8)]
                     c = c[2:] if at else c
                     if len(c) > 2:
-                        held += np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=1 << 18)
+                        codes.append((c[:-2] << 12) | (c[1:-1] << 6) | c[2:])
+                        n += len(c)
+                    # The table is as long as many texts together, so these are counted at once.
+                    if n > 1 << 18:
+                        add()
+                        n = 0
+        if codes:
+            add()
         if held.any():
             yield in_parts("triples", held)
 
