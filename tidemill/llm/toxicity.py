@@ -43,7 +43,7 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 STRENGTH = 6.0
-CACHE = 300_000
+CACHE = 100_000
 TOP = 3
 
 #: what a sign may stand for (fixed values)
