@@ -123,6 +123,34 @@ def test_order_statistics_of_odd_columns(spark):
     assert st.described(df.limit(0), ["series_key"]).count() == 0
 
 
+def test_cumulated_counts_do_not_hang_on_the_order_of_rows(spark):
+    """Each evaluation of the plan must cut a column at the same values, or its parts do not fit together."""
+    n = 400_000
+    rows = spark.range(n, numPartitions=16).select(F.lit("s").alias("series_key"), F.lit("x").alias("column"), F.when(F.xxhash64("id") % 2 == 0, "current").otherwise("reference").alias("window"), (F.col("id") * 7919 % n / 7.0).alias("value"))
+    counts = st.counted(rows, ["series_key"])
+    run = st.placed(counts, ["series_key", "column"])
+    assert "percentile_approx" not in run._jdf.queryExecution().optimizedPlan().toString()
+    got = run.orderBy("value").select("n_reference", "c_reference", "n_current", "c_current").toPandas()
+    assert (got.n_reference.cumsum() == got.c_reference).all() and (got.n_current.cumsum() == got.c_current).all()
+    cuts = [st._cuts(c, ["series_key", "column"], 16).first().cuts for c in (counts, counts.orderBy("value"), counts.orderBy(F.desc("value")))]
+    assert len(cuts[0]) == 15 and cuts[0] == cuts[1] == cuts[2] and cuts[0] == sorted(set(cuts[0]))
+
+
+def test_ranges_grow_with_the_values_and_find_every_one(spark, monkeypatch):
+    monkeypatch.setattr(st, "SPARSE", 4)
+    monkeypatch.setattr(st, "RANGE", 50)
+    rows = [(k, "x", ("reference", "current")[i % 3 == 0], float((i * 37) % m) - m / 2) for k, m in (("none", 1), ("few", 9), ("many", 3000)) for i in range(2 * m)]
+    counts = st.counted(spark.createDataFrame(rows, "series_key string, column string, window string, value double"), ["series_key"])
+    cuts = {r.series_key: r.cuts for r in st._cuts(counts, ["series_key", "column"], 4).collect()}
+    assert len(cuts["many"]) == 59 and len(cuts["few"]) <= 3 and len(cuts["none"]) <= 1
+    for buckets in (1, 4, 100):
+        got = st.placed(counts, ["series_key", "column"], buckets).orderBy("series_key", "value").toPandas()
+        assert len(got) == 3010
+        for s in ("reference", "current"):
+            assert (got.groupby("series_key")[f"n_{s}"].cumsum() == got[f"c_{s}"]).all()
+            assert (got.groupby("series_key")[f"n_{s}"].transform("sum") == got[f"all_{s}"]).all()
+
+
 # -- upserts
 
 

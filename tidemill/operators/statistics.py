@@ -19,8 +19,10 @@ from ..specs import Thresholds
 SIDES = ("reference", "current")
 #: quantiles that summaries show
 SHOWN = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
-#: ranges of values that one column is dealt into
+#: ranges of values that one column is dealt into, if it has values enough
 BUCKETS = 16
+#: distinct values a range may hold before there are more ranges, and of how many values one is looked at to cut them
+RANGE, SPARSE = 200_000, 1024
 
 
 def long_form(df: DataFrame, columns: list[str], keys: list[str], window: str = "window") -> DataFrame:
@@ -40,24 +42,51 @@ def counted(long: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataF
     return long.groupBy(*keys, *by, "column", "value").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
 
 
+def _cuts(counts: DataFrame, group: list[str], buckets: int) -> DataFrame:
+    """(group, cuts, steps): where each column's distinct values are cut into ranges of near equal numbers, and the steps to find a range by halving.
+
+    The values looked at are chosen by their hash, so the cuts follow from the set of values
+    alone: every evaluation of the plan has the same ones, in whatever order rows arrive.
+    """
+    found = counts.groupBy(*group).agg(
+        F.count("*").alias("n_values"),
+        F.array_sort(F.collect_list(F.when(F.xxhash64("value") % SPARSE == 0, F.col("value")))).alias("some"),
+    )
+    number = F.least(F.size("some") + 1, F.greatest(F.lit(buckets), F.ceil(F.col("n_values") / RANGE)))
+    found = found.withColumn("number", number.cast("long"))
+    place = lambda i: (i * F.size("some") / F.col("number")).cast("int")
+    cuts = F.when(F.col("number") > 1, F.transform(F.sequence(F.lit(1).cast("long"), F.col("number") - 1), lambda i: F.get("some", place(i)))).otherwise(F.array().cast("array<double>"))
+    most = F.ceil(F.log2(F.col("number"))).cast("int")
+    return found.select(*group, cuts.alias("cuts"), F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")).alias("steps"))
+
+
 def placed(counts: DataFrame, group: list[str], buckets: int = BUCKETS) -> DataFrame:
     """``counts`` with ``c_reference`` and ``c_current``, the rows not above the value, and each column's totals.
 
-    A column's distinct values are cut into ``buckets`` ranges of near equal numbers, each
-    cumulated by itself and shifted by the ranges before it, so one column is spread over
-    that many tasks and none of them holds it whole.
+    A column's distinct values are cut into ranges of near equal numbers, ``buckets`` or as many
+    as hold ``RANGE`` values each, every one cumulated by itself and shifted by the ranges before
+    it. Rows are shuffled by their range, so no task holds a column whole.
     """
-    base = counts.groupBy(*group).agg(
-        *[F.sum(f"n_{s}").alias(f"all_{s}") for s in SIDES],
-        *[(F.sum(F.col("value") * F.col(f"n_{s}")) / F.nullif(F.sum(f"n_{s}"), F.lit(0))).alias(f"mean_{s}") for s in SIDES],
-        F.count_if(F.col("n_reference") > 0).alias("n_levels"),
-        F.percentile_approx("value", [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("cuts"),
+    bucket = F.aggregate("steps", F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) <= F.col("value"), at + step).otherwise(at))
+    rows = counts.join(_cuts(counts, group, buckets), group).select(*group, "value", *[f"n_{s}" for s in SIDES], bucket.alias("bucket"))
+    # By group alone, as the join leaves them, a column would be cumulated in one task.
+    rows = rows.repartition(*group, "bucket")
+    per = rows.groupBy(*group, "bucket").agg(
+        *[F.sum(f"n_{s}").alias(f"b_{s}") for s in SIDES],
+        *[F.sum(F.col("value") * F.col(f"n_{s}")).alias(f"v_{s}") for s in SIDES],
+        F.count_if(F.col("n_reference") > 0).alias("b_levels"),
+    )
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = {s: F.sum(f"b_{s}").over(whole) for s in SIDES}
+    per = per.select(
+        *group,
+        "bucket",
+        *[F.coalesce(F.sum(f"b_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in SIDES],
+        *[all_[s].alias(f"all_{s}") for s in SIDES],
+        *[(F.sum(f"v_{s}").over(whole) / F.nullif(all_[s], F.lit(0))).alias(f"mean_{s}") for s in SIDES],
+        F.sum("b_levels").over(whole).alias("n_levels"),
     )
-    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("value"))) if buckets > 1 else F.lit(0)
-    rows = counts.join(base, group).withColumn("bucket", bucket).drop("cuts")
-    per = rows.groupBy(*group, "bucket").agg(*[F.sum(f"n_{s}").alias(f"b_{s}") for s in SIDES])
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*group, "bucket", *[F.coalesce(F.sum(f"b_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in SIDES])
     within = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumns({f"c_{s}": F.sum(f"n_{s}").over(within) for s in SIDES}).join(per, [*group, "bucket"])
     return run.withColumns({f"c_{s}": F.col(f"c_{s}") + F.col(f"before_{s}") for s in SIDES}).drop("bucket", *[f"before_{s}" for s in SIDES])
