@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions import core
 from tidemill.operators import backtest, design, drift, models, panel, timeline, trees
 from tidemill.operators import statistics as st
 from tidemill.sources import lake
@@ -151,6 +152,12 @@ def test_ranges_grow_with_the_values_and_find_every_one(spark, monkeypatch):
             assert (got.groupby("series_key")[f"n_{s}"].transform("sum") == got[f"all_{s}"]).all()
 
 
+def test_labels_round_ties_to_the_even_digit(spark):
+    x = [1234.5, 1235.5, 12345.0, 12355.0, 123.25, -1234.5, 2.5, 0.0, 99985.0, 1234.51, 1e15, 0.5, 31.25, 10.0625]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(core.bin_label("x", F.lit(float("inf")))).collect()
+    assert [r[0] for r in got] == [f"[{v:.4g}, inf)" for v in x]
+
+
 # -- upserts
 
 

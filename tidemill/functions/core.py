@@ -154,8 +154,15 @@ def ks_p_value(d: str | Column, n1: str | Column, n2: str | Column) -> Column:
 def bin_label(lo: str | Column, hi: str | Column) -> Column:
     """``[lo, hi)`` to four significant digits, for display only."""
 
+    def even(x: Column) -> Column:
+        """``x``, but just below where it lies exactly between an even fourth digit and the next: ties go to the even one, as in C, not up."""
+        places = 4 - F.floor(F.log10(F.abs(x)))
+        digits = F.abs(x) * F.pow(F.lit(10.0), places)
+        tie = (digits % 20 == 5) & (digits / F.pow(F.lit(10.0), places) == F.abs(x)) & (digits % F.pow(F.lit(5.0), F.greatest(places, F.lit(0))) == 0)
+        return F.when(tie, F.signum(x) * (digits - 1) / F.pow(F.lit(10.0), places)).otherwise(x)
+
     def short(x: Column) -> Column:
-        text = F.format_string("%.4g", x)
+        text = F.format_string("%.4g", even(x))
         bare = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
         return F.when(x == INF, F.lit("inf")).when(x == -INF, F.lit("-inf")).otherwise(bare)
 
