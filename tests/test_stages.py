@@ -158,6 +158,33 @@ def test_labels_round_ties_to_the_even_digit(spark):
     assert [r[0] for r in got] == [f"[{v:.4g}, inf)" for v in x]
 
 
+def test_a_large_column_is_shuffled_by_its_ranges(spark):
+    """Large tables are planned with a shuffle by column, and the join is broadcast once the cuts are known; the ranges must not stay by column."""
+    text = lambda k: (F.col("id") % k).cast("string")
+    rows = spark.range(1000).select(text(2).alias("series_key"), text(3).alias("column"), text(5).alias("window"), (F.col("id") / 7.0).alias("value"))
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        plan = st.placed(st.counted(rows, ["series_key"]), ["series_key", "column"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    # The window that cumulates a range's values stands on a shuffle by range.
+    at = next(i for i, line in enumerate(plan) if "Window [" in line and "value#" in line.split("ASC")[0] and "bucket#" in line)
+    assert "bucket#" in next(line for line in plan[at:] if "Exchange" in line)
+
+
+def test_sizes_that_a_user_has_chosen_stand(spark):
+    from tidemill.session import SIZES, ensure_sizes
+
+    other = spark.newSession()
+    a, b = SIZES
+    other.conf.set(a, "64m")
+    ensure_sizes(other)
+    assert other.conf.get(a) == "64m" and other.conf.get(b) == SIZES[b][1]
+
+
 # -- upserts
 
 
