@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import os
+import re
 import tempfile
 
 import numpy as np
@@ -175,6 +176,46 @@ def test_a_large_column_is_shuffled_by_its_ranges(spark):
     assert "bucket#" in next(line for line in plan[at:] if "Exchange" in line)
 
 
+def _joins_by_column_alone(plan: str) -> list[str]:
+    """Joins of counted values, by the plan, on a column's keys alone."""
+    joins = [re.search(r"Join \[(.*?)\], \[", line) for line in plan.splitlines() if "Join [" in line]
+    return [j[0] for j in joins if j and not re.search("bucket#|part#|bin#", j[1])]
+
+
+@pytest.mark.parametrize("of", ["quantile_edges", "summarise", "histogram"])
+def test_no_join_sorts_a_column_whole(spark, of):
+    """Where joins are not broadcast, one by column alone leaves all its values to one task's sort."""
+    rows = spark.range(1000).selectExpr("string(id % 2) series_key", "string(id % 3) column", "if(id % 5 < 2, 'current', 'reference') window", "id / 7.0D value")
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        plan = getattr(st, of)(rows, ["series_key"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert "SortMergeJoin" in plan and not _joins_by_column_alone(plan)
+
+
+def test_no_task_counts_the_bins_of_a_column_whole(spark):
+    """Values of a single column meet their bins range by range, and every one is counted."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit("s").alias("series_key"), F.lit("x").alias("column"), F.when(F.col("id") % 3 == 0, "current").otherwise("reference").alias("window"), (F.col("id") * 7919 % n / 7.0).alias("value"))
+    counts, group = st.counted(rows, ["series_key"]), ["series_key", "column"]
+    sizes = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    met, _ = st.binned(st.ranged(counts, group), st.described(counts, ["series_key"]), ["series_key"])
+    most = met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    for k in sizes:
+        spark.conf.unset(k)
+    assert met.count() == n and most < 0.6 * n
+    h = st.histogram(rows, ["series_key"]).agg(F.count("*"), F.sum("n_reference"), F.sum("n_current")).first()
+    assert tuple(h) == (10, n - (n + 2) // 3, (n + 2) // 3)
+    got = st.psi(rows, ["series_key"], detail=True).first()
+    assert got.bins == 10 and sum(b.n_reference + b.n_current for b in got.psi_bins) == n
+
+
 def test_sizes_that_a_user_has_chosen_stand(spark):
     from tidemill.session import SIZES, ensure_sizes
 

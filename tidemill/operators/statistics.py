@@ -23,6 +23,8 @@ SHOWN = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
 BUCKETS = 16
 #: distinct values a range may hold before there are more ranges, and of how many values one is looked at to cut them
 RANGE, SPARSE = 200_000, 1024
+#: parts that a column's values are dealt into by hash until their ranges are known
+PARTS = 64
 
 
 def long_form(df: DataFrame, columns: list[str], keys: list[str], window: str = "window") -> DataFrame:
@@ -42,8 +44,12 @@ def counted(long: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataF
     return long.groupBy(*keys, *by, "column", "value").agg(*[F.count_if(_is(s)).alias(f"n_{s}") for s in SIDES])
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64("value"), F.lit(PARTS))
+
+
 def _cuts(counts: DataFrame, group: list[str], buckets: int) -> DataFrame:
-    """(group, cuts, steps): where each column's distinct values are cut into ranges of near equal numbers, and the steps to find a range by halving.
+    """(group, parts, cuts, steps): the parts a column's values lie in, where its distinct values are cut into ranges of near equal numbers, and the steps to find a range by halving.
 
     The values looked at are chosen by their hash, so the cuts follow from the set of values
     alone: every evaluation of the plan has the same ones, in whatever order rows arrive.
@@ -51,26 +57,36 @@ def _cuts(counts: DataFrame, group: list[str], buckets: int) -> DataFrame:
     found = counts.groupBy(*group).agg(
         F.count("*").alias("n_values"),
         F.array_sort(F.collect_list(F.when(F.xxhash64("value") % SPARSE == 0, F.col("value")))).alias("some"),
+        F.collect_set(_part()).alias("parts"),
     )
     number = F.least(F.size("some") + 1, F.greatest(F.lit(buckets), F.ceil(F.col("n_values") / RANGE)))
     found = found.withColumn("number", number.cast("long"))
     place = lambda i: (i * F.size("some") / F.col("number")).cast("int")
     cuts = F.when(F.col("number") > 1, F.transform(F.sequence(F.lit(1).cast("long"), F.col("number") - 1), lambda i: F.get("some", place(i)))).otherwise(F.array().cast("array<double>"))
     most = F.ceil(F.log2(F.col("number"))).cast("int")
-    return found.select(*group, cuts.alias("cuts"), F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")).alias("steps"))
+    return found.select(*group, "parts", cuts.alias("cuts"), F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")).alias("steps"))
 
 
-def placed(counts: DataFrame, group: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """``counts`` with ``c_reference`` and ``c_current``, the rows not above the value, and each column's totals.
+def ranged(counts: DataFrame, group: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``counts`` with ``bucket``, the number of the value's range from 0, shuffled by range.
 
     A column's distinct values are cut into ranges of near equal numbers, ``buckets`` or as many
-    as hold ``RANGE`` values each, every one cumulated by itself and shifted by the ranges before
-    it. Rows are shuffled by their range, so no task holds a column whole.
+    as hold ``RANGE`` values each. Cuts meet the values part by part: joined by column alone,
+    one task would sort a column whole wherever the join is not broadcast.
     """
     bucket = F.aggregate("steps", F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) <= F.col("value"), at + step).otherwise(at))
-    rows = counts.join(_cuts(counts, group, buckets), group).select(*group, "value", *[f"n_{s}" for s in SIDES], bucket.alias("bucket"))
-    # By group alone, as the join leaves them, a column would be cumulated in one task.
-    rows = rows.repartition(*group, "bucket")
+    cuts = _cuts(counts, group, buckets).withColumn("part", F.explode("parts"))
+    rows = counts.withColumn("part", _part()).join(cuts, [*group, "part"])
+    return rows.select(*group, "value", *[f"n_{s}" for s in SIDES], bucket.alias("bucket")).repartition(*group, "bucket")
+
+
+def placed(counts: DataFrame, group: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``counts`` with ``c_reference`` and ``c_current``, the rows not above the value, and each column's totals.
+
+    Every range is cumulated by itself and shifted by the ranges before it, so no task holds a
+    column whole.
+    """
+    rows = ranged(counts, group, buckets)
     per = rows.groupBy(*group, "bucket").agg(
         *[F.sum(f"n_{s}").alias(f"b_{s}") for s in SIDES],
         *[F.sum(F.col("value") * F.col(f"n_{s}")).alias(f"v_{s}") for s in SIDES],
@@ -86,6 +102,7 @@ def placed(counts: DataFrame, group: list[str], buckets: int = BUCKETS) -> DataF
         *[all_[s].alias(f"all_{s}") for s in SIDES],
         *[(F.sum(f"v_{s}").over(whole) / F.nullif(all_[s], F.lit(0))).alias(f"mean_{s}") for s in SIDES],
         F.sum("b_levels").over(whole).alias("n_levels"),
+        (F.max("bucket").over(whole) + 1).alias("ranges"),
     )
     within = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumns({f"c_{s}": F.sum(f"n_{s}").over(within) for s in SIDES}).join(per, [*group, "bucket"])
@@ -110,6 +127,7 @@ def described(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), bi
     """One row a column with all that its counted values tell: one aggregate over the cumulated values.
 
     n, mean and std of both windows, their quantiles (``SHOWN``), ``ks_d``, ``n_levels``,
+    ``ranges`` (how many ``ranged`` cuts the column into),
     ``levels`` (the reference's, where these are at most ``max_categorical_levels``), and
     ``edges``: the reference's interpolated quantiles, equal ones collapsed, ends open.
     """
@@ -121,7 +139,7 @@ def described(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), bi
         shown |= {f"{s}_{name}": q.ask(s, p) for name, p in SHOWN.items()}
     off = lambda s: F.col("value") - F.col(f"mean_{s}")
     few = (F.col("n_levels") <= t.max_categorical_levels) & (F.col("n_reference") > 0)
-    totals = ["n_levels", *[f"{c}_{s}" for c in ("all", "mean") for s in SIDES]]
+    totals = ["n_levels", "ranges", *[f"{c}_{s}" for c in ("all", "mean") for s in SIDES]]
     found = run.groupBy(*group, *totals).agg(
         *q.aggregates,
         *[F.sum(off(s) * off(s) * F.col(f"n_{s}")).alias(f"square_{s}") for s in SIDES],
@@ -139,6 +157,7 @@ def described(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), bi
         *[std(s).alias(f"std_{s}") for s in SIDES],
         *[F.expr(c).alias(name) for name, c in shown.items()],
         "n_levels",
+        "ranges",
         F.when(F.col("n_levels").between(1, t.max_categorical_levels), F.col("held")).alias("levels"),
         F.when(F.col("n_levels") > 0, edges).alias("edges"),
         F.coalesce("gap", F.lit(0.0)).alias("ks_d"),
@@ -160,11 +179,12 @@ def binned(rows: DataFrame, plan: DataFrame, keys: list[str]) -> tuple[DataFrame
 
     A column with levels has a bin for each, and bin 0 for values the reference lacks;
     any other has a bin between each two quantile edges. The bins' table has a few
-    dozen rows a column.
+    dozen rows a column. Rows of ``ranged`` meet the plan of the same counts range by range.
     """
     group = [*keys, "column"]
-    plan = plan.where("edges is not null").select(*group, "levels", F.when(F.col("levels").isNull(), F.col("edges")).alias("edges"))
-    rows = rows.join(plan, group)
+    each = [F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)).alias("bucket")] if "bucket" in rows.columns else []
+    plan = plan.where("edges is not null").select(*group, "levels", F.when(F.col("levels").isNull(), F.col("edges")).alias("edges"), *(["ranges"] if each else []))
+    rows = rows.join(plan.select(*group, "levels", "edges", *each), [*group, *(["bucket"] if each else [])]).drop("bucket")
     level = F.array_position("levels", F.col("value")).cast("int")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     number = F.size(F.filter(inner, lambda e: e <= F.col("value"))) + 1
@@ -183,8 +203,8 @@ def binned(rows: DataFrame, plan: DataFrame, keys: list[str]) -> tuple[DataFrame
 def histogram(long: DataFrame, keys: list[str], t: Thresholds = Thresholds(), plan: DataFrame | None = None) -> DataFrame:
     """Counts of both windows in every bin, zeros included; ``plan`` is what ``described`` gave, if that is there already."""
     counts = counted(long, keys)
-    rows, bins = binned(counts, described(counts, keys, t) if plan is None else plan, keys)
     group = [*keys, "column"]
+    rows, bins = binned(ranged(counts, group), described(counts, keys, t), keys) if plan is None else binned(counts, plan, keys)
     found = rows.groupBy(*group, "bin").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SIDES])
     out = bins.join(found, [*group, "bin"], "left")
     return out.withColumns({f"n_{s}": F.coalesce(f"n_{s}", F.lit(0).cast("long")) for s in SIDES})
@@ -211,8 +231,8 @@ def _with_psi(counts: DataFrame, plan: DataFrame, keys: list[str], t: Thresholds
     Each column's bins come together as one array, absent ones with zeros, so terms need no
     further grouping: ``plan`` is met once by the values and once by their few counts.
     """
-    rows, _ = binned(counts, plan, keys)
     group = [*keys, "column"]
+    rows, _ = binned(ranged(counts, group), plan, keys)
     found = rows.groupBy(*group, "bin").agg(*[F.sum(f"n_{s}").alias(f"b_{s}") for s in SIDES])
     found = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*[f"b_{s}" for s in SIDES])))).alias("found"))
     cut = F.greatest(F.size("edges") - 1, F.lit(0))
