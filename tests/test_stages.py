@@ -226,6 +226,47 @@ def test_sizes_that_a_user_has_chosen_stand(spark):
     assert other.conf.get(a) == "64m" and other.conf.get(b) == SIZES[b][1]
 
 
+def test_a_row_group_is_not_counted_by_one_task(spark, monkeypatch):
+    """One task reads a row group whole, however large; its values must be dealt out before they are counted."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidemill import session
+    from tidemill.plans import queries, tables
+
+    n, path = 40_000, folder()
+    price = np.random.default_rng(8).permutation(n) / 7.0
+    columns = {
+        "l_orderkey": np.arange(n) // 4, "l_linenumber": np.arange(n) % 4, "l_quantity": np.ones(n), "l_extendedprice": price, "l_discount": np.zeros(n), "l_tax": np.zeros(n),
+        "l_returnflag": ["N"] * n, "l_shipdate": np.full(n, np.datetime64("1995-01-01", "us")),
+    }
+    pq.write_table(pa.table(columns), f"{path}/lineitem.parquet", row_group_size=n)
+    monkeypatch.setattr(session, "ROWS", 5000)
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = tables.price_columns(other, path)
+    held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == n and len(held) == 8 and max(held) < 2 * 5000
+    edges = sorted(r.edge for r in queries.quantile_edges(other, path).where("column = 'l_extendedprice'").collect())
+    assert edges == [round(float(x), 4) for x in np.quantile(price, np.arange(1, 10) / 10)]
+    # Rows alike but for their keys are dealt out, too.
+    pq.write_table(pa.table(columns | {"l_extendedprice": np.ones(n)}), f"{path}/lineitem.parquet", row_group_size=n)
+    held = [r["count"] for r in tables.price_columns(other, path).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == n and max(held) < 2 * 5000
+
+
+def test_shuffles_of_a_large_table_begin_with_more_parts(spark):
+    from tidemill.session import _FIRST, ROWS, dealt, ensure_sizes
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "12")
+    for rows, parts in ((12 * ROWS, None), (12 * ROWS + 1, "13"), (72 * ROWS, "72"), (20 * ROWS, "72")):
+        ensure_sizes(other, rows)
+        assert other.conf.get(_FIRST, None) == parts
+    few = other.range(10)
+    assert dealt(few, ROWS, "id") is few and dealt(few, 10**9, "id").rdd.getNumPartitions() == 200
+
+
 # -- upserts
 
 

@@ -10,7 +10,7 @@ from ..operators.backtest import add_errors
 from ..operators.design import lagged
 from ..operators.drift import split_windows
 from ..operators.panel import add_calendar, build_panel, hour_grid
-from ..session import ensure_sizes, ensure_utc
+from ..session import dealt, ensure_sizes, ensure_utc
 from ..specs import SeriesSpec, Thresholds, WindowSpec
 
 #: thirty days of events allow short lags only
@@ -95,7 +95,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items in two windows by ship date, with numeric columns."""
-    li = table(ensure_sizes(spark), sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem")
+    n = li.count()  # from the files' footers
+    ensure_sizes(spark, n)
+    li = dealt(li, n, "l_orderkey", "l_linenumber")
     window = F.when(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz"), "reference").otherwise("current")
     return li.select("l_returnflag", window.alias("window"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("l_linenumber"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from math import ceil
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: times are UTC; the plan is adapted at run time, hot keys included
 DEFAULTS = {
@@ -19,6 +21,12 @@ SIZES = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "16m"),
 }
 
+#: rows of a table whose values one task counts
+ROWS = 500_000
+#: Spark writes up to so many parts straight to files; of more, a task holds its rows in memory first
+STREAMED = 200
+_FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 def get_session(name: str = "tidemill", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
@@ -34,9 +42,25 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_sizes(spark: SparkSession) -> SparkSession:
-    """Tasks of bounded memory, however large the tables; sizes that a user has chosen stand."""
+def ensure_sizes(spark: SparkSession, rows: int = 0) -> SparkSession:
+    """Tasks of bounded memory, however large the tables; sizes that a user has chosen stand.
+
+    Shuffles begin with at least a part for each ``ROWS`` of ``rows``; small parts are merged again.
+    """
     for k, (default, size) in SIZES.items():
         if spark.conf.get(k) == default:
             spark.conf.set(k, size)
+    parts = ceil(rows / ROWS)
+    if parts > int(spark.conf.get(_FIRST, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(_FIRST, str(parts))
     return spark
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` of so many rows dealt by ``by`` to tasks of about ``ROWS`` each.
+
+    One task reads a row group of a file whole, however large; what it reads it would count, with
+    every distinct value in its memory.
+    """
+    parts = min(ceil(rows / ROWS), STREAMED)
+    return df.repartition(parts, *by) if parts > 1 else df
