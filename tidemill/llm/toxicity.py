@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -43,7 +43,9 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 STRENGTH = 6.0
-CACHE = 100_000
+CACHE = 20_000  #: readings of disguised tokens past which a task begins anew
+SLICE = 1 << 20  #: characters of texts whose words are looked up together
+LONG = 64  #: bytes of a word whose features are found with those of many others
 TOP = 3
 
 #: what a sign may stand for (fixed values)
@@ -52,8 +54,11 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "(": "c",
 }
 CHANNEL, COLLAPSE = -1.0, -0.5
+EDGE = "!\"#%&'()*+,-./:;<=>?[\\]^`{|}~"  #: signs that _BARE takes off at either end
 _BARE = re.compile(r"^[^\w@$]+|[^\w$]+$")
 _SPACED = re.compile(r"(?<![\w@$])(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?!\w)")
+#: the end of every run that _SPACED finds, and little else: looked for first, as most texts hold none
+_APART = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}[^\W_](?![^\W_])")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 _SIGN = re.compile(r"[0-9@$!|+*(]")
@@ -70,6 +75,17 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+KINDS = bytes(CLASSES.tolist())  #: the same, for bytes.translate
+
+
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+CRC = _crc_table()  #: zlib's crc32, a byte at a time
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -117,6 +133,8 @@ class Restorer:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
+        self.held = memoryview(np.ascontiguousarray(model))  # gives plain floats
+        self.read: dict[str, list[str]] = {}
 
     def lattice(self, token: str) -> Iterator[list[tuple[str, float]]]:
         i = 0
@@ -135,20 +153,21 @@ class Restorer:
     def best(self, token: str) -> tuple[str, float]:
         """The likeliest reading and its log probability with both borders.
 
-        A state holds (the reading before, its last part), not a growing string, so
-        the work is linear in the token's length.
+        A state is the last two classes; it holds (the reading before, its last part),
+        not a growing string, so the work is linear in the token's length.
         """
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        held = self.held
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for slot in chain(self.lattice(token), [[(" ", 0.0)]]):
-            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (score, said) in states.items():
-                for out, cost in slot:
-                    x, y, s = a, b, score + cost
-                    for byte in out.encode("utf-8", "surrogatepass"):
-                        z = int(CLASSES[byte])
-                        s += float(self.model[(x << 12) | (y << 6) | z])
-                        x, y = y, z
-                    key = (x, y)
+            ways = [(out, cost, out.encode("utf-8", "surrogatepass").translate(KINDS)) for out, cost in slot]
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, said) in states.items():
+                for out, cost, kinds in ways:
+                    key, s = state, score + cost
+                    for z in kinds:
+                        triple = key << 6 | z
+                        s += held[triple]
+                        key = triple & 4095
                     if key not in new or s > new[key][0]:
                         new[key] = (s, (said, out))
             states = new
@@ -184,13 +203,23 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text, lower-cased; longer letter runs are read as well."""
-        text = text.lower()
-        out: set[str] = set()
-        for c in set(text.split()):
-            out.update(self.chunk(c))
-        for m in _SPACED.finditer(text):
-            out.update(parts(self.spaced(m.group())))
-        return out
+        return self.words_of([text.lower()])[0]
+
+    def words_of(self, texts: list[str]) -> list[set[str]]:
+        """``words`` of each of some lower-cased texts. A chunk that several hold is looked at once."""
+        each = [chunks(t) for t in texts]
+        others = disguised(set().union(*each))
+        if len(self.read) > CACHE:
+            self.read.clear()
+        for c in others - self.read.keys():
+            self.read[c] = self.chunk(c)
+        for text, words in zip(texts, each):
+            if found := words & others:
+                words -= found
+                words.update(chain.from_iterable(self.read[c] for c in found))
+            for run in runs(text):
+                words.update(parts(self.spaced(run)))
+        return each
 
     def chunk(self, chunk: str) -> list[str]:
         """The words of one run of characters without blanks."""
@@ -200,6 +229,38 @@ class Restorer:
         return parts(self.token(bare)) if bare else []
 
 
+def chunks(text: str) -> set[str]:
+    """The distinct runs of characters without blanks, without the signs around them."""
+    return {c.strip(EDGE) for c in set(text.split())}
+
+
+def disguised(those: set[str]) -> set[str]:
+    """The chunks that may not be one word as it stands: all but letters alone, none three times in a row."""
+    plain = [c for c in those if c.isalpha()]
+    at = np.frombuffer(" ".join(plain).encode("utf-32-le"), np.uint32)
+    thrice = np.flatnonzero((at[2:] == at[1:-1]) & (at[1:-1] == at[:-2]))
+    return those.difference(plain) | {plain[i] for i in np.cumsum(at == 32)[thrice].tolist()}
+
+
+def slices(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """The texts in lower case, in lists of about SLICE characters."""
+    held: list[str] = []
+    n = 0
+    for text in texts:
+        held.append((text or "").lower())
+        n += len(held[-1])
+        if n >= SLICE:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def runs(text: str) -> list[str]:
+    """The runs of letters set apart."""
+    return [m.group() for m in _SPACED.finditer(text)] if _APART.search(text) else []
+
+
 def parts(text: str) -> list[str]:
     return [p for p in re.split(r"[\W_]+", text) if p]
 
@@ -209,6 +270,41 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
 
 
+def features_of(words: list[str]) -> np.ndarray:
+    """``features`` of each of many words, a row a word; the first stands again where a word is too short for others."""
+    coded = [w.encode("utf-8", "surrogatepass") + b"$" for w in words]
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    out = np.full((len(coded), 1 + len(PREFIXES)), -1, np.int64)
+    for i in np.flatnonzero(size > LONG).tolist():
+        at = features(words[i])
+        out[i, : len(at)] = at
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] <= LONG]  # long words first, so that those with a further byte stand in front
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    crc, chars = np.full(len(order), 0xFFFFFFFF, np.uint32), np.zeros(len(order), np.int64)
+    for j in range(size[0] if len(size) else 0):
+        n = int(np.searchsorted(-size, -j))
+        byte, held = data[start[:n] + j], crc[:n]
+        begins = (byte & 0xC0) != 0x80
+        if j <= 4 * PREFIXES[-1]:
+            for k, length in enumerate(PREFIXES, 1):
+                at = np.flatnonzero(begins & (chars[:n] == length))
+                out[order[at], k] = (held[at] ^ 0xFFFFFFFF) % BUCKETS
+        chars[:n] += begins
+        crc[:n] = CRC[(held ^ byte) & 0xFF] ^ held >> 8
+    out[order, 0] = (crc ^ 0xFFFFFFFF) % BUCKETS
+    return np.where(out < 0, out[:, :1], out)
+
+
+def rows_of(each: list[set[str]]) -> Iterator[np.ndarray]:
+    """The rows of ``features_of`` of the words of each of some texts."""
+    words = list(set().union(*each))
+    table, index = features_of(words), {w: i for i, w in enumerate(words)}
+    for found in each:
+        yield table[np.fromiter(map(index.__getitem__, found), np.int64, len(found))]
+
+
 def evidence(bad, seen, base: float):
     """Log odds of a feature against the base rate, shrunk towards it."""
     rate = (bad + STRENGTH * base) / (seen + STRENGTH)
@@ -217,8 +313,9 @@ def evidence(bad, seen, base: float):
 
 def summary(weights: list[float]) -> np.ndarray:
     """A document's evidence: its strongest words, how many are strong, how many there are."""
-    top = sorted(weights, reverse=True)[:TOP] + [0.0] * TOP
-    return np.array([1.0, *[max(0.0, x) for x in top[:TOP]], np.log1p(sum(w > 2.0 for w in weights)), np.log1p(len(weights))])
+    strong = [w for w in weights if w > 2.0]
+    top = sorted(strong if len(strong) >= TOP else weights, reverse=True)[:TOP] + [0.0] * TOP
+    return np.array([1.0, *[max(0.0, x) for x in top[:TOP]], np.log1p(len(strong)), np.log1p(len(weights))])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -240,32 +337,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 class Scorer:
     def __init__(self, model, bad, seen, base, weights) -> None:
         self.restorer, self.base, self.weights = Restorer(model), base, weights
-        self.table = evidence(bad, seen, base).tolist() if base else None
-        self.cache: dict[str, tuple[tuple[str, float], ...]] = {}
-
-    def chunk(self, chunk: str) -> tuple[tuple[str, float], ...]:
-        return tuple((w, self.word(w)) for w in self.restorer.chunk(chunk))
-
-    def word(self, word: str) -> float:
-        return max(map(self.table.__getitem__, features(word)))
+        self.table = evidence(bad, seen, base) if base else None
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
         if self.table is None:
-            return 0.0
-        text = (text or "").lower()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, found = self.cache, {}
-        for c in set(text.split()):
-            got = cache.get(c)
-            if got is None:
-                got = cache[c] = self.chunk(c)
-            found.update(got)
-        for m in _SPACED.finditer(text):
-            if w := self.restorer.spaced(m.group()):
-                found[w] = self.word(w)
-        z = float(summary(list(found.values())) @ self.weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield from (0.0 for _ in texts)
+            return
+        for some in slices(texts):
+            each = self.restorer.words_of(some)
+            words = list(set().union(*each))
+            known = dict(zip(words, self.table[features_of(words)].max(1).tolist()))
+            for found in each:
+                z = float(summary(list(map(known.__getitem__, found))) @ self.weights)
+                yield float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
 def _fold(c: str):
@@ -294,8 +378,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         read = Restorer(shared.value)
         bad, seen, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), [0, 0]
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"]):
-                at = list({i for w in read.words(text or "") for i in features(w)})
+            labels = iter(batch["label"])
+            for at, label in ((np.unique(rows), next(labels)) for some in slices(batch["text"]) for rows in rows_of(read.words_of(some))):
                 seen[at] += 1
                 n[1] += 1
                 if label:
@@ -316,16 +400,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         read = Restorer(shared.value)
         bad, seen, base = tables.value
         for batch in batches:
-            out = []
-            for text, label in zip(batch["text"], batch["label"]):
-                held = [features(w) for w in read.words(text or "")]
-                if held:
-                    at = np.fromiter(chain.from_iterable(held), np.int64)
-                    each = evidence(bad[at] - (label > 0), seen[at] - 1, base)
-                    weights = np.maximum.reduceat(each, np.cumsum([0] + [len(x) for x in held[:-1]])).tolist()
-                else:
-                    weights = []
-                out.append(summary(weights).tolist())
+            out, labels = [], iter(batch["label"])
+            for at, label in ((rows, next(labels)) for some in slices(batch["text"]) for rows in rows_of(read.words_of(some))):
+                each = evidence(bad[at] - (label > 0), seen[at] - 1, base)
+                out.append(summary(each.max(1).tolist()).tolist())
             yield pd.DataFrame({"x": out, "label": batch["label"]})
 
     part = min(1.0, CALIBRATION_ROWS / max(1, len(sample)))
@@ -348,7 +426,7 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
         worker_cache("toxicity")
         scorer = Scorer(**shared.value)
         for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+            yield pd.Series(list(scorer.scores(texts)), dtype="float64")
 
     return docs.withColumn("__score", score("text"))
 
